@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from memoryloom.llm.hostrules import op10_hostrules
 from memoryloom.llm.language import op5_language
+from memoryloom.llm import licences, topk
 from memoryloom.llm.packing import op4_packing
 from memoryloom.llm.pieces import op9_sentencepiece
 from memoryloom.llm.quality import op1_quality
 from memoryloom.llm.secrets import op8_secrets
 from memoryloom.llm.simhash import op2_simhash
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op4_packing, op5_language, op8_secrets, op9_sentencepiece, op10_hostrules)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op4_packing, op5_language, topk.op6_topk, licences.op7_licences, op8_secrets, op9_sentencepiece, op10_hostrules)}
+ORACLE_SQL: dict[str, str] = {"op6_topk": topk.ORACLE_SQL, "op7_licences": licences.ORACLE_SQL}
