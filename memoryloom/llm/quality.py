@@ -169,6 +169,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is least or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, known = shared.value, {}
+        for part, texts in steps(batches):
+            pooled = np.array([m.pool(s) for s in m.word_ids(texts, known)]).reshape(len(texts), -1)
+            yield part.filter(pa.array(m.scores(pooled) >= least))
+
+    if dict(docs.dtypes)["text"] != "string":
+        docs = docs.withColumn("text", docs[docs.columns[at]].cast("string"))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = score(docs, fit_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
