@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -9,16 +10,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from memoryloom.llm.bpe import PairTable, WordTable, merge
 from memoryloom.llm.shared import Scratch, steps
 
 MODEL = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 #: Rounds of the multiplicative-weights solver.
 ROUNDS = 240
 #: Pieces of a length that one task ranks.
@@ -27,11 +30,66 @@ RANKED_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class WordBpe:
+    """Ids of words as a tokenizers file of byte-level BPE with word ends, lower case and letter runs gives them.
+
+    Words of characters below U+0250 are lower-cased, split and merged here, all of a batch at once; words with other
+    characters or the mark of a special token go through the library one by one.
+    """
 
-    return Tokenizer.from_file(path), {}
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        model = json.loads(self.library.to_str())["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        names = _byte_names()
+        self.inner = np.array([vocab[c] for c in names], np.int32)
+        self.final = np.array([vocab[c + end] for c in names], np.int32)
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        rows = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
+        self.table = PairTable(len(vocab), rows[:, 0], rows[:, 1], rows[:, 2], np.arange(len(rows)))
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.plain = regex.compile(r"[\u0000-\u024f]*").fullmatch
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, which hold no ASCII white space, joined, and how many each has."""
+        parts, per, odd = [], np.zeros(len(words), np.int64), {}
+        for i, raw in enumerate(words):
+            w = raw.decode()
+            if not (w.isascii() or self.plain(w)) or "<|" in w:
+                odd[i] = self.library.encode(w, add_special_tokens=False).ids
+                continue
+            w = w.lower()
+            some = [w] if w.isalpha() else [w[:-1], w[-1]] if w[-1] in ".,|" and w[:-1].isalpha() else self.split(w)
+            parts += some
+            per[i] = len(some)
+        raw = [p.encode() for p in parts]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        codes = np.frombuffer(b"".join(raw), np.uint8)
+        sym = self.inner[codes]
+        last = np.cumsum(sizes) - 1
+        sym[last] = self.final[codes[last]]
+        ids, counts = merge(self.table, sym, sizes)
+        size = np.diff(np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(per)])])
+        if odd:
+            cut = np.split(ids, np.cumsum(size)[:-1])
+            for i, x in odd.items():
+                cut[i], size[i] = np.array(x, np.int32), len(x)
+            ids = np.concatenate(cut)
+        return ids, size
+
+
+def _byte_names() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if it is printable, else the next from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> WordTable:
+    return WordTable(WordBpe(path).encode_words, CACHE_WORDS)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -39,27 +97,20 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str
 
     Null text counts as empty and gives one piece that holds the end id alone. The tokenizer drops white space and
     merges within what stands between it, so text is cut at ASCII white space and the ids of each cut are kept in a
-    bounded table of the worker; what isn't there goes through the tokenizer in one batch.
+    bounded table of the worker.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _tokenizer(path)
+        known = _tokenizer(path)
         end = np.array([END_ID], "<u4").tobytes()
         for part, texts in steps(batches):
-            cut = [t.encode().split() for t in texts]
-            new = list(set().union(*cut).difference(known)) if cut else []
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set().union(*cut))
-            for i in range(0, len(new), 5_000):
-                some = new[i : i + 5_000]
-                for w, e in zip(some, tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            get, rows = known.__getitem__, []
-            for doc, ws in zip(part.column(0).to_pylist(), cut):
-                ids = b"".join(map(get, ws)) + end
-                for k in range(0, len(ids), 4 * capacity):
-                    piece = ids[k : k + 4 * capacity]
+            ids, n = known.lookup([t.encode().split() for t in texts])
+            ends, rows = np.cumsum(n), []
+            whole = ids.astype("<u4").tobytes()
+            for doc, a, b in zip(part.column(0).to_pylist(), (ends - n).tolist(), ends.tolist()):
+                mine = whole[4 * a : 4 * b] + end
+                for k in range(0, len(mine), 4 * capacity):
+                    piece = mine[k : k + 4 * capacity]
                     rows.append((doc, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece)))
             cols = list(zip(*rows)) or [()] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]

@@ -11,11 +11,12 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from memoryloom.llm.bpe import PairTable, WordTable, gather, merge
 from memoryloom.llm.shared import steps
 
 MODEL = "piece_bpe_32k.model"
 #: Words whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 SPACE = "▁"
 
 
@@ -23,9 +24,8 @@ class PieceBpe:
     """Encoder and decoder of a SentencePiece BPE model with byte fallback and a dummy prefix.
 
     Text is cut into words that no piece can cross: before a run of spaces that follows another character, and around
-    newlines. All words of a call lie in one flat array of symbols. A round finds each word's pair of best rank and
-    merges its leftmost place, or all places at once where no pair made by such a merge could outrank it; then the
-    array is compacted and words without pairs leave. That is the order in which the library's queue merges.
+    newlines. Words are merged together, in rounds over flat arrays; the order in each word is that of the library's
+    queue: best rank first, then leftmost.
     """
 
     def __init__(self, path: str):
@@ -39,116 +39,72 @@ class PieceBpe:
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in ids):
             raise ValueError("a piece of this model crosses words")
         self.unknown = sp.unk_id()
-        self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.byte_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
-        self.chars = {p: i for p, i in ids.items() if len(p) == 1}
-        scores = np.array([sp.get_score(i) for i in range(n)])
-        self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int64)
-        pairs = sorted((ids[p[:k]] * n + ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
-        self.size = n
-        self.keys = np.array([k for k, _ in pairs] + [2**62], np.int64)
-        self.made = np.array([m for _, m in pairs] + [0], np.int64)
-        self.safe = np.ones(n, bool)
-        for part in (self.keys[:-1] // n, self.keys[:-1] % n):
-            self.safe[part[self.rank[self.made[:-1]] <= self.rank[part]]] = False
-
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merged id and rank of each pair; rank 2**31 where there is none."""
-        key = np.where((left >= 0) & (right >= 0), left * self.size + right, -1)
-        at = np.searchsorted(self.keys, key)
-        hit = self.keys[at] == key
-        made = np.where(hit, self.made[at], -1)
-        return made, np.where(hit, self.rank[made], 2**31)
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word; characters that are no piece become their UTF-8 bytes."""
-        get = self.chars.get
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        sym = np.fromiter((get(c, -1) for w in words for c in w), np.int64, int(lengths.sum()))
-        word = np.repeat(np.arange(len(words)), lengths)
-        done_sym, done_word = [], []
-        same = word[1:] == word[:-1]
-        made, rank = (np.append(x, y) for x, y in zip(self._pairs(sym[:-1], sym[1:]), (-1, 2**31))) if len(sym) else (sym, sym)
-        rank[:-1][~same] = 2**31
-        while len(sym):
-            start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            best = np.minimum.reduceat(rank, start)
-            size = np.diff(np.append(start, len(sym)))
-            live = np.repeat(best < 2**31, size)
-            if not live.all():
-                done_sym.append(sym[~live])
-                done_word.append(word[~live])
-                best = np.repeat(best, size)[live]
-                sym, word, made, rank = sym[live], word[live], made[live], rank[live]
-                if not len(sym):
-                    break
-            else:
-                best = np.repeat(best, size)
-            at = np.flatnonzero(rank == best)
-            first = np.append(True, word[at[1:]] != word[at[:-1]])
-            run = np.append(True, (at[1:] != at[:-1] + 1) | first[1:])
-            k = np.arange(len(at))
-            even = (k - np.maximum.accumulate(np.where(run, k, 0))) % 2 == 0
-            at = at[first | (even & self.safe[made[at]])]
-            # In a word whose first merge isn't safe, a later safe one of equal rank has to wait as well.
-            lead = np.append(True, word[at[1:]] != word[at[:-1]])
-            held = np.maximum.accumulate(np.where(lead, np.arange(len(at)), 0))
-            at = at[lead | self.safe[made[at[held]]]]
-            sym[at] = made[at]
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            shift = np.cumsum(keep) - 1
-            at = shift[at]
-            sym, word, made, rank = sym[keep], word[keep], made[keep], rank[keep]
-            redo = np.unique(np.concatenate([at, at[at > 0] - 1]))
-            last = redo == len(sym) - 1
-            nxt = np.where(last, redo, redo + 1)
-            made[redo], rank[redo] = self._pairs(sym[redo], sym[nxt])
-            rank[redo[last | (word[redo] != word[nxt])]] = 2**31
-        out: list[list[int]] = [[] for _ in words]
-        if done_sym:
-            sym, word = np.concatenate(done_sym), np.concatenate(done_word)
-            order = np.argsort(word, kind="stable")
-            sym, word = sym[order], word[order]
-            bounds = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
-            flat = sym.tolist()
-            out = [flat[bounds[i] : bounds[i + 1]] for i in range(len(words))]
-        for i in np.unique(word[sym < 0]).tolist() if done_sym else ():
-            out[i] = self._with_bytes(words[i], out[i])
-        return out
-
-    def _with_bytes(self, text: str, ids: list[int]) -> list[int]:
-        got, at = [], 0
-        for x in ids:
-            if x >= 0:
-                got.append(x)
-                at += len(self.pieces[x])
-            else:
-                got += [self.byte_ids[b] for b in text[at].encode()]
-                at += 1
-        return got
+        self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
+        self.byte_of = {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
+        #: Id of a code point that is a piece, else -1.
+        self.chars = np.full(0x110000, -1, np.int32)
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.chars[ord(p)] = i
+        rank = np.unique([-sp.get_score(i) for i in range(n)], return_inverse=True)[1]
+        pairs = np.array([(ids[p[:k]], ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids])
+        self.table = PairTable(n, pairs[:, 0], pairs[:, 1], pairs[:, 2], rank[pairs[:, 2]])
+        self.text_of = [" ⁇ ".encode() if i == self.unknown else self.byte_of.get(i, b"" if sp.is_control(i) else p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)]
+        self.decimal = _flat([f"{i},".encode() for i in range(n)])
+        self.bytes = _flat(self.text_of)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, joined, and how many each has; characters that are no piece become their UTF-8 bytes."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sym = self.chars[points]
+        odd = np.flatnonzero(sym < 0)
+        ids, counts = merge(self.table, sym, sizes)
+        if not len(odd):
+            return ids, counts
+        # Symbols without a piece never merge, so they come out in the order in which they went in.
+        raw = [chr(p).encode("utf-8", "surrogatepass") for p in points[odd]]
+        more = np.ones(len(ids), np.int64)
+        holes = np.flatnonzero(ids < 0)
+        more[holes] = [len(x) for x in raw]
+        out = np.repeat(ids, more)
+        out[out < 0] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        ends = np.concatenate([[0], np.cumsum(more)])[np.concatenate([[0], np.cumsum(counts)])]
+        return out, np.diff(ends)
 
     @staticmethod
     def words(text: str) -> list[str]:
         return _WORDS(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [x for ids in self.encode_words(self.words(text)) for x in ids]
-
-    def decode(self, ids: list[int], first: bool = True) -> str:
-        """Text of the ids; first: a leading space is the dummy prefix and goes. Bytes that are no UTF-8 become U+FFFD each."""
-        out, raw = [], b""
-        for x in [*ids, None]:
-            if x is not None and x in self.byte_of:
-                raw += self.byte_of[x]
-                continue
-            if raw:
-                out.append(_utf8(raw))
-                raw = b""
-            if x is not None:
-                out.append(" ⁇ " if x == self.unknown else "" if x in (1, 2) else self.pieces[x].replace(SPACE, " "))
-        text = "".join(out)
-        return text[1:] if first and text[:1] == " " else text
+        return self.encode_words(self.words(text))[0].tolist()
+
+    def decode(self, ids: list[int]) -> str:
+        """Text of the ids; a leading space is the dummy prefix and goes. Bytes that are no UTF-8 become U+FFFD each."""
+        raw = b"".join(self.text_of[x] for x in ids)
+        return _utf8(raw[1:] if raw[:1] == b" " and ids[0] not in self.byte_of else raw)
+
+
+def _flat(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The items' bytes joined, their starts and their sizes."""
+    sizes = np.array([len(x) for x in items], np.int64)
+    return np.frombuffer(b"".join(items), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def _strings(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, counts: np.ndarray, head: int = 0, tail: int = 0) -> pa.Array:
+    """A string for each text: the table's entries of its ids, less head bytes in front and tail bytes behind."""
+    flat, start, size = table
+    size = size[ids]
+    data = gather(flat, start[ids], size)
+    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+    first, last = ends[:-1] + head * (counts > 0), ends[1:] - tail * (counts > 0)
+    keep = np.ones(len(data), bool)
+    if head:
+        keep[ends[:-1][counts > 0]] = False
+    if tail:
+        keep[ends[1:][counts > 0] - 1] = False
+    offsets = np.concatenate([[0], np.cumsum(last - first)])
+    return pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[keep] if head or tail else data)).cast(pa.string())
 
 
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
@@ -166,39 +122,24 @@ def _utf8(raw: bytes) -> str:
 
 
 @lru_cache(maxsize=2)
-def _model(path: str) -> tuple[PieceBpe, dict[str, bytes], dict[str, str]]:
-    return PieceBpe(path), {}, {}
+def _model(path: str) -> tuple[PieceBpe, WordTable]:
+    bpe = PieceBpe(path)
+    return bpe, WordTable(bpe.encode_words, CACHE_WORDS)
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids (decimal, comma-joined) and decoded text of every document, whole; null text counts as empty.
 
     Rows map to rows one to one, so repeated rows, null ids and an empty table need nothing of their own. Each step
-    encodes the words of some two million characters that the worker has not met lately in one vectorised call.
+    encodes the words of some two million characters that the worker has not met lately in vectorised calls; the
+    decoded text is put together from the ids.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, known, odd = _model(path)
+        bpe, known = _model(path)
         for part, texts in steps(batches):
-            cut = [bpe.words(t) for t in texts]
-            new = list(set().union(*cut).difference(known)) if cut else []
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                odd.clear()
-                new = list(set().union(*cut))
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                for w, ids in zip(some, bpe.encode_words(some)):
-                    known[w] = ",".join(map(str, ids)).encode()
-                    if (back := bpe.decode(ids, first=False)) != w.replace(SPACE, " "):
-                        odd[w] = back
-            get, ids_of, back_of = known.__getitem__, [], []
-            for ws in cut:
-                ids_of.append(b",".join(map(get, ws)))
-                back = "".join(odd.get(w, w) for w in ws) if odd else "".join(ws)
-                back_of.append(back.replace(SPACE, " ")[1:])
-            n = [x.count(b",") + 1 if x else 0 for x in ids_of]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_of, pa.binary()).cast(pa.string()), pa.array(back_of, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+            ids, n = known.lookup(map(bpe.words, texts))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), _strings(bpe.decimal, ids, n, tail=1), _strings(bpe.bytes, ids, n, head=1)], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")
 
