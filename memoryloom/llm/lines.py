@@ -22,6 +22,8 @@ THROWS = 4
 SEEN_LINES = 1_000_000
 #: Words of 64 bits in the filter of candidate lines; a table of that many rows at most is broadcast.
 FILTER_WORDS = 1 << 19
+#: Lines of a part of a large bucket; a task compares those of two parts at a time.
+BLOCK = 2048
 
 _RNG = np.random.default_rng(11)
 _MIX = _RNG.integers(0, 2**31, SHINGLE, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -116,57 +118,110 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, line_no int, line_id long, bands array<long>")
 
 
-def _verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b: line ids) whose lines are similar.
+def linked(sets: list[set[str]], least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Similar pairs that connect what all similar pairs connect, a forest.
 
-    Only lines of pairs travel: a fixed-size bit table of their ids, joined in memory, turns the others away before
-    the exact semi-join. It is a filter alone; where it fills up, the join does its work.
+    A few sets are compared pair by pair, but for those already connected. Many are compared with one pivot at a time
+    through postings, and a pivot is taken outside the largest component as long as there is one not yet used: a
+    similar pair across components has a side there, so none goes unseen, and near copies need few pivots.
     """
-    need = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct())
+    parent, found = list(range(len(sets))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(i: int, j: int) -> None:
+        if (x := root(i)) != (y := root(j)):
+            parent[x] = y
+            found.append((i, j))
+
+    if len(sets) <= 24:
+        for j in range(1, len(sets)):
+            for i in range(j):
+                if root(i) != root(j):
+                    both = len(sets[i] & sets[j])
+                    if both >= least * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                        join(i, j)
+        return found
+    postings: dict[str, list[int]] = {}
+    for i, x in enumerate(sets):
+        for s in x:
+            postings.setdefault(s, []).append(i)
+    arrays = {s: np.array(v) for s, v in postings.items() if len(v) > 1}
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    used = np.zeros(len(sets), bool)
+    while True:
+        roots = np.fromiter((root(i) for i in range(len(sets))), np.int64, len(sets))
+        names, count = np.unique(roots, return_counts=True)
+        todo = np.flatnonzero((roots != names[count.argmax()]) & ~used)
+        if not len(todo):
+            return found
+        for p in todo[:1].tolist() if len(names) > 1 else ():
+            used[p] = True
+            near = [arrays[s] for s in sets[p] if s in arrays]
+            both = np.bincount(np.concatenate(near), minlength=len(sets)) if near else np.zeros(len(sets), np.int64)
+            both[p] = 0
+            for i in np.flatnonzero(both >= least * (size + size[p] - both) - 1e-9).tolist():
+                join(p, i)
+
+
+def _links(scratch: Scratch, docs: DataFrame, met: DataFrame, least: float) -> DataFrame:
+    """Links a, b (line ids) that connect what the similar pairs of all buckets (key, line_id) connect.
+
+    Buckets of the same lines, as near copies make in many bands, count once. A bucket of more than BLOCK lines is
+    dealt into parts and every pair of parts is one task's group, so a group is bounded and no pair of a bucket is
+    left out. Only lines of buckets travel: a fixed-size bit table of their ids, joined in memory, turns the others
+    away before the exact semi-join. It is a filter alone; where it fills up, the join does its work.
+    """
+    mark = [F.count(F.lit(1)).alias("n"), F.min("line_id").alias("lo"), F.bit_xor(F.xxhash64("line_id")).alias("x"), F.bit_xor(F.xxhash64("line_id", F.lit(1))).alias("y")]
+    once = met.groupBy("key").agg(*mark).groupBy("n", "lo", "x", "y").agg(F.min("key").alias("once")).select("once", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    rows = met.join(once, F.col("key") == F.col("once")).select("key", "line_id", "parts", F.pmod(F.xxhash64("line_id"), F.col("parts")).cast("int").alias("mine"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = scratch.save(rows.select("key", "line_id", "mine", other.alias("other")).select("key", "line_id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
+    need = scratch.save(rows.select(F.col("line_id").alias("need")).distinct())
     word = lambda c: F.pmod(F.shiftrightunsigned(F.col(c), 6), F.lit(FILTER_WORDS)).cast("int")
     bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
     filled = need.groupBy(word("need").alias("word")).agg(F.bit_or(bit("need")).alias("bits"))
     lines = docs.select(F.explode(F.split(docs["text"].cast("string"), "\n", -1)).alias("line")).where(F.length("line") >= LEAST_CHARS)
     lines = lines.select("line", F.xxhash64("line").alias("id"))
     lines = lines.join(F.broadcast(filled), word("id") == F.col("word")).where(F.col("bits").bitwiseAND(bit("id")) != 0)
-    texts = scratch.save(lines.join(need, F.col("id") == F.col("need"), "left_semi").groupBy("id").agg(F.first("line").alias("line")), need)
+    texts = scratch.save(lines.join(need, F.col("id") == F.col("need"), "left_semi").dropDuplicates(["id"]).select("id", "line"), need)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = pa.array([similar(x, y, least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
-            yield b.select([0, 1]).filter(ok)
-
-    left = pairs.join(texts.toDF("a", "x"), "a")
-    both = left.join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return scratch.save(both.mapInArrow(run, "a long, b long"), texts)
+        group, ids, sets = None, [], []
+
+        def out() -> pa.RecordBatch:
+            pairs = linked(sets, least) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            done = []
+            for key, i, j, x, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, i, j) != group:
+                    done.append(out())
+                    group, ids, sets = (key, i, j), [], []
+                ids.append(x)
+                sets.append(shingles(line))
+            if done:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+        yield out()
+
+    both = rows.join(texts, F.col("line_id") == F.col("id")).select("key", "i", "j", "line_id", "line")
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "line_id")
+    return scratch.save(dealt.mapInArrow(run, "a long, b long"), rows, texts)
 
 
 def line_classes(scratch: Scratch, docs: DataFrame, seen: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Components of similar lines: node, root (line ids), for lines that have a similar one.
-
-    In each bucket of a band the lines are first compared with the least of them, which settles the buckets of near
-    copies in one comparison a line. Buckets that still hold lines of different components then give their pairs
-    across components, so no similar pair of a bucket goes unseen, and none within a component is compared again.
-    """
+    """Components of similar lines: node, root (line ids), for lines that have a similar one."""
     buckets = seen.where("bands is not null").select("line_id", F.explode("bands").alias("key"))
-    first = F.min("line_id").over(W.partitionBy("key"))
-    met = scratch.save(buckets.withColumn("lead", first).where("lead <> line_id").select("key", "lead", "line_id").distinct())
-    pairs = scratch.save(met.select(F.col("lead").alias("a"), F.col("line_id").alias("b")).distinct())
-    links = _verified(scratch, docs, pairs, least)
-    names = components(scratch, links)
-    # Members beside the lead that did not end up with it.
-    members = met.join(names, met.line_id == names.node, "left").select("key", "lead", "line_id", F.coalesce("root", "line_id").alias("r"))
-    heads = names.toDF("n2", "r2")
-    members = members.join(heads, members.lead == heads.n2, "left").select("key", "line_id", "r", F.coalesce("r2", "lead").alias("lead_root"))
-    split = members.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("key")
-    open_ = scratch.save(members.join(split, "key", "left_semi").select("key", "line_id", "r"), pairs, met)
-    other = open_.toDF("k2", "line2", "r_2")
-    across = open_.join(other, (F.col("key") == F.col("k2")) & (F.col("line_id") < F.col("line2")) & (F.col("r") != F.col("r_2")))
-    more = scratch.save(across.select(F.col("line_id").alias("a"), F.col("line2").alias("b")).distinct(), open_)
-    if more.isEmpty():
-        return names
-    late = _verified(scratch, docs, more, least)
-    return names if late.isEmpty() else components(scratch, links.union(late))
+    key = W.partitionBy("key")
+    several = buckets.select("key", "line_id", F.min("line_id").over(key).alias("lo"), F.max("line_id").over(key).alias("hi")).where("lo <> hi")
+    met = scratch.save(several.select("key", "line_id").distinct())
+    return components(scratch, _links(scratch, docs, met, least))
 
 
 def dropped_lines(scratch: Scratch, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
