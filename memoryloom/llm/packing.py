@@ -21,7 +21,7 @@ from memoryloom.llm.shared import Scratch, steps
 MODEL = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Rounds of the multiplicative-weights solver.
 ROUNDS = 240
 #: Pieces of a length that one task ranks.

@@ -16,7 +16,7 @@ from memoryloom.llm.shared import steps
 
 MODEL = "piece_bpe_32k.model"
 #: Words whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 SPACE = "▁"
 
 
