@@ -68,8 +68,12 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+_SLICES = [slice(i, i + SHINGLE) for i in range(1 << 14)]
+
+
 def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+    n = len(line) - SHINGLE + 1
+    return set(map(line.__getitem__, _SLICES[:n] if n <= len(_SLICES) else [slice(i, i + SHINGLE) for i in range(n)]))
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
@@ -188,7 +192,8 @@ def _links(scratch: Scratch, docs: DataFrame, met: DataFrame, least: float) -> D
     lines = docs.select(F.explode(F.split(docs["text"].cast("string"), "\n", -1)).alias("line")).where(F.length("line") >= LEAST_CHARS)
     lines = lines.select("line", F.xxhash64("line").alias("id"))
     lines = lines.join(F.broadcast(filled), word("id") == F.col("word")).where(F.col("bits").bitwiseAND(bit("id")) != 0)
-    texts = scratch.save(lines.join(need, F.col("id") == F.col("need"), "left_semi").dropDuplicates(["id"]).select("id", "line"), need)
+    # An inner join: the optimiser moves a semi-join in front of the filter.
+    texts = scratch.save(lines.join(need, F.col("id") == F.col("need")).dropDuplicates(["id"]).select("id", "line"), need)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, sets = None, [], []
@@ -235,7 +240,8 @@ def dropped_lines(scratch: Scratch, docs: DataFrame, least: float = SIMILARITY)
     names = line_classes(scratch, docs, seen, least)
     place = F.struct("doc_id", "text_hash", "line_no")
     by_line = seen.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    by_line = by_line.join(names, by_line.line_id == names.node, "left").select("line_id", "n", "first", F.coalesce("root", "line_id").alias("cls"))
+    by_line = by_line.join(names, by_line.line_id == names.node, "left").where("n > 1 or root is not null")
+    by_line = scratch.save(by_line.select("line_id", "n", "first", F.coalesce("root", "line_id").alias("cls")), names)
     whole = by_line.groupBy("cls").agg(F.sum("n").alias("total"), F.min("first").alias("owner")).where("total > 1")
     many = by_line.join(whole, "cls").select(F.col("line_id").alias("many_id"), "owner")
     gone = seen.drop("bands").join(many, F.col("line_id") == F.col("many_id")).where(~place.eqNullSafe(F.col("owner")))
