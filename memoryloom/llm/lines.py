@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from memoryloom.llm.bpe import gather
 from memoryloom.llm.shared import Scratch, components, steps
 
 #: Characters of a shingle, least Jaccard similarity, and characters that a line needs to take part.
@@ -68,19 +69,47 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-_SLICES = [slice(i, i + SHINGLE) for i in range(1 << 14)]
-
-
-def shingles(line: str) -> set[str]:
-    n = len(line) - SHINGLE + 1
-    return set(map(line.__getitem__, _SLICES[:n] if n <= len(_SLICES) else [slice(i, i + SHINGLE) for i in range(n)]))
+class Shingler:
+    """Shingle sets as sorted arrays of exact codes, comparable within one object.
 
+    Characters get numbers of 12 bits as they come, five of which fill a code. A line with a character beyond the
+    4095 first gets negative codes, from a table, for the shingles that hold it.
+    """
 
-def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether the Jaccard similarity of the shingle sets is least or more, computed exactly."""
-    x, y = shingles(a), shingles(b)
-    both = len(x & y)
-    return both >= least * (len(x) + len(y) - both) - 1e-9
+    def __init__(self):
+        self.number = np.zeros(0x110000, np.int64)
+        self.known, self.rare = 0, {}
+
+    def sets(self, lines: list[str]) -> list[np.ndarray]:
+        size = np.fromiter(map(len, lines), np.int64, len(lines))
+        points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        new = np.unique(points)
+        new = new[self.number[new] == 0][: 4095 - self.known]
+        self.number[new] = np.arange(self.known + 1, self.known + 1 + len(new))
+        self.known += len(new)
+        codes = self.number[points]
+        n = max(len(points) - SHINGLE + 1, 0)
+        whole, odd = np.zeros(n, np.int64), np.zeros(n, bool)
+        for k in range(SHINGLE):
+            whole = whole << 12 | codes[k : n + k]
+            odd |= codes[k : n + k] == 0
+        start = np.cumsum(size) - size
+        for at in np.flatnonzero(odd).tolist():
+            i = int(np.searchsorted(start, at, "right")) - 1
+            if at + SHINGLE <= start[i] + size[i]:
+                s = lines[i][at - start[i] : at - start[i] + SHINGLE]
+                whole[at] = -self.rare.setdefault(s, len(self.rare) + 1)
+        out = []
+        for i, j in zip(start.tolist(), (start + size - SHINGLE + 1).tolist()):
+            x = np.sort(whole[i : max(j, i)])
+            out.append(x[np.append(True, x[1:] != x[:-1])] if len(x) else x)
+        return out
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    x = np.concatenate([a, b])
+    x.sort()
+    return int(np.count_nonzero(x[1:] == x[:-1]))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -122,14 +151,15 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, line_no int, line_id long, bands array<long>")
 
 
-def linked(sets: list[set[str]], least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Similar pairs that connect what all similar pairs connect, a forest.
+def linked(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of least Jaccard similarity, exactly, that connect what all such pairs connect: a forest.
 
     A few sets are compared pair by pair, but for those already connected. Many are compared with one pivot at a time
     through postings, and a pivot is taken outside the largest component as long as there is one not yet used: a
     similar pair across components has a side there, so none goes unseen, and near copies need few pivots.
     """
     parent, found = list(range(len(sets))), []
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -143,32 +173,35 @@ def linked(sets: list[set[str]], least: float = SIMILARITY) -> list[tuple[int, i
             found.append((i, j))
 
     if len(sets) <= 24:
+        sizes = size.tolist()
         for j in range(1, len(sets)):
             for i in range(j):
-                if root(i) != root(j):
-                    both = len(sets[i] & sets[j])
-                    if both >= least * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                a, b = sizes[i], sizes[j]
+                if min(a, b) >= least * max(a, b) - 1e-9 and root(i) != root(j):
+                    both = _shared(sets[i], sets[j])
+                    if both >= least * (a + b - both) - 1e-9:
                         join(i, j)
         return found
-    postings: dict[str, list[int]] = {}
-    for i, x in enumerate(sets):
-        for s in x:
-            postings.setdefault(s, []).append(i)
-    arrays = {s: np.array(v) for s, v in postings.items() if len(v) > 1}
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    codes, name = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(name, kind="stable")
+    owners, ends = owner[order], np.cumsum(np.bincount(name, minlength=len(codes)))
+    first = np.concatenate([[0], ends[:-1]])
+    names = np.split(name, np.cumsum(size)[:-1])
     used = np.zeros(len(sets), bool)
     while True:
-        roots = np.fromiter((root(i) for i in range(len(sets))), np.int64, len(sets))
-        names, count = np.unique(roots, return_counts=True)
-        todo = np.flatnonzero((roots != names[count.argmax()]) & ~used)
+        roots = np.fromiter(map(root, range(len(sets))), np.int64, len(sets))
+        kinds, count = np.unique(roots, return_counts=True)
+        todo = np.flatnonzero((roots != kinds[count.argmax()]) & ~used)
         if not len(todo):
             return found
-        for p in todo[:1].tolist() if len(names) > 1 else ():
-            used[p] = True
-            near = [arrays[s] for s in sets[p] if s in arrays]
-            both = np.bincount(np.concatenate(near), minlength=len(sets)) if near else np.zeros(len(sets), np.int64)
-            both[p] = 0
-            for i in np.flatnonzero(both >= least * (size + size[p] - both) - 1e-9).tolist():
+        p = int(todo[0])
+        used[p] = True
+        at = names[p]
+        both = np.bincount(gather(owners, first[at], ends[at] - first[at]), minlength=len(sets))
+        both[p] = 0
+        for i in np.flatnonzero(both >= least * (size + size[p] - both) - 1e-9).tolist():
+            if i != p:
                 join(p, i)
 
 
@@ -196,7 +229,7 @@ def _links(scratch: Scratch, docs: DataFrame, met: DataFrame, least: float) -> D
     texts = scratch.save(lines.join(need, F.col("id") == F.col("need")).dropDuplicates(["id"]).select("id", "line"), need)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, sets = None, [], []
+        group, ids, sets, shingler = None, [], [], Shingler()
 
         def out() -> pa.RecordBatch:
             pairs = linked(sets, least) if len(ids) > 1 else []
@@ -204,12 +237,12 @@ def _links(scratch: Scratch, docs: DataFrame, met: DataFrame, least: float) -> D
 
         for batch in batches:
             done = []
-            for key, i, j, x, line in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, i, j, x, own in zip(*(c.to_pylist() for c in batch.columns[:4]), shingler.sets(batch.column(4).to_pylist())):
                 if (key, i, j) != group:
                     done.append(out())
                     group, ids, sets = (key, i, j), [], []
                 ids.append(x)
-                sets.append(shingles(line))
+                sets.append(own)
             if done:
                 yield from pa.Table.from_batches(done).combine_chunks().to_batches()
         yield out()
@@ -258,12 +291,12 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its number of lines, the dropped ones, and for each of them line:document:line of the one kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     gone = dropped_lines(Scratch(spark), docs)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.xxhash64("text").alias("h"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines"), F.xxhash64("text").alias("h"))
     gone = gone.toDF("d2", "h2", "dropped")
     out = rows.join(gone, rows.doc_id.eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left")
     empty = F.coalesce("dropped", F.array().cast("array<struct<line_no:int,owner_id:bigint,owner_no:int>>"))
     text = lambda x: F.concat_ws(":", x["line_no"].cast("string"), F.coalesce(x["owner_id"].cast("string"), F.lit("")), x["owner_no"].cast("string"))
-    return out.select("doc_id", "n_lines", F.size(empty).cast("long").alias("n_dropped"), F.array_join(F.transform(empty, text), ",").alias("dropped"))
+    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(empty).cast("long").alias("n_dropped"), F.array_join(F.transform(empty, text), ",").alias("dropped"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, most: float = 0.8) -> DataFrame:
