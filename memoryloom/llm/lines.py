@@ -235,7 +235,7 @@ def _links(scratch: Scratch, docs: DataFrame, met: DataFrame, least: float) -> D
             pairs = linked(sets, least) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             done = []
             for key, i, j, x, own in zip(*(c.to_pylist() for c in batch.columns[:4]), shingler.sets(batch.column(4).to_pylist())):
                 if (key, i, j) != group:
