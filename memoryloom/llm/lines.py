@@ -218,7 +218,7 @@ def _links(scratch: Scratch, docs: DataFrame, met: DataFrame, least: float) -> D
     rows = met.join(once, F.col("key") == F.col("once")).select("key", "line_id", "parts", F.pmod(F.xxhash64("line_id"), F.col("parts")).cast("int").alias("mine"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = scratch.save(rows.select("key", "line_id", "mine", other.alias("other")).select("key", "line_id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
-    need = scratch.save(rows.select(F.col("line_id").alias("need")).distinct())
+    need = scratch.save(rows.select(F.col("line_id").alias("need")).distinct(), small=True)
     word = lambda c: F.pmod(F.shiftrightunsigned(F.col(c), 6), F.lit(FILTER_WORDS)).cast("int")
     bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
     filled = need.groupBy(word("need").alias("word")).agg(F.bit_or(bit("need")).alias("bits"))
@@ -226,7 +226,7 @@ def _links(scratch: Scratch, docs: DataFrame, met: DataFrame, least: float) -> D
     lines = lines.select("line", F.xxhash64("line").alias("id"))
     lines = lines.join(F.broadcast(filled), word("id") == F.col("word")).where(F.col("bits").bitwiseAND(bit("id")) != 0)
     # An inner join: the optimiser moves a semi-join in front of the filter.
-    texts = scratch.save(lines.join(need, F.col("id") == F.col("need")).dropDuplicates(["id"]).select("id", "line"), need)
+    texts = scratch.save(lines.join(need, F.col("id") == F.col("need")).dropDuplicates(["id"]).select("id", "line"), need, small=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, sets, shingler = None, [], [], Shingler()
@@ -274,7 +274,7 @@ def dropped_lines(scratch: Scratch, docs: DataFrame, least: float = SIMILARITY)
     place = F.struct("doc_id", "text_hash", "line_no")
     by_line = seen.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     by_line = by_line.join(names, by_line.line_id == names.node, "left").where("n > 1 or root is not null")
-    by_line = scratch.save(by_line.select("line_id", "n", "first", F.coalesce("root", "line_id").alias("cls")), names)
+    by_line = scratch.save(by_line.select("line_id", "n", "first", F.coalesce("root", "line_id").alias("cls")), names, small=True)
     whole = by_line.groupBy("cls").agg(F.sum("n").alias("total"), F.min("first").alias("owner")).where("total > 1")
     many = by_line.join(whole, "cls").select(F.col("line_id").alias("many_id"), "owner")
     gone = seen.drop("bands").join(many, F.col("line_id") == F.col("many_id")).where(~place.eqNullSafe(F.col("owner")))

@@ -34,9 +34,14 @@ class Scratch:
         self.folder = f"{folder.rstrip('/')}/memoryloom-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
-    def save(self, df: DataFrame, *drop: DataFrame | None) -> DataFrame:
-        """df written and reread; the tables in drop, which only df needed, are deleted."""
+    def save(self, df: DataFrame, *drop: DataFrame | None, small: bool = False) -> DataFrame:
+        """df written and reread; the tables in drop, which only df needed, are deleted.
+
+        small: the rows are a small share of the input, so an eighth of the shuffle partitions, 8 at least, write files.
+        """
         path = f"{self.folder}/{uuid.uuid4().hex}"
+        if small:
+            df = df.coalesce(max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
@@ -110,22 +115,16 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     map-side combining, so a node with very many links is no hot task, and nothing but the emptiness of a round
     reaches the driver. Every round is written to the shared folder.
     """
-    edges = scratch.save(links.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long").distinct())
+    edges = scratch.save(links.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long").distinct(), small=True)
     names, turn = None, 0
     while not edges.isEmpty():
         turn += 1
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         least = edges.select("a", "b").union(edges.select("b", "a")).groupBy("a").agg(F.min(rank("b")).alias("m"))
-        hooks = scratch.save(least.select(F.col("a").alias("node"), F.least(F.col("m"), rank("a"))["n"].alias("root")))
-        to = hooks.withColumnsRenamed({"node": "n2", "root": "r2"})
-        if names is None:
-            joined = names = hooks
-        else:
-            joined = scratch.save(names.join(to, names.root == to.n2, "left").select("node", F.coalesce("r2", "root").alias("root")), names)
+        hooks = scratch.save(least.select(F.col("a").alias("node"), F.least(F.col("m"), rank("a"))["n"].alias("root")), small=True)
+        to = hooks.toDF("n2", "r2")
+        names = hooks if names is None else names.join(to, names.root == to.n2, "left").select("node", F.coalesce("r2", "root").alias("root"))
         renamed = edges.join(hooks, edges.a == hooks.node).select(F.col("root").alias("a"), "b")
         renamed = renamed.join(to, renamed.b == to.n2).select("a", F.col("r2").alias("b")).where("a <> b")
-        edges = scratch.save(renamed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), edges)
-        if joined is not names:
-            scratch.drop(hooks)
-        names = joined
-    return names if names is not None else edges.toDF("node", "root")
+        edges = scratch.save(renamed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), edges, small=True)
+    return scratch.save(names, small=True) if names is not None else edges.toDF("node", "root")

@@ -60,7 +60,7 @@ def _odd() -> F.Column:
     return F.bit_count(F.col("fp")) % 2 == 1
 
 
-def close_enough(scratch: Scratch, fps: DataFrame) -> DataFrame:
+def close_enough(fps: DataFrame) -> DataFrame:
     """The fingerprints (distinct, column fp) that may have another within RADIUS bits; none that has one is missed.
 
     Of three differing bits at most two lie outside the part that holds most of them. So the word without that part
@@ -101,7 +101,7 @@ def classes(spark: SparkSession, docs: DataFrame, shingle: int = 3, extra: bool
     scratch = Scratch(spark)
     found = scratch.save(fingerprints(docs, shingle))
     fps = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    near = scratch.save(close_enough(scratch, fps.select("fp")))
+    near = scratch.save(close_enough(fps.select("fp")), small=True)
     names = components(scratch, ball_links(near))
     owner = fps.join(names, fps.fp == names.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = owner.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -72,7 +72,7 @@ def test_simhash_links_all_within_three_bits(spark):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     scratch = Scratch(spark)
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = {x.node: x.root for x in components(scratch, simhash.ball_links(simhash.close_enough(scratch, df))).collect()}
+    got = {x.node: x.root for x in components(scratch, simhash.ball_links(simhash.close_enough(df))).collect()}
     parent = {x: x for x in signed}
 
     def root(x):
