@@ -107,3 +107,35 @@ def verdicts(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def op10_hostrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = verdicts(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    """The same rows in SQL, for tables whose doc_id is unique."""
+    rules = {"base": "base_failed", **SOFT}
+    sums = ", ".join(f"sum(({c})::int) as {k}" for k, c in rules.items())
+    total = ", ".join(f"sum({k}) / sum(n) as {k}_mean, var_pop({k} / n) as {k}_var" for k in rules)
+    strength = "least(greatest({k}_mean * (1 - {k}_mean) / greatest({k}_var - {k}_mean * (1 - {k}_mean) / typical_n, 1e-6::double) - 1, 2.0::double), 1000.0::double)"
+    rates = ", ".join(f"({k} + {strength.format(k=k)} * {k}_mean) / (n + {strength.format(k=k)}) as {k}_rate" for k in rules)
+    known = " or ".join(f"(({SOFT[k]}) and {k}_rate >= {KNOWN})" for k in ("symbols", "lines", "length"))
+    return f"""
+with d as (select doc_id, source, coalesce(text, '') as t from documents),
+w as (select doc_id, source, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
+p as (select doc_id, unnest(range(1, len(ws) - 1)) as i, ws from w where len(ws) >= 3),
+g as (select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i + 1], ws[i + 2]) as n from p),
+h as (select doc_id, count(distinct i + k) as n from g, range(3) r(k) where g.n > 1 group by doc_id),
+c as (select w.doc_id, source as host, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+             len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(h.n, 0) as n_repeat_words, len(ls) as n_lines
+      from w left join h on h.doc_id = w.doc_id),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c),
+s as (select host, count(*)::double as n, {sums} from b group by host),
+m as (select {total}, count(*) / sum(1 / n) as typical_n from s),
+r as (select host, {rates} from s, m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not ({known} or ((({SOFT['repeats']}) or ({SOFT['symbols']})) and base_rate >= {BAD})) as kept
+from b join r on b.host is not distinct from r.host
+"""
+
+
+ORACLE_SQL = _sql()
