@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -141,7 +142,7 @@ class WordTable(dict):
         if len(self) > self.limit:
             self._reset()
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        numbers = np.fromiter((x for ws in texts for x in map(self.__getitem__, ws)), np.int64, int(counts.sum()))
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
         self._learn()
         size = self.size[numbers]
         total = np.concatenate([[0], np.cumsum(size)])

@@ -55,12 +55,14 @@ class WordBpe:
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, which hold no ASCII white space, joined, and how many each has."""
         parts, per, odd = [], np.zeros(len(words), np.int64), {}
-        for i, raw in enumerate(words):
-            w = raw.decode()
-            if not (w.isascii() or self.plain(w)) or "<|" in w:
-                odd[i] = self.library.encode(w, add_special_tokens=False).ids
-                continue
-            w = w.lower()
+        whole = b"\n".join(words).decode()
+        simple = self.plain(whole) and "<|" not in whole
+        for i, w in enumerate((whole.lower() if simple else whole).split("\n") if words else ()):
+            if not simple:
+                if not self.plain(w) or "<|" in w:
+                    odd[i] = self.library.encode(w, add_special_tokens=False).ids
+                    continue
+                w = w.lower()
             some = [w] if w.isalpha() else [w[:-1], w[-1]] if w[-1] in ".,|" and w[:-1].isalpha() else self.split(w)
             parts += some
             per[i] = len(some)
