@@ -271,13 +271,14 @@ def dropped_lines(scratch: Scratch, docs: DataFrame, least: float = SIMILARITY)
     """
     seen = scratch.save(occurrences(docs))
     names = line_classes(scratch, docs, seen, least)
+    # Only lines that repeat or have a similar one go on; the others are counted, with a hash aggregate, and left.
+    counted = seen.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"))
+    some = counted.join(names, counted.line_id == names.node, "left").where("n > 1 or root is not null")
+    some = some.select(F.col("line_id").alias("some_id"), F.coalesce("root", "line_id").alias("cls"))
+    rows = scratch.save(seen.drop("bands").join(some, F.col("line_id") == F.col("some_id")).select("doc_id", "text_hash", "line_no", "cls"), small=True)
     place = F.struct("doc_id", "text_hash", "line_no")
-    by_line = seen.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    by_line = by_line.join(names, by_line.line_id == names.node, "left").where("n > 1 or root is not null")
-    by_line = scratch.save(by_line.select("line_id", "n", "first", F.coalesce("root", "line_id").alias("cls")), names, small=True)
-    whole = by_line.groupBy("cls").agg(F.sum("n").alias("total"), F.min("first").alias("owner")).where("total > 1")
-    many = by_line.join(whole, "cls").select(F.col("line_id").alias("many_id"), "owner")
-    gone = seen.drop("bands").join(many, F.col("line_id") == F.col("many_id")).where(~place.eqNullSafe(F.col("owner")))
+    owners = rows.groupBy(F.col("cls").alias("cls2")).agg(F.count(F.lit(1)).alias("total"), F.min(place).alias("owner")).where("total > 1")
+    gone = rows.join(owners, F.col("cls") == F.col("cls2")).where(~place.eqNullSafe(F.col("owner")))
     gone = gone.select("doc_id", "text_hash", F.struct("line_no", F.col("owner.doc_id").alias("owner_id"), F.col("owner.line_no").alias("owner_no")).alias("x"))
     return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("x")).alias("dropped"))
 
