@@ -292,7 +292,7 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its number of lines, the dropped ones, and for each of them line:document:line of the one kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     gone = dropped_lines(Scratch(spark), docs)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines"), F.xxhash64("text").alias("h"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.xxhash64("text").alias("h"))
     gone = gone.toDF("d2", "h2", "dropped")
     out = rows.join(gone, rows.doc_id.eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left")
     empty = F.coalesce("dropped", F.array().cast("array<struct<line_no:int,owner_id:bigint,owner_no:int>>"))
