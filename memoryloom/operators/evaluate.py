@@ -70,3 +70,11 @@ def different_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """How many rows stand only in a, and only in b, as multisets."""
     left, right = (x.exceptAll(y).agg(F.count(F.lit(1)).alias(n)) for x, y, n in ((a, b, "only_left"), (b, a, "only_right")))
     return left.crossJoin(right)  # one row each
+
+
+def valid_cases(cases: DataFrame, most: int, most_budget: int) -> DataFrame:
+    """cases (case_id, expected_ids, forbidden_ids, token_budget) with a fault: overlap, repeated, bounds or null."""
+    e, x = F.col("expected_ids"), F.col("forbidden_ids")
+    repeated = (F.size(F.array_distinct(e)) < F.size(e)) | (F.size(F.array_distinct(x)) < F.size(x))
+    bounds = (F.size(e) > most) | (F.size(x) > most) | ~F.col("token_budget").between(1, most_budget)
+    return cases.withColumn("fault", F.when(F.arrays_overlap(e, x), "overlap").when(repeated, "repeated").when(bounds, "bounds"))

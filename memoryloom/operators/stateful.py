@@ -69,7 +69,7 @@ def verb_step(state: dict[str, Any], nonce: str, key: int, verb: str, can_mutate
     return state.setdefault("decisions", {}).setdefault(key, f"accepted:{verb}")
 
 
-def fold(rows: DataFrame, key: str, order: str, step, out: str) -> DataFrame:
+def fold(rows: DataFrame, key: str, order: str | list[str], step, out: str) -> DataFrame:
     """rows with a column out ('name type'), the value of step(state, row) over the rows of each key in order.
 
     Rows are sorted within the shuffle's partitions by Spark, which spills, and stream through Python; a key costs
@@ -91,4 +91,5 @@ def fold(rows: DataFrame, key: str, order: str, step, out: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, {"boolean": pa.bool_(), "string": pa.string()}[kind])], [*columns, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {out}"
-    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+    by = [order] if isinstance(order, str) else order
+    return rows.repartition(key).sortWithinPartitions(key, *by).mapInArrow(run, schema)

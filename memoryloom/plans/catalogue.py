@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memoryloom.functions import digest, text
 from memoryloom.operators import consolidate, context, evaluate, gate, graph, ledger, ops, rank, stateful, temporal
+from memoryloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from memoryloom.sources.views import table, view, with_views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 #: Parameters of the queries, the same in both forms.
 AS_OF, NOW, STATES_AT = "2024-06-01", "2025-01-01", "1998-06-01"
@@ -21,18 +18,6 @@ LEXICAL = "than the with"
 BUDGET = 64_000
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 def day(x: str):
     return F.lit(x).cast("date")
 
@@ -489,8 +474,8 @@ DAY = 86_400_000_000
 @query(with_views(f", o as (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as k from op_samples), f as (select user_id, k, event_id, t as start, 1 as used, true as within from o where k = 1 union all select o.user_id, o.k, o.event_id, case when o.t >= f.start + {DAY} then o.t else f.start end, case when o.t >= f.start + {DAY} then 1 when f.used + 1 <= 2 then f.used + 1 else f.used end, o.t >= f.start + {DAY} or f.used + 1 <= 2 from f join o on o.user_id = f.user_id and o.k = f.k + 1) select event_id, user_id, within from f", "op_samples", recursive=True))
 def quota_decisions(s, d):
     rows = view(s, d, "op_samples").select("event_id", "user_id", F.struct(text.micros(F.col("ts")).alias("at"), "event_id").alias("o"))
-    rows = rows.select("event_id", "user_id", F.col("o.at").alias("at")).repartition("user_id").sortWithinPartitions("user_id", "at", "event_id")
-    return stateful.fold(rows, "user_id", "at", lambda st, r: stateful.quota_step(st, r["at"], 1, 2, DAY), "within boolean").select("event_id", "user_id", "within")
+    rows = rows.select("event_id", "user_id", F.col("o.at").alias("at"))
+    return stateful.fold(rows, "user_id", ["at", "event_id"], lambda st, r: stateful.quota_step(st, r["at"], 1, 2, DAY), "within boolean").select("event_id", "user_id", "within")
 
 
 def _job_sql() -> str:

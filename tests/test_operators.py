@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memoryloom.functions import text
-from memoryloom.operators import consolidate, context, gate, graph, ledger, rank, stateful, temporal
+from memoryloom.operators import consolidate, context, evaluate, gate, governed, graph, ledger, lifecycle, outbox, rank, semantic, stateful, temporal, vectors
 from memoryloom.sources import files
 
 MEM = "id string, text string, valid_from int"
@@ -143,3 +143,118 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select count_if(within) as n, count(*) as c from quota_out").first()[:] == (4, 8)
+
+
+def test_greedy_prunes_exactly(spark):
+    rows = spark.range(5000).selectExpr("id", "(id * 7919) % 997 as score_bp", "1 + (id * 31) % 17 as tokens", "id in (3, 5) as pinned")
+    left, want = 300, []
+    for r in sorted(rows.collect(), key=lambda r: (not r.pinned, -r.score_bp, r.id)):
+        if r.tokens <= left:
+            left -= r.tokens
+            want.append(r.id)
+    assert sorted(r.id for r in context.greedy(rows, 300).collect()) == sorted(want)
+    with pytest.raises(Exception, match="no tokens"):
+        context.greedy(rows.withColumn("tokens", F.lit(0)), 300).collect()
+
+
+def test_lifecycles():
+    state = {}
+    steps = [("active", 1), ("evaluated", 2), ("approved", 1), ("approved", 3), ("active", 3), ("rolled_back", 4), ("active", 5)]
+    assert [lifecycle.move_step(state, "procedure", to, at) for to, at in steps] == [False, True, False, True, True, True, False]
+    assert not lifecycle.move_step({}, "procedure", "evaluated", 1, ready=False)
+    assert all(not to or set(to) <= set(states) for states in lifecycle.LIFECYCLES.values() for to in states.values())
+
+
+def test_evaluations_pass_at_the_bound(spark):
+    rows = spark.createDataFrame([("a", 7000), ("b", 6999), ("c", 7000), ("c", 6999)], "procedure string, outcome_bp int")
+    assert {r.procedure: (r.score_bp, r.passed) for r in lifecycle.evaluations(rows).collect()} == {"a": (7000, True), "b": (6999, False), "c": (6999, False)}
+    with pytest.raises(Exception, match="range"):
+        lifecycle.evaluations(rows.withColumn("outcome_bp", F.lit(10_001))).collect()
+
+
+def test_feedback_digest_ignores_order(spark):
+    rows = [("p", "t2", 1, 5), ("p", "t1", 2, 5), ("p", "t1", 1, 7)]
+    a, b = (lifecycle.feedback_digest(spark.createDataFrame(r, "procedure string, trajectory string, recorded_at int, outcome_bp int")).first().digest for r in (rows, rows[::-1]))
+    assert a == b
+
+
+def test_delivery_is_at_least_once():
+    state = {}
+    steps = [("ack", 1, 0), ("claim", 0, 1), ("claim", 0, 5), ("ack", 1, 0), ("ack", 1, 11), ("claim", 0, 11), ("ack", 1, 12), ("ack", 2, 12), ("ack", 2, 13), ("ack", 1, 13), ("claim", 0, 14)]
+    assert [outbox.delivery_step(state, op, token, at, 10) for op, token, at in steps] == ["stale", "claimed", "leased", "backdated", "stale", "claimed", "stale", "acked", "repeated", "stale", "done"]
+    with pytest.raises(ValueError):
+        outbox.claim(None, "c", None, 0)
+
+
+def test_projections():
+    mapping = {"id": "a", "text": "b", "valid_from": "c"}
+    with pytest.raises(PermissionError):
+        governed.projected(None, mapping, ["a", "b"])
+    for bad in ([], ["a", "a"], [" a"], ["x"] * 2, ["é" * governed.MOST_FIELD_BYTES]):
+        with pytest.raises(ValueError):
+            governed.canonical_projection(bad)
+    assert governed.still_granted(["a"], ["a", "b"], ["a", "b", "c"]) and not governed.still_granted(["a"], ["b"], ["a", "b"])
+
+
+def test_freshness_window_is_closed(spark):
+    at = lambda x: one(spark, governed.freshness(F.lit(x), F.lit(100), F.lit(10), F.lit(5)))
+    assert [at(x) for x in (89, 90, 105, 106)] == ["stale", "fresh", "fresh", "future"]
+
+
+def test_models():
+    d = {"namespace": "n", "name": "m", "version": 1, "metrics": [{"name": "x", "expression": "sum(a)"}], "dimensions": [{"name": "k", "role": "identifier"}], "relationships": []}
+    m = semantic.Model.parsed(json.dumps(d))
+    assert m.fields() == [("x", "decimal"), ("k", "identifier")]
+    other = semantic.Model.parsed(json.dumps(d | {"metrics": [{"name": "x", "expression": "sum(b)"}]}))
+    assert m.digest("s") != other.digest("s") and m.digest("s") == semantic.Model.parsed(json.dumps(d)).digest("s")
+    for bad in (d | {"more": 1}, d | {"dimensions": [{"name": "x", "role": "r"}]}, d | {"metrics": []}, d | {"version": 0}, d | {"name": " m"}):
+        with pytest.raises(ValueError):
+            semantic.Model.parsed(json.dumps(bad))
+
+
+def test_valid_cases(spark):
+    rows = spark.createDataFrame([(1, [1, 2], [3], 10), (2, [1], [1], 10), (3, [1, 1], [], 10), (4, [1], [2], 0)], "case_id int, expected_ids array<int>, forbidden_ids array<int>, token_budget int")
+    assert {r.case_id: r.fault for r in evaluate.valid_cases(rows, 2, 10).collect()} == {1: None, 2: "overlap", 3: "repeated", 4: "bounds"}
+
+
+def test_uuid5_and_words(spark):
+    import uuid
+
+    from memoryloom.functions import digest
+
+    for name in ("a", "", "é", "x" * 1000):
+        assert one(spark, digest.uuid5("d", F.lit(name))) == str(uuid.uuid5(uuid.NAMESPACE_OID, f"d\0{name}"))
+    assert bytes(one(spark, digest.word(F.lit(258), 4))) == b"\0\0\1\2"
+    with pytest.raises(Exception, match="fit"):
+        one(spark, digest.word(F.lit(2**32), 4))
+
+
+def test_index_and_embedder(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "red apple", 0), ("b", "red brick", 1), ("c", "", 1), ("d", "red apple", 3)], "id string, text string, label int")
+
+    class Remote(vectors.HashedWords):
+        is_local = False
+
+    assert vectors.embedded(rows, Remote(is_local=False)).count() == 3
+    e = vectors.embedded(rows, vectors.HashedWords()).select("id", "embedding", "label", F.array(F.lit("x")).alias("entities"))
+    assert e.count() == 4
+    index = vectors.Index(e)
+    q = [float(x) for x in e.where("id = 'a'").first().embedding]
+    assert [r.id for r in index.search(q, 2).collect()] == ["a", "d"] and index.search(q, 0).count() == 0
+    assert [r.id for r in index.search(q, 9, where=F.col("label") <= 1).collect()] == ["a", "b"]
+    assert "a" not in {r.id for r in index.remove(e.where("id = 'a'")).members.collect()}
+    assert index.index(e.where("id = 'a'")).members.count() == 4
+    vectors.persist(e, str(tmp_path), "t", "s")
+    assert vectors.load(spark, str(tmp_path), "t", "s").count() == 4
+    with pytest.raises(ValueError):
+        vectors.load(spark, str(tmp_path), "t", "other")
+    ops = spark.createDataFrame([("a", "remove", 1), ("a", "add", 2), ("z", "add", 3), ("b", "remove", 4)], "id string, op string, ordinal int")
+    assert {r.id for r in vectors.delta(e, ops, 4).collect()} == {"a", "c", "d", "z"}
+    with pytest.raises(Exception, match="full"):
+        vectors.delta(e, ops, 3).collect()
+
+
+def test_links_are_idempotent(spark):
+    none = spark.createDataFrame([], "src string, dst string, rel string, record_id string")
+    once = graph.linked(none, "a", "r", "b", "m1")
+    assert graph.linked(once, "a", "r", "b", "m1").count() == 1 and graph.linked(once, "a", "r", "b", "m2").count() == 2
