@@ -6,8 +6,12 @@ from collections.abc import Callable, Iterable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 NONE = np.int32(2**31 - 1)
+#: Hash of pairs: 64 bits over the golden ratio, of which the upper SLOT_BITS count.
+SPREAD, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 19
 
 
 class PairTable:
@@ -28,12 +32,23 @@ class PairTable:
         np.minimum.at(used, left, rank)
         np.minimum.at(used, right, rank)
         self.safe = np.append(used[made] > rank, False)
+        # One slot per hash value; keys that share theirs with another are marked and searched for.
+        self.shift = np.uint64(64 - SLOT_BITS)
+        slot = self._slot(self.keys[:-1])
+        self.slots = np.full(1 << SLOT_BITS, len(self.keys) - 1, np.int32)
+        self.slots[slot] = np.arange(len(slot), dtype=np.int32)
+        self.slots[np.flatnonzero(np.bincount(slot, minlength=1 << SLOT_BITS) > 1)] = -1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * SPREAD) >> self.shift).view(np.int64)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each pair's place in the table (the last one: none) and its rank. A symbol of -1 pairs with nothing."""
         key = left.astype(np.int64) * self.size + right
         key[(left < 0) | (right < 0)] = -1
-        at = np.searchsorted(self.keys, key).astype(np.int32)
+        at = self.slots[self._slot(key)]
+        shared = np.flatnonzero(at < 0)
+        at[shared] = np.searchsorted(self.keys, key[shared])
         at[self.keys[at] != key] = len(self.keys) - 1
         return at, self.rank[at]
 
@@ -98,7 +113,8 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class WordTable(dict):
     """Numbers of words and, by number, the ids they were encoded to. A word is encoded once, in a batch with others.
 
-    It holds about limit words and then starts anew, so a worker's memory is bounded whatever it reads.
+    It holds about limit words and then forgets those that came once, or all if that frees too few, so a worker's
+    memory is bounded whatever it reads.
     """
 
     def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int, batch: int = 5000):
@@ -109,7 +125,24 @@ class WordTable(dict):
     def _reset(self) -> None:
         self.clear()
         self.new: list = []
-        self.flat, self.start, self.size, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.start, self.size, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        """Drops the words that came at most once since the last time."""
+        stay = np.flatnonzero(self.hits[: len(self)] > 1)
+        if 2 * len(stay) > self.limit:
+            return self._reset()
+        words = list(self)
+        words = [words[i] for i in stay.tolist()]
+        start, size, flat = self.start[stay], self.size[stay], self.flat
+        self._reset()
+        self.update(zip(words, range(len(words))))
+        for name in ("start", "size", "hits"):
+            self._room(name, len(words))
+        self.flat = gather(flat, start, size)
+        self.used = len(self.flat)
+        self.start[: len(words)], self.size[: len(words)] = np.cumsum(size) - size, size
 
     def __missing__(self, word) -> int:
         self[word] = i = len(self)
@@ -123,6 +156,7 @@ class WordTable(dict):
 
     def _learn(self) -> None:
         at = len(self) - len(self.new)
+        self._room("hits", len(self))
         for i in range(0, len(self.new), self.batch):
             some = self.new[i : i + self.batch]
             flat, size = self.encode(some)
@@ -139,11 +173,30 @@ class WordTable(dict):
     def lookup(self, texts: Iterable[list]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, which are lists of words, joined; and how many each text has."""
         texts = list(texts)
-        if len(self) > self.limit:
-            self._reset()
+        self._make_room()
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
+        return self._found(np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum())), counts)
+
+    def lookup_split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """lookup() of texts (null: empty) whose words, as bytes, stand between ASCII white space; a step's distinct words alone become Python objects."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = lists.flatten()
+        full = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty word there
+        ends = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+        counts = np.diff(ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])])
+        coded = words.filter(full).dictionary_encode()
+        self._make_room()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
+        return self._found(numbers[coded.indices.to_numpy(zero_copy_only=False)], counts)
+
+    def _make_room(self) -> None:
+        if len(self) > self.limit:
+            self._forget()
+
+    def _found(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         self._learn()
+        self.hits[: len(self)] += np.bincount(numbers, minlength=len(self))
         size = self.size[numbers]
         total = np.concatenate([[0], np.cumsum(size)])
         ends = np.concatenate([[0], np.cumsum(counts)])

@@ -105,8 +105,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _tokenizer(path)
         end = np.array([END_ID], "<u4").tobytes()
-        for part, texts in steps(batches):
-            ids, n = known.lookup([t.encode().split() for t in texts])
+        for part, _ in steps(batches):
+            ids, n = known.lookup_split(part.column(1))
             ends, rows = np.cumsum(n), []
             whole = ids.astype("<u4").tobytes()
             for doc, a, b in zip(part.column(0).to_pylist(), (ends - n).tolist(), ends.tolist()):

@@ -241,3 +241,22 @@ def test_licence_rules_need_their_order(spark):
     texts = [mit, "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "A licence of my own. No permission.", "\n\n".join(reversed(mit.split("\n\n")))]
     out = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [out[i] for i in range(5)] == ["MIT", "MIT", "Apache-2.0", "", ""]
+
+
+def test_word_table_forgets_words_that_came_once():
+    import numpy as np
+    import pyarrow as pa
+
+    from memoryloom.llm.bpe import WordTable
+
+    def encode(words):
+        return np.array([c for w in words for c in w], np.int32), np.array([len(w) for w in words], np.int64)
+
+    table = WordTable(encode, 8, batch=3)
+    for k in range(60):
+        texts = [f" often  {'abc'[k % 3] * 3}\n", None, f"new{k} other{k}\t", "", "\x0b\x0c often"]
+        ids, n = table.lookup_split(pa.array(texts)) if k % 2 else table.lookup([(t or "").encode().split() for t in texts])
+        want = ["".join((t or "").split()) for t in texts]
+        assert "".join(map(chr, ids)) == "".join(want) and n.tolist() == [len(w) for w in want]
+        assert len(table) <= 8 + 5
+    assert [len(x) for x in table.lookup_split(pa.array([], pa.string()))] == [0, 0]
