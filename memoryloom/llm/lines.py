@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -205,16 +205,17 @@ def linked(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int,
                 join(p, i)
 
 
-def _links(scratch: Scratch, docs: DataFrame, met: DataFrame, least: float) -> DataFrame:
+def _links(scratch: Scratch, lines: DataFrame, met: DataFrame, least: float, sets_of: Callable[[], Callable[[list[str]], list[np.ndarray]]], block: int) -> DataFrame:
     """Links a, b (line ids) that connect what the similar pairs of all buckets (key, line_id) connect.
 
-    Buckets of the same lines, as near copies make in many bands, count once. A bucket of more than BLOCK lines is
+    lines has the texts (column line) of the ids, their xxhash64; sets_of() gives what makes sorted sets of codes of them.
+    Buckets of the same lines, as near copies make in many bands, count once. A bucket of more than block lines is
     dealt into parts and every pair of parts is one task's group, so a group is bounded and no pair of a bucket is
     left out. Only lines of buckets travel: a fixed-size bit table of their ids, joined in memory, turns the others
     away before the exact semi-join. It is a filter alone; where it fills up, the join does its work.
     """
     mark = [F.count(F.lit(1)).alias("n"), F.min("line_id").alias("lo"), F.bit_xor(F.xxhash64("line_id")).alias("x"), F.bit_xor(F.xxhash64("line_id", F.lit(1))).alias("y")]
-    once = met.groupBy("key").agg(*mark).groupBy("n", "lo", "x", "y").agg(F.min("key").alias("once")).select("once", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    once = met.groupBy("key").agg(*mark).groupBy("n", "lo", "x", "y").agg(F.min("key").alias("once")).select("once", F.ceil(F.col("n") / block).cast("int").alias("parts"))
     rows = met.join(once, F.col("key") == F.col("once")).select("key", "line_id", "parts", F.pmod(F.xxhash64("line_id"), F.col("parts")).cast("int").alias("mine"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = scratch.save(rows.select("key", "line_id", "mine", other.alias("other")).select("key", "line_id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
@@ -222,22 +223,21 @@ def _links(scratch: Scratch, docs: DataFrame, met: DataFrame, least: float) -> D
     word = lambda c: F.pmod(F.shiftrightunsigned(F.col(c), 6), F.lit(FILTER_WORDS)).cast("int")
     bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
     filled = need.groupBy(word("need").alias("word")).agg(F.bit_or(bit("need")).alias("bits"))
-    lines = docs.select(F.explode(F.split(docs["text"].cast("string"), "\n", -1)).alias("line")).where(F.length("line") >= LEAST_CHARS)
     lines = lines.select("line", F.xxhash64("line").alias("id"))
     lines = lines.join(F.broadcast(filled), word("id") == F.col("word")).where(F.col("bits").bitwiseAND(bit("id")) != 0)
     # An inner join: the optimiser moves a semi-join in front of the filter.
     texts = scratch.save(lines.join(need, F.col("id") == F.col("need")).dropDuplicates(["id"]).select("id", "line"), need, small=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, sets, shingler = None, [], [], Shingler()
+        group, ids, sets, made = None, [], [], sets_of()
 
         def out() -> pa.RecordBatch:
             pairs = linked(sets, least) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], ["a", "b"])
 
-        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
+        for batch in (b.slice(k, block // 2) for b in batches for k in range(0, b.num_rows, block // 2)):
             done = []
-            for key, i, j, x, own in zip(*(c.to_pylist() for c in batch.columns[:4]), shingler.sets(batch.column(4).to_pylist())):
+            for key, i, j, x, own in zip(*(c.to_pylist() for c in batch.columns[:4]), made(batch.column(4).to_pylist())):
                 if (key, i, j) != group:
                     done.append(out())
                     group, ids, sets = (key, i, j), [], []
@@ -253,13 +253,19 @@ def _links(scratch: Scratch, docs: DataFrame, met: DataFrame, least: float) -> D
     return scratch.save(dealt.mapInArrow(run, "a long, b long"), rows, texts)
 
 
-def line_classes(scratch: Scratch, docs: DataFrame, seen: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Components of similar lines: node, root (line ids), for lines that have a similar one."""
+def similar_links(scratch: Scratch, lines: DataFrame, seen: DataFrame, least: float, sets_of: Callable[[], Callable[[list[str]], list[np.ndarray]]], block: int = BLOCK) -> DataFrame:
+    """Links a, b that connect what the similar pairs among lines connect, from seen (line_id and bands or null)."""
     buckets = seen.where("bands is not null").select("line_id", F.explode("bands").alias("key"))
     key = W.partitionBy("key")
     several = buckets.select("key", "line_id", F.min("line_id").over(key).alias("lo"), F.max("line_id").over(key).alias("hi")).where("lo <> hi")
     met = scratch.save(several.select("key", "line_id").distinct())
-    return components(scratch, _links(scratch, docs, met, least))
+    return _links(scratch, lines, met, least, sets_of, block)
+
+
+def line_classes(scratch: Scratch, docs: DataFrame, seen: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Components of similar lines: node, root (line ids), for lines that have a similar one."""
+    lines = docs.select(F.explode(F.split(docs["text"].cast("string"), "\n", -1)).alias("line")).where(F.length("line") >= LEAST_CHARS)
+    return components(scratch, similar_links(scratch, lines, seen, least, lambda: Shingler().sets))
 
 
 def dropped_lines(scratch: Scratch, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

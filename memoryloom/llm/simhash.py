@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing."""
+"""SimHash near-duplicates by meet-in-the-middle ball hashing, and for the pipeline those by Jaccard similarity beside them."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from memoryloom.llm.lines import similar_links
 from memoryloom.llm.shared import Scratch, components, steps
 
 RADIUS = 3
@@ -18,12 +19,25 @@ RADIUS = 3
 PARTS = (range(0, 21), range(21, 42), range(42, 64))
 
 
-def fingerprint(words: list[bytes], shingle: int) -> int:
-    """64 bits as a signed integer: each set if it is set in over half of the shingles' XXH64."""
+#: Least Jaccard similarity of the pipeline's stage, and bands of so many hashes each: at it, all but 3 pairs in a million
+#: share a band by the formula.
+SIMILARITY, BANDS, HASHES = 0.8, 32, 5
+#: Texts of a part of a large bucket.
+BLOCK = 512
+SEEN_TEXTS = 1_000_000
+
+_RNG = np.random.default_rng(12)
+_FLIP = _RNG.integers(0, 2**64, BANDS * HASHES, np.uint64)
+_TIMES = _RNG.integers(0, 2**63, BANDS * HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _RNG.integers(0, 2**63, (BANDS, HASHES), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each run of shingle words; of all words if they are no more, and none if there is none."""
     import xxhash
 
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(joined, 42)]
@@ -32,7 +46,18 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
         starts = np.append(0, ends[:-1] + 1)
         h = xxhash.xxh64_intdigest
         hashes = [h(joined[s:e], 42) for s, e in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.array(hashes, np.uint64)
+
+
+def fingerprint(words: list[bytes], shingle: int) -> int:
+    """64 bits as a signed integer: each set if it is set in over half of the shingles' XXH64."""
+    return _majority(shingle_hashes(words, shingle))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes), bitorder="little").view("<i8")[0])
 
 
@@ -46,6 +71,58 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", doc_id:
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """Band keys [set, band] of sets of hashes, none of them empty: MinHash with a hash function for each of BANDS * HASHES."""
+    points, first = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    least = np.stack([np.minimum.reduceat((points ^ a) * b, first) for a, b in zip(_FLIP, _TIMES)], axis=1)
+    least ^= least >> np.uint64(32)
+    keys = (least.reshape(len(sets), BANDS, HASHES) * _BAND).sum(2, dtype=np.uint64)
+    keys ^= keys >> np.uint64(31)
+    return (keys * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and fp as in fingerprints, line_id (XXH64 of the text), and the bands where a task meets a text with words first."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        seen: set[int] = set()
+        for part, texts in steps(batches):
+            fps, ids, new, new_at = [], np.zeros(len(texts), np.uint64), [], []
+            for k, raw in enumerate(t.encode() for t in texts):
+                hashes = shingle_hashes(raw.lower().split(), shingle)
+                fps.append(_majority(hashes))
+                ids[k] = x = xxhash.xxh64_intdigest(raw, 42)
+                if len(hashes) and x not in seen:
+                    seen.add(x)
+                    new.append(hashes)
+                    new_at.append(k)
+            if len(seen) > SEEN_TEXTS:
+                seen.clear()
+            sizes = np.zeros(len(texts) + 1, np.int32)
+            sizes[np.array(new_at, np.int64) + 1] = BANDS
+            flat = band_keys(new).ravel() if new else np.zeros(0, np.int64)
+            bands = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64()), pa.array(ids.view(np.int64)), bands], ["doc_id", "fp", "line_id", "bands"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, line_id long, bands array<long>")
+
+
+def jaccard_links(scratch: Scratch, docs: DataFrame, found: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links a, b (fingerprints) that connect what texts of least Jaccard similarity of their shingles connect.
+
+    MinHash bands make candidates, and the similarity of the whole sets is verified. Equal texts are one.
+    """
+    sets = lambda texts: [np.unique(shingle_hashes(t.encode().lower().split(), shingle)).view(np.int64) for t in texts]
+    texts = docs.select(docs["text"].cast("string").alias("line")).where("line is not null")
+    links = similar_links(scratch, texts, found, least, lambda: sets, BLOCK)
+    of = found.select("line_id", "fp").distinct()
+    both = links.join(of.toDF("a2", "fa"), F.col("a") == F.col("a2")).join(of.toDF("b2", "fb"), F.col("b") == F.col("b2"))
+    return both.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).where("a <> b").distinct()
+
+
 def _mask(*bits: int) -> int:
     m = sum(1 << b for b in bits)
     return m - (1 << 64) if m >> 63 else m
@@ -92,17 +169,21 @@ def ball_links(fps: DataFrame) -> DataFrame:
     return met.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def classes(spark: SparkSession, docs: DataFrame, shingle: int = 3, extra: bool = False) -> DataFrame:
+def classes(spark: SparkSession, docs: DataFrame, shingle: int = 3, extra: bool = False, similarity: float | None = None) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach.
 
-    Texts are read once; the rest moves identifiers and fingerprints. Equal fingerprints are one node, so a large
+    similarity: texts of that Jaccard similarity or more are linked beside those of close fingerprints. Without it,
+    texts are read once and the rest moves identifiers and fingerprints. Equal fingerprints are one node, so a large
     group of copies costs one. Null ids are passed over as component_id unless a group has no other.
     """
     scratch = Scratch(spark)
-    found = scratch.save(fingerprints(docs, shingle))
+    found = scratch.save(sketches(docs, shingle) if similarity else fingerprints(docs, shingle))
     fps = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     near = scratch.save(close_enough(fps.select("fp")), small=True)
-    names = components(scratch, ball_links(near))
+    links = ball_links(near)
+    if similarity:
+        links = links.union(jaccard_links(scratch, docs, found, shingle, similarity))
+    names = components(scratch, links)
     owner = fps.join(names, fps.fp == names.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = owner.groupBy("root").agg(F.min("least").alias("component_id"))
     owner = owner.join(least, "root").select(F.col("fp").alias("fp2"), "component_id")
@@ -115,7 +196,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """docs without those whose group has a smaller doc_id; all columns stay. Rows with a null doc_id stay as they are."""
-    found = classes(spark, docs, shingle)
+    """docs without those whose group has a smaller doc_id; all columns stay. Rows with a null doc_id stay as they are.
+
+    Groups are those of close fingerprints and of texts of SIMILARITY or more.
+    """
+    found = classes(spark, docs, shingle, similarity=SIMILARITY)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -260,3 +260,36 @@ def test_word_table_forgets_words_that_came_once():
         assert "".join(map(chr, ids)) == "".join(want) and n.tolist() == [len(w) for w in want]
         assert len(table) <= 8 + 5
     assert [len(x) for x in table.lookup_split(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_pipeline_links_every_pair_of_four_fifths(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    base = [[word() for _ in range(r.choice([20, 60, 300]))] for _ in range(60)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for n in (1, 2, 4, 8):
+            c = list(b)
+            for i in r.sample(range(len(c)), min(n, max(1, len(c) // 40))):
+                c[i] = word()
+            texts.append(" ".join(c))
+        texts.append(" ".join(b[: len(b) * 85 // 100]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    fps = [simhash.fingerprint(t.encode().split(), 5) for t in texts]
+    far = [(i, j) for i, j in near if (fps[i] ^ fps[j]).bit_count() > simhash.RADIUS]
+    assert len(far) > 30
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: x.component_id for x in simhash.classes(spark, docs, 5, similarity=simhash.SIMILARITY).collect()}
+    assert all(got[i] == got[j] for i, j in near)
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in near + [(i, j) for j in range(len(texts)) for i in range(j) if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 3]:
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert got == {i: root(i) for i in range(len(texts))}
+    assert {x.doc_id for x in simhash.one_per_group(spark, docs).collect()} == {i for i in range(len(texts)) if root(i) == i}
