@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from memoryloom.llm.bpe import gather
 from memoryloom.llm.shared import Scratch, components, steps
 
-#: Characters of a shingle, least Jaccard similarity, and characters that a line needs to take part.
-SHINGLE, SIMILARITY, LEAST_CHARS = 5, 0.8, 48
+#: Characters of a shingle, and least Jaccard similarity. Lines that are shorter have no shingle and stay.
+SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of so many bins each: at a similarity of 0.8, 97.7 % of pairs share a band by the formula, at 0.9 all but 3 in
 #: 100,000; fewer bins let unrelated lines meet, in number as the square of the input.
 BANDS, BINS = 16, 7
@@ -113,7 +113,7 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, line_id of every line that takes part, and the bands where a task meets the line first."""
+    """doc_id, text_hash, line_no, line_id of every line of SHINGLE characters or more that is not blank, and the bands where a task meets the line first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -126,7 +126,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             for d, t in zip(part.column(0).to_pylist(), texts):
                 whole = None
                 for k, line in enumerate(t.split("\n")):
-                    if len(line) < LEAST_CHARS:
+                    if len(line) < SHINGLE or line.isspace():
                         continue
                     if whole is None:
                         whole = signed(h64(t.encode(), 42))
@@ -264,7 +264,7 @@ def similar_links(scratch: Scratch, lines: DataFrame, seen: DataFrame, least: fl
 
 def line_classes(scratch: Scratch, docs: DataFrame, seen: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Components of similar lines: node, root (line ids), for lines that have a similar one."""
-    lines = docs.select(F.explode(F.split(docs["text"].cast("string"), "\n", -1)).alias("line")).where(F.length("line") >= LEAST_CHARS)
+    lines = docs.select(F.explode(F.split(docs["text"].cast("string"), "\n", -1)).alias("line")).where(F.length("line") >= SHINGLE)
     return components(scratch, similar_links(scratch, lines, seen, least, lambda: Shingler().sets))
 
 

@@ -293,3 +293,10 @@ def test_pipeline_links_every_pair_of_four_fifths(spark):
         parent[max(root(i), root(j))] = min(root(i), root(j))
     assert got == {i: root(i) for i in range(len(texts))}
     assert {x.doc_id for x in simhash.one_per_group(spark, docs).collect()} == {i for i in range(len(texts)) if root(i) == i}
+
+
+def test_short_lines_that_repeat_go(spark):
+    rows = ["All rights reserved.\nnext:\nfirst text", "next:\n\n      \nsecond text here\nAll rights reserved.", "Released under the MIT License\n      \nother\nother", "Released under the MIT License."]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(rows)], DOCS)
+    got = {x.doc_id: [(y.line_no, y.owner_id, y.owner_no) for y in x.dropped] for x in lines.dropped_lines(Scratch(spark), docs).collect()}
+    assert got == {1: [(0, 0, 1), (4, 0, 0)], 2: [(3, 2, 2)], 3: [(0, 2, 0)]}
