@@ -68,21 +68,22 @@ def link(found: DataFrame) -> DataFrame:
 
     A part counts if parts of two other roles, or one and an access key, overlap its surroundings: an identifier
     needs a secret, a secret an identifier or endpoint, an endpoint a secret. This is an interval join on the text and
-    the scope-wide bin, each part being put in its own bin and the neighbours; distinct spans bound what a bin holds.
-    Equal texts are joined once. The semi-join gives no pairs.
+    the scope-wide bin: a left part is put in every bin from its start to its end, a right one in those of its
+    surroundings, so parts that are close share a bin however long they are; distinct spans bound what a bin holds.
+    Equal texts are joined once. The semi-join gives no pairs, and a part kept in several bins counts once.
     """
     texts = found.where("text_key is not null").dropDuplicates(["text_key"])
     roles = {"access": "id", "id_part": "id", "assign": "secret", "hex": "secret", "secret_part": "secret", "endpoint_part": "endpoint"}
     parts = texts.select("text_key", F.explode(F.concat(*roles)).alias("p")).select("text_key", "p.*")
     role = F.create_map(*[F.lit(x) for kv in roles.items() for x in kv])
     parts = parts.withColumn("role", role[F.col("kind")])
-    left = parts.where(F.col("kind").isin(list(WEAK))).withColumn("bin", F.expr(f"start div {SCOPE}"))
+    left = parts.where(F.col("kind").isin(list(WEAK))).withColumn("bin", F.explode(F.expr(f"sequence(start div {SCOPE}, end div {SCOPE})")))
     right = parts.select(F.col("text_key").alias("k2"), F.col("role").alias("role2"), F.col("start").alias("s2"), F.col("end").alias("e2"))
     right = right.withColumn("bin2", F.explode(F.expr(f"sequence(greatest(s2 - {SCOPE}, 0) div {SCOPE}, (e2 + {SCOPE}) div {SCOPE})")))
     apart = (F.col("s2") < F.col("end") + SCOPE) & (F.col("start") < F.col("e2") + SCOPE) & ((F.col("s2") >= F.col("end")) | (F.col("e2") <= F.col("start")))
     fits = (F.col("role") != F.col("role2")) & ((F.col("role") == "secret") | (F.col("role2") == "secret"))
     kept = left.join(right, (F.col("text_key") == F.col("k2")) & (F.col("bin") == F.col("bin2")) & apart & fits, "left_semi")
-    return kept.groupBy(F.col("text_key").alias("key2")).agg(F.collect_list(F.struct("start", "ord", "kind", "end")).alias("parts"))
+    return kept.groupBy(F.col("text_key").alias("key2")).agg(F.collect_set(F.struct("start", "ord", "kind", "end")).alias("parts"))
 
 
 def find(spark: SparkSession, docs: DataFrame) -> DataFrame:

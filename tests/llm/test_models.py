@@ -300,3 +300,18 @@ def test_short_lines_that_repeat_go(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(rows)], DOCS)
     got = {x.doc_id: [(y.line_no, y.owner_id, y.owner_no) for y in x.dropped] for x in lines.dropped_lines(Scratch(spark), docs).collect()}
     assert got == {1: [(0, 0, 1), (4, 0, 0)], 2: [(3, 2, 2)], 3: [(0, 2, 0)]}
+
+
+def test_secret_parts_meet_at_all_offsets_and_lengths(spark):
+    texts, want = [], []
+    for long in (32, 50, 399, 450, 1300):
+        for at in (0, 1, 390, 399, 400, 770):
+            for gap in (1, 10, 360, 390, 399, 400, 401):
+                key = "Ab1" + "x" * (long - 3)
+                for first, second in ((key, "login: alice"), ("login: alice", key)):
+                    texts.append(" " * at + first + " " * gap + second)
+                    want.append([] if gap >= 400 else [(at, at + len(first)), (at + len(first) + gap, at + len(first) + gap + len(second))])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: [(y.start, y.end) for y in x.spans] for x in secrets.find(spark, docs).collect()}
+    assert got == dict(enumerate(want))
+    assert not any("Ab1" in x.text for x in secrets.redact(spark, docs).collect() if want[x.doc_id])
