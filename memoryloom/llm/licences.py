@@ -28,6 +28,15 @@ SENTENCES = {
     "cc-by-sa-notice": "licensed under cc by sa 4 0",
     "cc0-notice": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
 }
+#: What END leaves of genuine texts where it cuts or words a sentence differently, in normal form, and the
+#: sentence it counts as. The SQL knows SENTENCES alone.
+VARIANTS = {
+    "licensed under the apache license version 2 0 the license": "apache-notice",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-basis",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-basis",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-redistribute",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
+}
 #: A licence is found where these sentences follow each other, other sentences between them or not.
 #: The first rule of a licence that matches at a place wins over those below it.
 RULES = [
@@ -67,7 +76,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     lines are met too: a text is read once by sentences as they stand, and once with single line ends as spaces.
     """
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
-    table = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
+    table = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)], *[F.lit(x) for kv in VARIANTS.items() for x in kv])
 
     def ids(whole: Column) -> Column:
         parts = F.filter(F.split(whole, END), lambda x: x.rlike(HINT))

@@ -315,3 +315,71 @@ def test_secret_parts_meet_at_all_offsets_and_lengths(spark):
     got = {x.doc_id: [(y.start, y.end) for y in x.spans] for x in secrets.find(spark, docs).collect()}
     assert got == dict(enumerate(want))
     assert not any("Ab1" in x.text for x in secrets.redact(spark, docs).collect() if want[x.doc_id])
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def _licensed(spark, texts):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    return [(x.sentence_ids, x.licences) for x in licences.scan(docs).sort("doc_id").collect()]
+
+
+def test_licences_of_genuine_headers(spark):
+    texts = [MIT, APACHE, GPL, BSD, ISC]
+    want = [
+        ("/mit-grant/mit-condition/as-is/", "MIT"),
+        ("/apache-notice/apache-use/apache-basis/", "Apache-2.0"),
+        ("/gpl-redistribute/gpl-hope/", "GPL-3.0-or-later"),
+        ("/bsd-grant/bsd-source/bsd-binary/", "BSD-2-Clause"),
+        ("/isc-grant/", "ISC"),
+    ]
+    assert _licensed(spark, texts) == want
+    assert _licensed(spark, [" ".join(t.split()) for t in texts]) == want
+    lesser = GPL.replace("GNU General", "GNU Lesser General")
+    assert _licensed(spark, [lesser])[0][1] == ""
