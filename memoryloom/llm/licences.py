@@ -73,19 +73,31 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     """doc_id, sentence_ids (in order, / before and after each) and licences (names by rule order, comma-joined).
 
     A row map of built-in functions: null or empty texts have none, repeated rows repeat. Sentences that wrap over
-    lines are met too: a text is read once by sentences as they stand, and once with single line ends as spaces.
+    lines are met too: a text is read once by sentences as they stand, and once with single line ends as spaces. What
+    either reading finds counts; a sentence that both find begins at the same letter and counts once.
     """
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     table = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)], *[F.lit(x) for kv in VARIANTS.items() for x in kv])
 
     def ids(whole: Column) -> Column:
-        parts = F.filter(F.split(whole, END), lambda x: x.rlike(HINT))
-        return F.filter(F.transform(parts, lambda x: F.try_element_at(table, normal(x))), lambda x: x.isNotNull())
+        """Sentences found: the place of their first letter or digit, and the identifier."""
+
+        def sized(part: Column, end: Column) -> Column:
+            lead = F.length(part) - F.length(F.regexp_replace(part, "^[^A-Za-z0-9]+", ""))
+            name = F.when(part.rlike(HINT), F.try_element_at(table, normal(part)))
+            return F.struct(lead.alias("lead"), (F.length(part) + F.coalesce(F.length(end), F.lit(0))).alias("size"), name.alias("id"))
+
+        def step(acc: Column, x: Column) -> Column:
+            row = F.struct((acc["at"] + x["lead"]).alias("at"), x["id"].alias("id"))
+            return F.struct((acc["at"] + x["size"]).alias("at"), F.when(x["id"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(row))).alias("out"))
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at: int, id: string>>").alias("out"))
+        parts = F.zip_with(F.split(whole, END), F.regexp_extract_all(whole, F.lit(END), F.lit(0)), sized)
+        return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
     wrapped = F.regexp_replace(F.col("t"), r"(?<!\n)\n(?!\n)", " ")
-    both = F.array(ids(F.col("t")), ids(wrapped))
-    better = F.when(F.size(both[1]) > F.size(both[0]), both[1]).otherwise(both[0])
-    found = F.when(F.col("t").rlike(HINT), F.concat(F.lit("/"), F.array_join(better, "/"), F.lit("/"))).otherwise(F.lit("//"))
+    both = F.transform(F.array_sort(F.array_distinct(F.concat(ids(F.col("t")), ids(wrapped)))), lambda x: x["id"])
+    found = F.when(F.col("t").rlike(HINT), F.concat(F.lit("/"), F.array_join(both, "/"), F.lit("/"))).otherwise(F.lit("//"))
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), t.alias("t")).select("doc_id", found.alias("s"))
     rules = F.array(*[F.when(F.col("s").rlike("/" + "/(?:.*/)?".join(r) + "/"), F.lit(name)) for name, r in RULES])
     names = F.array_join(F.array_distinct(F.filter(rules, lambda x: x.isNotNull())), ",")

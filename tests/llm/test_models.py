@@ -383,3 +383,13 @@ def test_licences_of_genuine_headers(spark):
     assert _licensed(spark, [" ".join(t.split()) for t in texts]) == want
     lesser = GPL.replace("GNU General", "GNU Lesser General")
     assert _licensed(spark, [lesser])[0][1] == ""
+
+
+def test_licences_of_both_readings(spark):
+    bare = "some text\nLicensed under CC BY 4.0\nmore text\n"
+    got = _licensed(spark, [bare + "\n" + MIT, MIT + "\n\n" + bare, bare + bare.replace("CC BY", "CC BY SA") + bare.replace("CC BY", "CC BY NC") + bare.replace("CC BY 4.0", "the MIT License") + "\n" + ISC])
+    assert got == [
+        ("/cc-by-notice/mit-grant/mit-condition/as-is/", "MIT,CC-BY-4.0"),
+        ("/mit-grant/mit-condition/as-is/cc-by-notice/", "MIT,CC-BY-4.0"),
+        ("/cc-by-notice/cc-by-sa-notice/cc-by-nc-notice/mit-licensed/isc-grant/", "MIT,ISC,CC-BY-NC-4.0,CC-BY-4.0,CC-BY-SA-4.0"),
+    ]
