@@ -22,8 +22,9 @@ MODEL = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
 CACHE_WORDS = 400_000
-#: Rounds of the multiplicative-weights solver.
-ROUNDS = 240
+#: Multiplicative weights: phases, rounds and passes at most, the gap to the bound at which they stop, the rate at which a
+#: covered share lowers a length's value, and what a configuration may lose against the best, more with each round.
+PHASES, ROUNDS, PASSES, GAP, RATE, LOSS = 2, 8, 6, 0.01, 0.5, 0.002
 #: Pieces of a length that one task ranks.
 RANKED_ROWS = 20_000
 
@@ -121,69 +122,126 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def _price(value: np.ndarray) -> np.ndarray:
-    """Knapsack by dynamic programming: how often each length occurs in the configuration of most value. value[0] is unused."""
+def knapsack(value: np.ndarray) -> np.ndarray:
+    """The most value that each capacity holds, by dynamic programming, where a piece of length l is worth value[l]. value[0] is unused."""
     cap = len(value) - 1
-    best, took = np.zeros(cap + 1), np.zeros(cap + 1, np.int64)
+    best = np.zeros(cap + 1)
     for c in range(1, cap + 1):
-        gain = best[c - 1 :: -1] if c < cap + 1 else best[::-1]
-        gain = gain[:c] + value[1 : c + 1]
-        k = int(gain.argmax())
-        if gain[k] > best[c - 1]:
-            best[c], took[c] = gain[k], k + 1
-        else:
-            best[c] = best[c - 1]
-    config, c = np.zeros(cap + 1, np.int64), cap
-    while c > 0:
-        if took[c]:
-            config[took[c]] += 1
-            c -= took[c]
-        else:
-            c -= 1
-    return config
-
-
-def configurations(counts: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """Fractional solution of: least sum of x with (times a length occurs in configurations) . x >= counts.
-
-    Multiplicative weights: the dual value of a length starts in proportion to it, which makes all full sequences
-    equal, and shrinks exponentially with the share of its pieces that is covered. Every round prices by the knapsack
-    and adds the configuration found, as much as covers a fraction of its scarcest length. Scaled to cover everything.
+        best[c] = max(best[c - 1], (best[c - 1 :: -1][:c] + value[1 : c + 1]).max())
+    return best
+
+
+def _column(first: int, value: np.ndarray, best: np.ndarray, least: float, open_: np.ndarray, skip: int) -> list[int] | None:
+    """Lengths of a configuration that holds first and is worth least or more, else None.
+
+    It is filled up with the longest open length of those that the knapsack can still bring to least; skip passes over
+    that many of the longest ones at the second place.
     """
-    cap = len(counts) - 1
-    there = counts > 0
-    share, found = np.zeros(cap + 1), {}
-    for _ in range(rounds):
-        low = share[there].min() if there.any() else 0
-        value = np.where(there, np.arange(cap + 1) / cap * np.exp(-np.minimum(4.0 * (share - low), 50)), -1.0)
-        config = _price(value)
-        used = config > 0
-        if not used.any():
+    got, gain, left = [first], value[first], len(value) - 1 - first
+    while left:
+        some = np.where(open_[1 : left + 1], value[1 : left + 1] + best[left - 1 :: -1][:left], -1.0)
+        ok = np.flatnonzero(some >= least - gain - 1e-12)
+        if not len(ok):
             break
-        amount = float((counts[used] / config[used]).min()) / 2
-        share[used] += config[used] * amount / counts[used]
-        key = config.tobytes()
-        found[key] = found.get(key, 0.0) + amount
-    least = share[there].min() if there.any() else 1
-    scale = 1 / least if least > 0 else 1.0
-    return [(np.frombuffer(k, np.int64), x * scale) for k, x in found.items()]
+        k = int(ok[-1 - min(skip, len(ok) - 1)]) + 1
+        got.append(k)
+        gain, left, skip = gain + value[k], left - k, 0
+    return got if gain >= least - 1e-12 else None
+
+
+def configurations(counts: np.ndarray, rounds: int = ROUNDS, gap: float = GAP) -> tuple[dict[tuple[int, ...], float], float]:
+    """Fractional solution of: least sum of x with (times a length occurs in configurations) . x >= counts, and a lower bound.
+
+    Multiplicative weights. The dual value of a length starts in proportion to it, which makes all full sequences
+    equal, and shrinks exponentially with the share of its pieces that is covered. A round covers every length once
+    more, in passes: the knapsack prices the lengths still open, and from the length furthest behind on configurations
+    are added that are worth nearly the best, each as much as covers one of its lengths for this round. What only
+    fits configurations below a fair price, the dual value of all pieces over the bound, waits and gains in value. No
+    length is covered beyond the rounds, so the solution divided by them takes no more pieces than there are. The
+    bound is the dual value over the knapsack's best, of single rounds or their mean. Rounds end when cost over the
+    least covered share is within gap of it; without that, they start anew from the mean dual values, with half the
+    rate, and the best of these solutions counts. A length that no round reached gets the best configuration that holds it.
+    """
+    cap, n = len(counts) - 1, counts.astype(float)
+    there = np.flatnonzero(counts > 0)
+    if not len(there):
+        return {}, 0.0
+    base, bound, best_ratio, solution = there / cap, 0.0, np.inf, {}
+    for phase in range(PHASES):
+        rate, share, mean, found, cost = RATE / 2**phase, np.zeros(cap + 1), np.zeros(cap + 1), {}, 0.0
+        for turn in range(1, rounds + 1):
+            value = np.full(cap + 1, -1.0)
+            value[there] = base * np.exp(-rate * np.minimum(share[there] - share[there].min(), 100))
+            best = knapsack(value)
+            mean[there] += value[there] / best[cap]
+            bound = max(bound, float(n[there] @ value[there] / best[cap]))
+            if turn % 4 == 0:
+                bound = max(bound, float(n[there] @ mean[there] / knapsack(np.where(counts > 0, mean, -1.0))[cap]))
+            room = np.where(counts > 0, turn - share, 0.0)
+            fair = (1 - LOSS * min(turn, 10)) * float(n[there] @ value[there]) / bound
+            for _ in range(PASSES):
+                open_ = room > 1e-9
+                priced = np.where(open_, value, -1.0)
+                best = knapsack(priced)
+                least = max(best[cap] * (1 - LOSS), fair)
+                added = 0.0
+                for first in there[np.lexsort((-there, -room[there]))].tolist() if best[cap] >= least else ():
+                    skip = 0
+                    while room[first] > 1e-9 and skip < 3:
+                        got = _column(first, priced, best, least, room > 1e-9, skip)
+                        if got is None:
+                            skip += 1
+                            continue
+                        ks, times = np.unique(got, return_counts=True)
+                        amount = float((room[ks] * n[ks] / times).min())
+                        amount = np.floor(amount + 1e-9) if amount >= 1 else amount
+                        share[ks] += times * amount / n[ks]
+                        room[ks] -= times * amount / n[ks]
+                        found[tuple(got)] = found.get(tuple(got), 0.0) + amount
+                        added += amount
+                cost += added
+                if not added:
+                    break
+            least_share = share[there].min()
+            if least_share > 0 and cost / least_share <= (1 + gap) * bound:
+                break
+        for first in there[share[there] < 1e-9].tolist():
+            got = _column(first, value, knapsack(value), value[first], counts > 0, 0)
+            found[tuple(got)] = amount = turn * n[first] / got.count(first)
+            cost, share[first] = cost + amount, turn
+        if (ratio := cost / share[there].min()) < best_ratio:
+            best_ratio, solution = ratio, {c: x / turn for c, x in found.items()}
+        if best_ratio <= (1 + gap) * bound:
+            break
+        base = mean[there] / turn
+    return solution, bound
 
 
-def plan(counts: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int, ...], int]], int]:
-    """Rounded solution: (lengths in a sequence, number of such sequences), and the number of sequences.
+def rounded(counts: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Configurations of the program a whole number of times, and the pieces left.
 
-    Configurations are taken in the order of their weight, rounded down and never beyond the pieces left. What is
-    left goes by best fit, longest first, over runs of equal sequences, so the work depends on the number of lengths.
+    Whole parts first, which always fit; then one more of each configuration by its fraction, largest first, while its
+    pieces are there. The program is solved anew for what is left, as long as that takes at least a tenth of it.
     """
-    left, cap = counts.copy(), len(counts) - 1
-    out: list[tuple[tuple[int, ...], int]] = []
-    for config, x in sorted(configurations(counts, rounds), key=lambda c: -c[1]):
-        used = config > 0
-        full = int((np.arange(cap + 1) * config).sum()) == cap
-        n = int(min(np.floor(x) if full else 0, (left[used] // config[used]).min()))
-        if n > 0:
-            left[used] -= n * config[used]
-            out.append((tuple(np.repeat(np.arange(cap + 1), config).tolist()), n))
+    left, out = counts.copy(), []
+    while left.any():
+        before = int(left.sum())
+        found = sorted(configurations(left, rounds)[0].items(), key=lambda p: (-(p[1] % 1), p[0]))
+        parts = [(*np.unique(c, return_counts=True), c, x) for c, x in found]
+        for up in (0, 1):
+            for ks, times, c, x in parts:
+                n = int(min(np.floor(x + 1e-9) if not up else 1, (left[ks] // times).min()))
+                if n > 0:
+                    left[ks] -= n * times
+                    out.append((c, n))
+        if before - left.sum() < before / 10:
+            break
+    return out, left
+
+
+def best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, longest first, over runs of equal sequences, so the work depends on the number of lengths."""
+    cap, left = len(left) - 1, left.copy()
     open_: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(cap + 1)]
     for length in range(cap, 0, -1):
         todo = int(left[length])
@@ -208,7 +266,13 @@ def plan(counts: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int
                 open_[room].append((held, bins - full - (rest > 0)))
             todo -= full * each + rest
             room = length
-    out += [x for group in open_ for x in group]
+    return [x for group in open_ for x in group]
+
+
+def plan(counts: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """(lengths in a sequence, number of such sequences), and the number of sequences: the program rounded, the few pieces left by best fit."""
+    out, left = rounded(counts, rounds)
+    out += best_fit(left)
     return out, sum(n for _, n in out)
 
 
