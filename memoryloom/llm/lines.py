@@ -7,11 +7,10 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memoryloom.llm.bpe import gather
-from memoryloom.llm.shared import Scratch, components, steps
+from memoryloom.llm.shared import Scratch, components, forest, plain, steps
 
 #: Characters of a shingle, and least Jaccard similarity. Lines that are shorter have no shingle and stay.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -24,7 +23,7 @@ SEEN_LINES = 1_000_000
 #: Words of 64 bits in the filter of candidate lines; a table of that many rows at most is broadcast.
 FILTER_WORDS = 1 << 19
 #: Lines of a part of a large bucket; a task compares those of two parts at a time.
-BLOCK = 2048
+BLOCK = 512
 
 _RNG = np.random.default_rng(11)
 _MIX = _RNG.integers(0, 2**31, SHINGLE, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -205,28 +204,23 @@ def linked(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int,
                 join(p, i)
 
 
-def _links(scratch: Scratch, lines: DataFrame, met: DataFrame, least: float, sets_of: Callable[[], Callable[[list[str]], list[np.ndarray]]], block: int) -> DataFrame:
-    """Links a, b (line ids) that connect what the similar pairs of all buckets (key, line_id) connect.
+def _needed(lines: DataFrame, need: DataFrame) -> DataFrame:
+    """id and line of the lines (column line) whose xxhash64 stands in need (distinct), once each.
 
-    lines has the texts (column line) of the ids, their xxhash64; sets_of() gives what makes sorted sets of codes of them.
-    Buckets of the same lines, as near copies make in many bands, count once. A bucket of more than block lines is
-    dealt into parts and every pair of parts is one task's group, so a group is bounded and no pair of a bucket is
-    left out. Only lines of buckets travel: a fixed-size bit table of their ids, joined in memory, turns the others
-    away before the exact semi-join. It is a filter alone; where it fills up, the join does its work.
+    A fixed-size bit table of those ids, joined in memory, turns most others away before the exact join. It is a
+    filter alone; where it fills up, the join does its work.
     """
-    mark = [F.count(F.lit(1)).alias("n"), F.min("line_id").alias("lo"), F.bit_xor(F.xxhash64("line_id")).alias("x"), F.bit_xor(F.xxhash64("line_id", F.lit(1))).alias("y")]
-    once = met.groupBy("key").agg(*mark).groupBy("n", "lo", "x", "y").agg(F.min("key").alias("once")).select("once", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    rows = met.join(once, F.col("key") == F.col("once")).select("key", "line_id", "parts", F.pmod(F.xxhash64("line_id"), F.col("parts")).cast("int").alias("mine"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = scratch.save(rows.select("key", "line_id", "mine", other.alias("other")).select("key", "line_id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
-    need = scratch.save(rows.select(F.col("line_id").alias("need")).distinct(), small=True)
     word = lambda c: F.pmod(F.shiftrightunsigned(F.col(c), 6), F.lit(FILTER_WORDS)).cast("int")
     bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
     filled = need.groupBy(word("need").alias("word")).agg(F.bit_or(bit("need")).alias("bits"))
     lines = lines.select("line", F.xxhash64("line").alias("id"))
     lines = lines.join(F.broadcast(filled), word("id") == F.col("word")).where(F.col("bits").bitwiseAND(bit("id")) != 0)
     # An inner join: the optimiser moves a semi-join in front of the filter.
-    texts = scratch.save(lines.join(need, F.col("id") == F.col("need")).dropDuplicates(["id"]).select("id", "line"), need, small=True)
+    return lines.join(need, F.col("id") == F.col("need")).dropDuplicates(["id"]).select("id", "line")
+
+
+def _compared(scratch: Scratch, rows: DataFrame, texts: DataFrame, least: float, sets_of: Callable, block: int) -> DataFrame:
+    """Links a, b of groups (key, i, j) of rows, whose line_id has its line in texts: forests, for each run of groups."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, sets, made = None, [], [], sets_of()
@@ -250,22 +244,58 @@ def _links(scratch: Scratch, lines: DataFrame, met: DataFrame, least: float, set
     both = rows.join(texts, F.col("line_id") == F.col("id")).select("key", "i", "j", "line_id", "line")
     parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = both.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "line_id")
-    return scratch.save(dealt.mapInArrow(run, "a long, b long"), rows, texts)
+    return dealt.mapInArrow(lambda batches: forest(run(batches)), "a long, b long")
+
+
+def _links(scratch: Scratch, lines: DataFrame, met: DataFrame, least: float, sets_of: Callable[[], Callable[[list[str]], list[np.ndarray]]], block: int) -> DataFrame:
+    """Links a, b (line ids) that connect what the similar pairs of all buckets (key, line_id) connect.
+
+    lines has the texts (column line) of the ids, their xxhash64; sets_of() gives what makes sorted sets of codes of them.
+    Buckets of the same lines, as near copies make in many bands, count once. A bucket of more than block lines is
+    dealt into parts that are linked each for itself. Of what that leaves apart, a similar pair has a side outside the
+    bucket's largest component; so the lines outside it, and they alone, are held against every part, in groups of
+    block. Near copies leave few of them, so the work grows with the bucket, and no similar pair stays unlinked.
+    """
+    mark = [F.count(F.lit(1)).alias("n"), F.min("line_id").alias("lo"), F.bit_xor(F.xxhash64("line_id")).alias("x"), F.bit_xor(F.xxhash64("line_id", F.lit(1))).alias("y")]
+    once = met.groupBy("key").agg(*mark).groupBy("n", "lo", "x", "y").agg(F.min("key").alias("once"))
+    once = scratch.save(once.select("once", F.ceil(F.col("n") / block).cast("int").alias("parts")), small=True)
+    rows = met.join(once, F.col("key") == F.col("once")).select("key", "line_id", "parts", F.pmod(F.xxhash64("line_id"), F.col("parts")).cast("int").alias("i"))
+    rows = scratch.save(rows.withColumn("j", F.lit(-1)))
+    texts = scratch.save(_needed(lines, scratch.save(rows.select(F.col("line_id").alias("need")).distinct(), small=True)), small=True)
+    links = _compared(scratch, rows, texts, least, sets_of, block)
+    large = rows.where("parts > 1")
+    if large.isEmpty():
+        return links
+    links = scratch.save(links, small=True)
+    names = components(scratch, links, forests=True)
+    named = large.join(names, large.line_id == names.node, "left").select("key", "line_id", "parts", "i", F.coalesce("root", "line_id").alias("cls"))
+    named = scratch.save(named)
+    sizes = named.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("k2"))
+    most = scratch.save(sizes.agg(F.max_by("cls", F.struct("n", "cls")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("n")), small=True)
+    rest = named.join(most, F.col("key") == F.col("k2")).where("cls <> top")
+    minor = F.pmod(F.xxhash64("line_id", F.lit(1)), F.ceil((F.col("all") - F.col("n")) / block)).cast("int")
+    rest = scratch.save(rest.select("key", "line_id", "parts", minor.alias("j"), F.ceil((F.col("all") - F.col("n")) / block).cast("int").alias("groups")), small=True)
+    apart = rest.select("key", "line_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), "j")
+    few = rest.groupBy(F.col("key").alias("k2")).agg(F.max("groups").alias("groups"))
+    whole = named.join(few, F.col("key") == F.col("k2")).select("key", "line_id", "i", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("j"))
+    more = _compared(scratch, whole.select("key", "line_id", "i", "j").union(apart.select("key", "line_id", "i", "j")).distinct(), texts, least, sets_of, block)
+    return links.union(more)
 
 
 def similar_links(scratch: Scratch, lines: DataFrame, seen: DataFrame, least: float, sets_of: Callable[[], Callable[[list[str]], list[np.ndarray]]], block: int = BLOCK) -> DataFrame:
-    """Links a, b that connect what the similar pairs among lines connect, from seen (line_id and bands or null)."""
+    """Links a, b that connect what the similar pairs among lines connect, from seen (line_id and bands or null); forests for each task."""
     buckets = seen.where("bands is not null").select("line_id", F.explode("bands").alias("key"))
-    key = W.partitionBy("key")
-    several = buckets.select("key", "line_id", F.min("line_id").over(key).alias("lo"), F.max("line_id").over(key).alias("hi")).where("lo <> hi")
-    met = scratch.save(several.select("key", "line_id").distinct())
+    # One exchange serves both sides; the keys of several lines are few, so they are the table and the rows pass by.
+    dealt = buckets.repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    several = dealt.groupBy(F.col("key").alias("k2")).agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).where("lo <> hi")
+    met = scratch.save(dealt.join(several.select("k2").hint("shuffle_hash"), F.col("key") == F.col("k2")).select("key", "line_id").distinct())
     return _links(scratch, lines, met, least, sets_of, block)
 
 
 def line_classes(scratch: Scratch, docs: DataFrame, seen: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Components of similar lines: node, root (line ids), for lines that have a similar one."""
     lines = docs.select(F.explode(F.split(docs["text"].cast("string"), "\n", -1)).alias("line")).where(F.length("line") >= SHINGLE)
-    return components(scratch, similar_links(scratch, lines, seen, least, lambda: Shingler().sets))
+    return components(scratch, similar_links(scratch, lines, seen, least, lambda: Shingler().sets), forests=True)
 
 
 def dropped_lines(scratch: Scratch, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -280,25 +310,23 @@ def dropped_lines(scratch: Scratch, docs: DataFrame, least: float = SIMILARITY)
     # Only lines that repeat or have a similar one go on; the others are counted, with a hash aggregate, and left.
     counted = seen.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"))
     some = counted.join(names, counted.line_id == names.node, "left").where("n > 1 or root is not null")
-    some = some.select(F.col("line_id").alias("some_id"), F.coalesce("root", "line_id").alias("cls"))
+    some = scratch.save(some.select(F.col("line_id").alias("some_id"), F.coalesce("root", "line_id").alias("cls")), small=True)
     rows = scratch.save(seen.drop("bands").join(some, F.col("line_id") == F.col("some_id")).select("doc_id", "text_hash", "line_no", "cls"), small=True)
     place = F.struct("doc_id", "text_hash", "line_no")
     owners = rows.groupBy(F.col("cls").alias("cls2")).agg(F.count(F.lit(1)).alias("total"), F.min(place).alias("owner")).where("total > 1")
+    # Written, so that the join has two exchanges of rows and Spark can split a very common class.
+    owners = scratch.save(owners, small=True)
     gone = rows.join(owners, F.col("cls") == F.col("cls2")).where(~place.eqNullSafe(F.col("owner")))
     gone = gone.select("doc_id", "text_hash", F.struct("line_no", F.col("owner.doc_id").alias("owner_id"), F.col("owner.line_no").alias("owner_no")).alias("x"))
     return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("x")).alias("dropped"))
 
 
-def _joined(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    gone = gone.toDF("_doc", "_text", "_dropped")
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_text")), "left")
-
-
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its number of lines, the dropped ones, and for each of them line:document:line of the one kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    gone = dropped_lines(Scratch(spark), docs)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.xxhash64("text").alias("h"))
+    with Scratch(spark) as scratch:
+        gone = scratch.keep(dropped_lines(scratch, docs))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.xxhash64("text").alias("h"))
     gone = gone.toDF("d2", "h2", "dropped")
     out = rows.join(gone, rows.doc_id.eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left")
     empty = F.coalesce("dropped", F.array().cast("array<struct<line_no:int,owner_id:bigint,owner_no:int>>"))
@@ -307,11 +335,17 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, most: float = 0.8) -> DataFrame:
-    """docs with repeated lines taken out of the text; a document of which they hold over most of the characters goes."""
-    joined = _joined(docs, dropped_lines(Scratch(spark), docs))
-    lines = F.split("text", "\n", -1)
-    numbers = F.transform("_dropped", lambda x: x["line_no"])
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(numbers, i)), "\n")
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept)
-    stays = F.col("_dropped").isNull() | (F.length(text) >= F.length("text") * (1 - most))
-    return joined.where(stays).withColumn("text", text).select(*docs.columns)
+    """docs with repeated lines taken out of the text; a document of which they hold over most of the characters goes.
+
+    Null and empty texts stay as they are; equal rows lose the same lines; an empty table stays empty; other columns
+    may have any names. Texts of any length are cut by one filter over their array of lines.
+    """
+    with Scratch(spark) as scratch:
+        gone = scratch.keep(dropped_lines(scratch, docs)).toDF("gone_id", "gone_hash", "gone_lines")
+    rows, doc, text = plain(docs)
+    joined = rows.join(gone, rows[doc].cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(rows[text].cast("string")) == F.col("gone_hash")), "left")
+    numbers = F.transform("gone_lines", lambda x: x["line_no"])
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(numbers, i)), "\n")
+    cut = F.when(F.col("gone_lines").isNull(), F.col(text)).otherwise(kept)
+    stays = F.col("gone_lines").isNull() | (F.length(cut) >= F.length(text) * (1 - most))
+    return joined.where(stays).select(*(cut.alias(c) if c == text else c for c in rows.columns)).toDF(*docs.columns)

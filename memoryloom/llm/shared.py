@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 HELD_OUT = 1
 #: Characters that one step of a text operator holds as Python objects.
 STEP_CHARS = 2_000_000
+#: Links that one task joins at a time, in arrays of 8 bytes a node.
+MOST_LINKS = 1_000_000
 
 
 def held_out(doc_id) -> F.Column:
@@ -22,7 +25,12 @@ def held_out(doc_id) -> F.Column:
 
 
 class Scratch:
-    """Tables that cut lineage. They lie in the folder that spark.checkpoint.dir names, which every executor sees."""
+    """Tables that cut lineage. They lie in the folder that spark.checkpoint.dir names, which every executor sees.
+
+    As a context manager it deletes its tables at the end, but for the one that keep() names, and all of them after a
+    failure. A kept table is what a lazy result still reads; it stays until the folder is cleared. Where the setting
+    is missing, a local master gets a temporary folder, since driver and executors are one process; others raise.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -33,6 +41,14 @@ class Scratch:
             folder = _local_folder()
         self.folder = f"{folder.rstrip('/')}/memoryloom-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.kept: set[str] = set()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        for path in [x for x in self.paths.values() if kind or x not in self.kept]:
+            self._delete(path)
 
     def save(self, df: DataFrame, *drop: DataFrame | None, small: bool = False) -> DataFrame:
         """df written and reread; the tables in drop, which only df needed, are deleted.
@@ -50,10 +66,25 @@ class Scratch:
             self.drop(x)
         return out
 
+    def keep(self, df: DataFrame, small: bool = True) -> DataFrame:
+        """df written as the table that outlives the others."""
+        out = self.save(df, small=small)
+        self.kept.add(self.paths[id(out)])
+        return out
+
     def drop(self, df: DataFrame | None) -> None:
         if df is not None and (path := self.paths.pop(id(df), None)):
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def plain(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with its columns named c0, c1, ... by place, and those of doc_id and text: no other name clashes or needs quotes."""
+    names = docs.columns
+    return docs.toDF(*(f"c{i}" for i in range(len(names)))), f"c{names.index('doc_id')}", f"c{names.index('text')}"
 
 
 _LOCAL: list[str] = []
@@ -77,54 +108,75 @@ def steps(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[t
             yield part, [x or "" for x in part.column(part.schema.get_field_index(column)).to_pylist()]
 
 
-def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over each run of at most a million links: node and root of the trees found there."""
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the links a, b and the least node of its component: hooks onto the least neighbour, then pointer jumps."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, parent = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        pu, pv = parent[u], parent[v]
+        apart = pu != pv
+        if not apart.any():
+            return nodes, nodes[parent]
+        u, v, pu, pv = u[apart], v[apart], pu[apart], pv[apart]
+        np.minimum.at(parent, np.maximum(pu, pv), np.minimum(pu, pv))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+
 
-    def out(parent: dict[int, int]) -> pa.RecordBatch:
-        pairs = [(n, r) for n in parent if (r := root(parent, n)) != n]
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+def forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links a, b: each node of a run of about MOST_LINKS links and its root there, in place of the links."""
 
-    def root(parent: dict[int, int], x: int) -> int:
-        top = x
-        while parent[top] != top:
-            top = parent[top]
-        while parent[x] != top:
-            parent[x], x = top, parent[x]
-        return top
+    def out() -> pa.RecordBatch:
+        node, root = _roots(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        return pa.RecordBatch.from_arrays([pa.array(node[node != root]), pa.array(root[node != root])], ["a", "b"])
 
-    parent: dict[int, int] = {}
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            x, y = root(parent, a), root(parent, b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        if len(parent) > 1_000_000:
-            yield out(parent)
-            parent = {}
-    yield out(parent)
-
-
-def components(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b: long): one row (node, root) per node that has a link.
-
-    Distributed union-find: each partition first reduces its links to a forest; then, round by round, every node
-    hooks onto the neighbour of least hash, links are renamed to the hooked nodes and the ones inside a node go.
-    Hashes change with the round, so chains shrink by a constant factor. The least neighbour is an aggregate with
-    map-side combining, so a node with very many links is no hot task, and nothing but the emptiness of a round
-    reaches the driver. Every round is written to the shared folder.
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(x) for x, _ in held) > MOST_LINKS:
+            yield out()
+            held = []
+    if held:
+        yield out()
+
+
+def _names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links at once: node and root of every node."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        node, root = _roots(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
+
+
+def components(scratch: Scratch, links: DataFrame, forests: bool = False, alone: int = MOST_LINKS) -> DataFrame:
+    """Connected components of links (a, b: long): one row (node, root) per node that has a link; none for no links.
+
+    Distributed union-find: each partition first reduces its links to a forest (unless they are forests already);
+    then, round by round, every node hooks onto the neighbour of least hash, links are renamed to the hooked nodes and
+    the ones inside a node go. Hashes change with the round, so chains shrink by a constant factor. As soon as no more
+    than alone links are left, whatever the input was, one task joins them. The least neighbour is an aggregate with
+    map-side combining; the joins that rename a node with very many links, as the root of a large tree is, have a
+    written table on either side, so Spark can split them. Only the number of links of a round reaches the driver.
+    Links, hooks and names are written every round, so no plan grows with the rounds.
     """
-    edges = scratch.save(links.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long").distinct(), small=True)
+    links = links.select("a", "b").where("a <> b")
+    edges = scratch.save((links if forests else links.mapInArrow(forest, "a long, b long")).distinct(), small=True)
     names, turn = None, 0
-    while not edges.isEmpty():
+    while n := edges.count():
         turn += 1
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
-        least = edges.select("a", "b").union(edges.select("b", "a")).groupBy("a").agg(F.min(rank("b")).alias("m"))
-        hooks = scratch.save(least.select(F.col("a").alias("node"), F.least(F.col("m"), rank("a"))["n"].alias("root")), small=True)
+        if n <= alone:
+            hooks = scratch.save(edges.coalesce(1).mapInArrow(_names, "node long, root long"))
+        else:
+            rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+            least = edges.select("a", "b").union(edges.select("b", "a")).groupBy("a").agg(F.min(rank("b")).alias("m"))
+            hooks = scratch.save(least.select(F.col("a").alias("node"), F.least(F.col("m"), rank("a"))["n"].alias("root")), small=True)
         to = hooks.toDF("n2", "r2")
-        names = hooks if names is None else names.join(to, names.root == to.n2, "left").select("node", F.coalesce("r2", "root").alias("root"))
+        old, names = names, hooks
+        if old is not None:
+            names = scratch.save(old.join(to, old.root == to.n2, "left").select("node", F.coalesce("r2", "root").alias("root")), old, small=True)
+        if n <= alone:
+            return names
         renamed = edges.join(hooks, edges.a == hooks.node).select(F.col("root").alias("a"), "b")
         renamed = renamed.join(to, renamed.b == to.n2).select("a", F.col("r2").alias("b")).where("a <> b")
         edges = scratch.save(renamed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), edges, small=True)
-    return scratch.save(names, small=True) if names is not None else edges.toDF("node", "root")
+    return names if names is not None else edges.toDF("node", "root")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memoryloom.llm.lines import similar_links
-from memoryloom.llm.shared import Scratch, components, steps
+from memoryloom.llm.shared import Scratch, components, plain, steps
 
 RADIUS = 3
 #: Bits of the three parts that the first, coarse round leaves out in turn.
@@ -174,20 +174,27 @@ def classes(spark: SparkSession, docs: DataFrame, shingle: int = 3, extra: bool
 
     similarity: texts of that Jaccard similarity or more are linked beside those of close fingerprints. Without it,
     texts are read once and the rest moves identifiers and fingerprints. Equal fingerprints are one node, so a large
-    group of copies costs one. Null ids are passed over as component_id unless a group has no other.
+    group of copies costs one. Null ids are passed over as component_id unless a group has no other. Repeated rows
+    repeat, null and empty texts share the fingerprint 0, and an empty table has no rows. Only the columns doc_id and
+    text are read. A text is hashed whole, in memory of a few times its size.
     """
-    scratch = Scratch(spark)
-    found = scratch.save(sketches(docs, shingle) if similarity else fingerprints(docs, shingle))
-    fps = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    near = scratch.save(close_enough(fps.select("fp")), small=True)
-    links = ball_links(near)
-    if similarity:
-        links = links.union(jaccard_links(scratch, docs, found, shingle, similarity))
-    names = components(scratch, links)
-    owner = fps.join(names, fps.fp == names.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = owner.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = owner.join(least, "root").select(F.col("fp").alias("fp2"), "component_id")
-    return found.join(owner, found.fp == owner.fp2).select("doc_id", "fp", "component_id")
+    with Scratch(spark) as scratch:
+        found = scratch.save(sketches(docs, shingle) if similarity else fingerprints(docs, shingle))
+        fps = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
+        near = scratch.save(close_enough(fps.select("fp")), small=True)
+        links = ball_links(near)
+        if similarity:
+            links = links.union(jaccard_links(scratch, docs, found, shingle, similarity))
+        names = components(scratch, links)
+        # Most fingerprints are of one document; only the others need a name and a join, of written tables on either side.
+        several = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
+        owner = several.join(names, several.fp == names.node, "left").where("n > 1 or root is not null")
+        owner = scratch.save(owner.select("fp", "least", F.coalesce("root", "fp").alias("root")), small=True)
+        least = owner.groupBy(F.col("root").alias("root2")).agg(F.min("least").alias("component_id"))
+        owner = scratch.keep(owner.join(least, F.col("root") == F.col("root2")).select(F.col("fp").alias("fp2"), "component_id"))
+        scratch.kept.add(scratch.paths[id(found)])
+    joined = found.join(owner, found.fp == owner.fp2, "left")
+    return joined.select("doc_id", "fp", F.when(F.col("fp2").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,8 +205,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_per_group(spark: SparkSession, docs: DataFrame, shingle: int = 5) -> DataFrame:
     """docs without those whose group has a smaller doc_id; all columns stay. Rows with a null doc_id stay as they are.
 
-    Groups are those of close fingerprints and of texts of SIMILARITY or more.
+    Groups are those of close fingerprints and of texts of SIMILARITY or more. Null and empty texts are one group, of
+    equal rows all stay or go, an empty table stays empty, and other columns may have any names.
     """
     found = classes(spark, docs, shingle, similarity=SIMILARITY)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    rows, doc, _ = plain(docs)
+    return rows.join(gone, rows[doc].cast("long") == gone["gone_id"], "left_anti").toDF(*docs.columns)

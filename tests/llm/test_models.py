@@ -393,3 +393,181 @@ def test_licences_of_both_readings(spark):
         ("/mit-grant/mit-condition/as-is/cc-by-notice/", "MIT,CC-BY-4.0"),
         ("/cc-by-notice/cc-by-sa-notice/cc-by-nc-notice/mit-licensed/isc-grant/", "MIT,ISC,CC-BY-NC-4.0,CC-BY-4.0,CC-BY-SA-4.0"),
     ]
+
+
+def test_components_in_rounds(spark):
+    r = random.Random(6)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, x) for x in range(1001, 1200)] + [(r.randrange(2000, 2400), r.randrange(2000, 2400)) for _ in range(200)]
+    links = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    groups = []
+    for alone in (10**6, 30, 0):
+        with Scratch(spark) as scratch:
+            names = {x.node: x.root for x in components(scratch, links, alone=alone).collect()}
+        groups.append({frozenset(n for n in names if names[n] == x) for x in names.values()})
+    assert groups[0] == groups[1] == groups[2] and frozenset(range(61)) in groups[0]
+    with Scratch(spark) as scratch:
+        assert components(scratch, links.where("false")).collect() == []
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    with Scratch(spark) as scratch:
+        gone = scratch.save(spark.range(5))
+        kept = scratch.keep(spark.range(7))
+        paths = [scratch.paths[id(x)] for x in (gone, kept)]
+    assert [os.path.exists(x) for x in paths] == [False, True] and kept.count() == 7
+    with pytest.raises(ZeroDivisionError), Scratch(spark) as scratch:
+        path = scratch.paths[id(scratch.keep(spark.range(3)))]
+        1 / 0  # noqa: B018
+    assert not os.path.exists(path)
+
+
+@pytest.mark.parametrize("near", [True, False])
+def test_large_buckets_link_what_all_pairs_link(spark, near):
+    r = random.Random(8)
+    texts = []
+    for _ in range(3 if near else 40):
+        base = [r.choice("abcdefgh") for _ in range(60)]
+        for _ in range(40 if near else 3):
+            w = list(base)
+            for _ in range(r.randrange(4)):
+                w[r.randrange(60)] = r.choice("ijkl")
+            texts.append("".join(w))
+    texts = sorted(set(texts))
+    rows = spark.createDataFrame([(t,) for t in texts], "line string").withColumn("line_id", F.xxhash64("line"))
+    met = rows.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("key"), "line_id").where("key = 1 or pmod(line_id, 3) = 0")
+    ids = {x.line: x.line_id for x in rows.collect()}
+    with Scratch(spark) as scratch:
+        links = lines._links(scratch, rows.select("line"), met, 0.8, lambda: lines.Shingler().sets, 8)
+        names = {x.node: x.root for x in components(scratch, links, forests=True).collect()}
+    sets = {ids[t]: {t[i : i + 5] for i in range(len(t) - 4)} for t in texts}
+    parent = {x: x for x in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    groups = lambda f: {frozenset(x for x in sets if f(x) == c) for c in map(f, sets)}
+    assert groups(lambda x: names.get(x, x)) == groups(root)
+
+
+def test_fuzzy_lines_are_those_of_brute_force(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    rows = []
+    for i in range(40):
+        base = [word() for _ in range(r.choice([4, 25, 40]))]
+        for k in range(3):
+            w = list(base)
+            if k:
+                w[r.randrange(len(w))] = word()
+            rows.append((3 * i + k, " ".join(w) + "\n" + word() + word(), "en", "s", 1))
+    docs = spark.createDataFrame(rows, DOCS)
+    with Scratch(spark) as scratch:
+        got = {(x.doc_id, y.line_no): (y.owner_id, y.owner_no) for x in lines.dropped_lines(scratch, docs).collect() for y in x.dropped}
+    places = [(d, n, line) for d, t, *_ in rows for n, line in enumerate(t.split("\n"))]
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for *_, x in places]
+    parent = list(range(len(places)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for j in range(len(places)):
+        for i in range(j):
+            # Bands may miss a pair at the threshold; none of these lies there.
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert got == {places[i][:2]: places[root(i)][:2] for i in range(len(places)) if root(i) != i} and len(got) > 20
+
+
+def test_bands_find_most_pairs_at_the_threshold():
+    r, pairs = random.Random(10), []
+    while len(pairs) < 3000:
+        a = "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=r.randrange(60, 300)))
+        w = list(a)
+        for _ in range(max(1, len(a) // 55)):
+            w[r.randrange(len(w))] = r.choice("ABCDE")
+        b = "".join(w)
+        x, y = ({s[i : i + 5] for i in range(len(s) - 4)} for s in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) < 0.85:
+            pairs.append((a, b))
+    keys = [lines.band_keys([p[k] for p in pairs]) for k in (0, 1)]
+    assert (keys[0] == keys[1]).any(1).mean() > 0.98
+
+
+def test_packing_program_covers_every_length_near_its_bound():
+    rng = np.random.default_rng(0)
+    for n, least in ((2000, 0.6), (20_000, 0.9)):
+        hist = np.zeros(2049, np.int64)
+        np.add.at(hist, np.minimum(2047, rng.lognormal(5.5, 1.2, n).astype(int)) + 1, 1)
+        solution, bound = packing.configurations(hist)
+        covered = np.zeros(2049)
+        for lengths, x in solution.items():
+            assert sum(lengths) <= 2048 and x > 0
+            np.add.at(covered, list(lengths), x)
+        there = hist > 0
+        assert (covered[there] <= hist[there] + 1e-6).all() and (covered[there] > 0).all()
+        assert bound >= (hist * np.arange(2049)).sum() / 2048 - 1e-6
+        assert sum(solution.values()) / (covered[there] / hist[there]).min() <= 1.02 * bound
+        out, left = packing.rounded(hist)
+        assert sum(m for _, m in out) > least * packing.plan(hist)[1]  # the program decides, not the best fit of the rest
+        assert (left >= 0).all() and left.sum() < n
+
+
+def test_packing_bound_is_above_the_volume_where_pieces_exclude_each_other():
+    hist = np.zeros(2049, np.int64)
+    hist[1100], hist[2000] = 300, 200
+    assert packing.configurations(hist, 40)[1] > 1.2 * (hist * np.arange(2049)).sum() / 2048
+    assert packing.plan(hist)[1] == 500
+
+
+def test_knapsack_is_brute_force():
+    rng = np.random.default_rng(4)
+    value = np.append(-1.0, rng.random(12).round(2))
+    best = packing.knapsack(value)
+
+    def most(c):
+        return max([0.0] + [value[k] + most(c - k) for k in range(1, c + 1)])
+
+    assert np.allclose(best[1:], [most(c) for c in range(1, 13)])
+
+
+def _brute_top(rows, every, k):
+    out = []
+    for i, (q, v) in enumerate(rows):
+        if q % every == 0:
+            hits = sorted((-sum(a * b for a, b in zip(v, w)), c) for j, (c, w) in enumerate(rows) if j != i)[:k]
+            out += [(q, n, c, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, c) in enumerate(hits, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [10, 10**8, 2**40])
+def test_top_k_of_large_numbers_repeated_rows_and_unequal_lengths(spark, size):
+    r = random.Random(size)
+    rows = [(i % 90, [r.randrange(-size, size) for _ in range(3 if i % 7 else 2)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    with Scratch(spark) as scratch:
+        got = sorted(map(tuple, topk.Index(scratch, df).search(10, 5).collect()))
+    assert got == _brute_top(rows, 10, 5)
+
+
+def test_top_k_in_rounds_and_of_nothing(spark, monkeypatch):
+    for name, x in (("ANNULUS_ROWS", 16), ("FIRST", 2), ("QUERY_ROWS", 8), ("SLICES", 3)):
+        monkeypatch.setattr(topk, name, x)
+    r = random.Random(5)
+    rows = [(i, [r.randrange(-40, 40) for _ in range(8)] if i % 3 else [1] * 8) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    with Scratch(spark) as scratch:
+        index = topk.Index(scratch, df)
+        assert index.blocks.count() > 30
+        assert sorted(map(tuple, index.search(20, 20).collect())) == _brute_top(rows, 20, 20)
+        assert topk.Index(scratch, df.where("false")).search().collect() == []
+        assert topk.Index(scratch, df.where("vec_id = 20")).search().collect() == []
