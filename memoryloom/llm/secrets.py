@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memoryloom.llm.shared import Scratch
+from memoryloom.llm.shared import Scratch, plain
 
 #: Base kinds, in the order that breaks ties of the start.
 ASSIGN_HEAD = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
@@ -19,8 +21,44 @@ WEAK = {"id_part": ACCESS, "secret_part": SECRET, "endpoint_part": ENDPOINT}
 ORDER = {k: i for i, k in enumerate([*BASE, *WEAK])}
 #: Code points within which parts belong to one credential.
 SCOPE = 400
+#: Items that are folded at a time.
+RUN = 128
 
 SPAN = "array<struct<start: int, ord: int, kind: string, end: int>>"
+GAP = "array<struct<`from`: int, size: int>>"
+
+
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once: an array of one binds it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _runs(x: Column) -> Column:
+    """The array x, bound and not empty, in runs of RUN."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")), lambda i: F.slice(x, i * RUN + 1, RUN))
+
+
+def folded(items: Column, at: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """The arrays of the given type that step(at, item) -> (next at, array) gives for each item in turn, flattened.
+
+    Items are folded in runs, so an array grows within a run only, and what a long array takes stays nearly in
+    proportion to its length.
+    """
+    none = F.array().cast(kind)
+
+    def one(acc: Column, x: Column) -> Column:
+        to, out = step(acc["at"], x)
+        return F.struct(to.alias("at"), F.concat(acc["out"], out).alias("out"))
+
+    def run(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return _bound(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def whole(x: Column) -> Column:
+        out = F.aggregate(_runs(x), F.struct(at.alias("at"), F.array().cast(f"array<{kind}>").alias("out")), run, lambda acc: F.flatten(acc["out"]))
+        return F.when(F.size(x) > 0, out).otherwise(none)
+
+    return _bound(items, whole)
 
 
 def spans(text: Column, pattern: str, kind: str, least: Column | None = None) -> Column:
@@ -31,18 +69,17 @@ def spans(text: Column, pattern: str, kind: str, least: Column | None = None) ->
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    sized = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), F.length(m).alias("size"), m.alias("m")))
+    keep = lambda m: F.lit(True) if least is None else F.length(F.regexp_replace(m, "^" + ASSIGN_HEAD, "")) >= least
+    sized = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), F.length(m).alias("size"), keep(m).alias("keep")))
     # A zip pads the match behind the last gap with null; it carries the end of the text and goes.
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    sized = F.filter(sized, lambda x: x["size"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
         row = F.struct(start.alias("start"), F.lit(ORDER[kind]).alias("ord"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"))
-        keep = F.lit(True) if least is None else F.length(F.regexp_replace(x["m"], "^" + ASSIGN_HEAD, "")) >= least
-        return F.struct((start + x["size"]).alias("at"), F.when(keep, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+        return start + x["size"], F.when(x["keep"], F.array(row)).otherwise(F.array().cast(SPAN))
 
-    whole = F.aggregate(F.filter(sized, lambda x: x["m"].isNotNull()), zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), whole).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), folded(sized, F.lit(0), step, SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def shown(column: Column) -> Column:
@@ -52,15 +89,21 @@ def shown(column: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, base spans and weak parts of every whole text; null text counts as empty.
 
+    Rows map to rows, so repeated rows repeat, null ids stay and an empty table gives none; other columns aren't read.
     Hex runs and access keys match greedily, so asking for their least length in the pattern drops just the runs that
-    fail. An assignment's value is measured after the match, since a short value still takes up its place.
+    fail. An assignment's value is measured after the match, since a short value still takes up its place. Time is
+    nearly in proportion to a text's length and its matches.
     """
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
-    base = [spans(F.col("t"), p, k, F.lit(6) if k == "assign" else None).alias(k) for k, p in BASE.items()]
-    weak = [spans(F.col("t"), p, k).alias(k) for k, p in WEAK.items()]
-    found = docs.select(docs[doc_id].cast("long").alias("doc_id"), t.alias("t")).select("doc_id", *base, *weak, "t")
+    return _scanned(docs.select(docs[doc_id].cast("long").alias("doc_id"), t.alias("t")), "t").drop("t")
+
+
+def _scanned(rows: DataFrame, text: str) -> DataFrame:
+    """rows with the spans of each kind, and text_key, the digest of texts that have weak parts."""
+    base = [spans(F.col(text), p, k, F.lit(6) if k == "assign" else None).alias(k) for k, p in BASE.items()]
+    weak = [spans(F.col(text), p, k).alias(k) for k, p in WEAK.items()]
     linked = (F.size("id_part") + F.size("secret_part") + F.size("endpoint_part")) > 0
-    return found.withColumn("text_key", F.when(linked, F.sha2("t", 256))).drop("t")
+    return rows.select("*", *base, *weak).withColumn("text_key", F.when(linked, F.sha2(text, 256)))
 
 
 def link(found: DataFrame) -> DataFrame:
@@ -86,14 +129,23 @@ def link(found: DataFrame) -> DataFrame:
     return kept.groupBy(F.col("text_key").alias("key2")).agg(F.collect_set(F.struct("start", "ord", "kind", "end")).alias("parts"))
 
 
+def _every(scratch: Scratch, found: DataFrame) -> DataFrame:
+    """found (of _scanned) with base, its base spans, and spans, those and the linked weak parts.
+
+    Only rows with weak parts are joined, so the others, which are most, don't meet in one task.
+    """
+    found = scratch.save(found)
+    scratch.kept.add(scratch.paths[id(found)])
+    linked = scratch.keep(link(found))
+    with_parts = found.where("text_key is not null").join(linked, F.col("text_key") == F.col("key2"), "left").drop("key2")
+    rows = found.where("text_key is null").withColumn("parts", F.lit(None).cast(SPAN)).unionByName(with_parts)
+    return rows.withColumns({"base": F.array_sort(F.concat(*BASE)), "spans": F.array_sort(F.concat(*BASE, F.coalesce("parts", F.array().cast(SPAN))))})
+
+
 def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, base (base spans) and spans (those and the linked weak parts), each by start, then kind."""
-    scratch = Scratch(spark)
-    found = scratch.save(scan(docs))
-    joined = found.join(link(found), F.col("text_key") == F.col("key2"), "left")
-    base = F.array_sort(F.concat(*BASE))
-    every = F.array_sort(F.concat(*BASE, F.coalesce("parts", F.array().cast(SPAN))))
-    return joined.select("doc_id", *BASE, base.alias("base"), every.alias("spans"))
+    """doc_id, base (base spans) and spans (those and the linked weak parts), each by start, then kind. Cases as in scan."""
+    with Scratch(spark) as scratch:
+        return _every(scratch, scan(docs)).select("doc_id", *BASE, "base", "spans")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,17 +157,26 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(spark: SparkSession, docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span of its text replaced by mark; overlapping spans become one mark. All rows and columns stay.
 
-    Rows are matched by doc_id and text, so repeated rows and null ids get their own text's spans.
+    A row's spans stand beside it, so repeated rows and null ids get their own, and other columns may have any names.
+    Null and empty texts stay as they are, and an empty table stays empty. The linked parts of a text are joined by
+    its SHA-256 digest. A text is put together from an array of its pieces in one step.
     """
-    found = find(spark, docs.withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("doc_id", F.col("_key")))
-    hits = found.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_hit")).agg(F.first("spans").alias("_spans"))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        inside = x["start"] < acc["at"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
-
-    done = F.aggregate("_spans", zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    joined = docs.join(hits, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_hit"), "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done)).select(*docs.columns)
+    rows, _, text = plain(docs)
+    with Scratch(spark) as scratch:
+        found = _every(scratch, _scanned(rows.withColumn("whole", F.coalesce(F.col(text).cast("string"), F.lit(""))), "whole").drop("whole"))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        gap = F.struct((at + 1).alias("from"), (x["start"] - at).alias("size"))
+        return F.greatest(at, x["end"]), F.when(x["start"] < at, F.array().cast(GAP)).otherwise(F.array(gap))
+
+    def cut(r: Column) -> Column:
+        """The gaps of a run, cut out of the part of the text that the run spans."""
+        start = lambda x: x[0]["from"]
+        size = F.element_at(r, -1)["from"] + F.element_at(r, -1)["size"] - start(r)
+        both = F.struct(r.alias("gaps"), F.substring(F.col(text), start(r), size).alias("part"))
+        return _bound(both, lambda z: F.transform(z["gaps"], lambda g: F.substring(z["part"], g["from"] - start(z["gaps"]) + 1, g["size"])))
+
+    pieces = _bound(folded(F.col("spans"), F.lit(0), step, GAP), lambda x: F.flatten(F.transform(_runs(x), cut)))
+    last = F.array_max(F.transform("spans", lambda x: x["end"]))
+    done = F.concat(F.array_join(pieces, mark), F.lit(mark), F.substring(F.col(text), last + 1, F.length(text)))
+    return found.select(*(F.when(F.size("spans") == 0, F.col(text)).otherwise(done).alias(c) if c == text else c for c in rows.columns)).toDF(*docs.columns)
