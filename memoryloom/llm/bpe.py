@@ -14,6 +14,10 @@ NONE = np.int32(2**31 - 1)
 SPREAD, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 19
 
 
+#: Symbols from which on a word is merged by itself.
+LONG = 2048
+
+
 class PairTable:
     """Merges of symbol pairs: what a pair becomes, its rank (least first), and whether its places may merge at once.
 
@@ -32,6 +36,11 @@ class PairTable:
         np.minimum.at(used, left, rank)
         np.minimum.at(used, right, rank)
         self.safe = np.append(used[made] > rank, False)
+        # Base symbols in the longest symbol, which bounds how far a merge makes itself felt.
+        length = np.ones(size, np.int64)
+        while (length[made] < length[left] + length[right]).any():
+            np.maximum.at(length, made, length[left] + length[right])
+        self.reach = 2 * int(length.max()) + 4
         # One slot per hash value; keys that share theirs with another are marked and searched for.
         self.shift = np.uint64(64 - SLOT_BITS)
         slot = self._slot(self.keys[:-1])
@@ -60,6 +69,15 @@ def merge(table: PairTable, sym: np.ndarray, sizes: np.ndarray) -> tuple[np.ndar
     is safe, and compacts the arrays; words without a pair leave.
     """
     words = len(sizes)
+    if len(sizes) and sizes.max() > LONG:
+        ends, long = np.cumsum(sizes), sizes > LONG
+        ids, counts = merge(table, sym[~np.repeat(long, sizes)], sizes[~long])
+        parts, n = np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [], np.zeros(words, np.int64)
+        out, short = [], iter(parts)
+        for i in range(words):
+            out.append(_merge_long(table, sym[ends[i] - sizes[i] : ends[i]]) if long[i] else next(short))
+            n[i] = len(out[-1])
+        return np.concatenate(out), n
     sym, word = sym.astype(np.int32), np.repeat(np.arange(words, dtype=np.int32), sizes)
     out_sym, out_word = [], []
     if len(sym):
@@ -104,6 +122,48 @@ def merge(table: PairTable, sym: np.ndarray, sizes: np.ndarray) -> tuple[np.ndar
     return sym[order], np.bincount(word, minlength=words)
 
 
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each width consecutive values."""
+    m, k = x, 1
+    while 2 * k <= width:
+        m, k = np.minimum(m[:-k], m[k:]), 2 * k
+    return np.minimum(m[: len(x) - width + 1], m[width - k :][: len(x) - width + 1])
+
+
+def _merge_long(table: PairTable, sym: np.ndarray) -> np.ndarray:
+    """merge() of one long word, in rounds that take the least rank of every surroundings, not of the whole word.
+
+    A merge of a better rank can only reach a place by growing a symbol up to it, so no further than the longest
+    symbol; nor can what a place itself brings about reach further. A pair that is the least within twice that on
+    either side therefore merges in the end as it does now, whatever happens beyond. Of equal ranks only the leftmost
+    merges, or every other one of a run whose start is such a place, where nothing that this makes can come before.
+    """
+    d = table.reach
+    sym = sym.astype(np.int32)
+    pair, rank = (np.append(x, y).astype(np.int32) for x, y in zip(table.find(sym[:-1], sym[1:]), (len(table.keys) - 1, NONE)))
+    while True:
+        wide = np.concatenate([np.full(d, NONE, np.int32), rank, np.full(d, NONE, np.int32)])
+        at = np.flatnonzero((rank < NONE) & (rank == _least(wide, 2 * d + 1)))
+        if not len(at):
+            return sym
+        left = _least(wide[: len(rank) + d - 1], d)
+        k, mine = np.arange(len(at)), rank[at]
+        first = np.append(True, (at[1:] != at[:-1] + 1) | (mine[1:] != mine[:-1]))
+        lead = np.maximum.accumulate(np.where(first, k, 0))
+        whole = (at == 0) | (rank[at - 1] != mine)
+        alone = first & (left[at] > mine)
+        at = at[alone | (table.safe[pair[at]] & ((k - lead) % 2 == 0) & whole[lead])]
+        sym[at] = table.made[pair[at]]
+        keep = np.ones(len(sym), bool)
+        keep[at + 1] = False
+        at = at - np.arange(len(at))
+        sym, pair, rank = sym[keep], pair[keep], rank[keep]
+        redo = np.concatenate([at, at[at > 0] - 1])
+        redo = redo[redo < len(sym) - 1]
+        pair[redo], rank[redo] = table.find(sym[redo], sym[redo + 1])
+        rank[-1] = NONE
+
+
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The slices of flat that begin at start and have the given sizes, joined."""
     ends = np.cumsum(size)
