@@ -89,11 +89,15 @@ def verdicts(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     base_failed: under 50 words, or over half of the words in repeated windows. Others are kept unless they fail a
     soft rule at whose shrunken rate their host is known for it, or their host's rate of base failures is beyond BAD
-    and they fail a soft rule too.
+    and they fail a soft rule too. Null and empty texts have no word and fail; repeated rows repeat and count in their
+    host's rates; an empty table gives none; other columns aren't read. A long text is counted in memory of a few
+    times its size. The rates are written before the join, so Spark can split a host with very many documents.
     """
     base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    rows = Scratch(spark).save(counts(docs).withColumn("base_failed", base))
-    rates = host_rates(rows, {"base": "base_failed", **SOFT})
+    with Scratch(spark) as scratch:
+        rows = scratch.save(counts(docs).withColumn("base_failed", base))
+        scratch.kept.add(scratch.paths[id(rows)])
+        rates = scratch.keep(host_rates(rows, {"base": "base_failed", **SOFT}))
     joined = rows.join(rates, F.col("host").eqNullSafe(F.col("host_key")), "left")
     soft = {k: F.expr(c) for k, c in SOFT.items()}
     known = [soft[k] & (F.col(f"{k}_rate") >= KNOWN) for k in ("symbols", "lines", "length")]

@@ -14,19 +14,39 @@ from pyspark.sql import functions as F
 
 from memoryloom.llm.shared import held_out, steps
 
-#: The fit's sample: documents a language (least hashes first), of how many characters, and characters kept in all.
+#: The fit's sample: documents a language at most, least hashes first; the characters of each; and of all, which are whole documents.
 FIT_ROWS, FIT_DOC_CHARS, FIT_CHARS = 60, 20_000, 40_000
-#: Characters that are told apart; the rarer ones of the sample count as one that no automaton knows.
+#: Characters that a language tells apart: its own commonest in the sample. It doesn't know the others, which end a phrase.
 ALPHABET = 96
 #: Whole texts are parsed in segments of so many characters, each from the start of a phrase.
 SEGMENT = 1000
 
 
 def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
-    """Transitions [state, code] of the automaton of all substrings; state 0 is the start, and 0 also means none."""
+    """Transitions [state, code] of the automaton of all substrings without code 0; state 0 is the start, and 0 also means none."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
+
+    def split(p: int, c: int) -> int:
+        """A copy of the state that c leads to from p, for what is one longer than p."""
+        q, copy = nxt[p][c], len(nxt)
+        nxt.append(dict(nxt[q]))
+        length.append(length[p] + 1)
+        link.append(link[q])
+        while p >= 0 and nxt[p].get(c) == q:
+            nxt[p][c] = copy
+            p = link[p]
+        link[q] = copy
+        return copy
+
     for c in codes:
+        if not c:
+            last = 0
+            continue
+        if c in nxt[last]:  # after a code 0, where what comes may be known
+            q = nxt[last][c]
+            last = q if length[last] + 1 == length[q] else split(last, c)
+            continue
         cur = len(nxt)
         nxt.append({})
         length.append(length[last] + 1)
@@ -37,17 +57,7 @@ def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
             p = link[p]
         if p >= 0:
             q = nxt[p][c]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
-                copy = len(nxt)
-                nxt.append(dict(nxt[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = copy
-                    p = link[p]
-                link[q] = link[cur] = copy
+            link[cur] = q if length[p] + 1 == length[q] else split(p, c)
         last = cur
     table = np.zeros((len(nxt), alphabet), np.int32)
     for s, row in enumerate(nxt):
@@ -59,7 +69,7 @@ def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    codes: np.ndarray
+    codes: list[np.ndarray]
     tables: list[np.ndarray]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
@@ -71,7 +81,7 @@ class Model:
         lowered = [t.lower() for t in texts]
         size = np.fromiter(map(len, lowered), np.int64, len(texts))
         points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.codes[np.minimum(points, len(self.codes) - 1)].astype(np.int64)
+        codes = [known[np.minimum(points, len(known) - 1)] for known in self.codes]
         first = np.cumsum(size) - size
         per = -(-size // SEGMENT)
         text = np.repeat(np.arange(len(texts)), per)
@@ -82,14 +92,15 @@ class Model:
         start, length, text = start[order], length[order], text[order]
         live = np.searchsorted(-length, -np.arange(SEGMENT), "left")
         counts = np.zeros((len(start), len(self.tables)), np.int32)
-        width = self.codes.max() + 1 if len(self.codes) else 1
+        width = [t.shape[1] for t in self.tables]
         flat = [t.ravel() for t in self.tables]
         state = [np.zeros(len(start), np.int64) for _ in flat]
         for step in range(int(length.max()) if len(length) else 0):
             n = live[step]
-            c = codes[start[:n] + step]
+            at = start[:n] + step
             for j, (table, s) in enumerate(zip(flat, state)):
-                to = table[s[:n] * width + c]
+                c = codes[j][at]
+                to = table[s[:n] * width[j] + c]
                 miss = to == 0
                 counts[:n, j] += miss
                 s[:n] = np.where(miss, table[c], to)
@@ -111,38 +122,52 @@ class Model:
         return ["und" if e else self.languages[i] for i, e in zip(best, blank)], [0.0 if e else float(p) for p, e in zip(share, blank)]
 
 
-def fit(samples: dict[str, list[str]], chars: int = FIT_CHARS) -> Model:
-    """Automata of the first chars characters of each language's texts; the alphabet is that of all of them."""
-    languages = sorted(samples)
-    joined = {x: "\n".join(samples[x]).lower()[:chars] for x in languages}
-    common = [c for c, _ in sorted(Counter("".join(joined.values())).items(), key=lambda p: (-p[1], p[0]))[: ALPHABET - 1]]
-    codes = np.zeros(max(map(ord, common), default=0) + 2, np.uint8)
-    for i, c in enumerate(common, 1):
-        codes[ord(c)] = i
-    width = int(codes.max()) + 1
-    return Model(languages, codes, [suffix_automaton([x for x in codes[[min(ord(c), len(codes) - 1) for c in joined[lang]]].tolist() if x], width) for lang in languages])
+def fit(samples: dict[str, list[str]]) -> Model:
+    """An automaton of each language's texts, over its own ALPHABET."""
+    languages, codes, tables = sorted(samples), [], []
+    for x in languages:
+        joined = "\n".join(samples[x]).lower()
+        common = [c for c, _ in sorted(Counter(joined).items(), key=lambda p: (-p[1], p[0]))[: ALPHABET - 1]]
+        known = np.zeros(max(map(ord, common), default=0) + 2, np.uint8)
+        for i, c in enumerate(common, 1):
+            known[ord(c)] = i
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes.append(known)
+        tables.append(suffix_automaton(known[np.minimum(points, len(known) - 1)].tolist(), len(common) + 1))
+    return Model(languages, codes, tables)
 
 
 def fit_sample(docs: DataFrame) -> Model:
     """Fits on at most FIT_ROWS documents a language, of texts up to FIT_DOC_CHARS characters, none held out.
 
-    Only ids travel for the choice: first the languages are counted, then the rows whose hash lies under what leaves
-    a few times FIT_ROWS a language are ranked.
+    Languages are counted with partial sums, one row each, as many as the model has automata. Rows whose hash lies
+    under what leaves a few times FIT_ROWS a language are then ranked, and the texts of the first, whole, make up
+    to FIT_CHARS characters. A table without such rows gives a model without languages.
     """
     some = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
-    ok = some.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.length("text").between(1, FIT_DOC_CHARS)).select("doc_id", "lang", (F.xxhash64("doc_id") / F.lit(2.0**63)).alias("h"))
-    n = ok.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    few = ok.join(n, "lang").where((F.col("h") + 1) / 2 <= (4.0 * FIT_ROWS + 40) / F.col("n"))
-    few = few.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= FIT_ROWS).select("doc_id").collect()
-    samples: dict[str, list[tuple[int, str]]] = {}
-    if few:
-        for r in some.where(F.col("doc_id").isin([r.doc_id for r in few]) & F.col("lang").isNotNull() & F.length("text").between(1, FIT_DOC_CHARS)).collect():
-            samples.setdefault(r.lang, []).append((r.doc_id, r.text))
-    return fit({k: [t for _, t in sorted(v)] for k, v in samples.items()})
+    ok = some.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.length("text").between(1, FIT_DOC_CHARS))
+    least = F.xxhash64("doc_id") / F.lit(2.0**63)
+    counts = {r.lang: r.n for r in ok.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return fit({})
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, (4.0 * FIT_ROWS + 40) / n)])
+    few = ok.select("doc_id", "lang", least.alias("h")).where((F.col("h") + 1) / 2 <= share[F.col("lang")])
+    few = few.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= FIT_ROWS).select("doc_id", "lang", "k").collect()
+    place = {(r.lang, r.doc_id): r.k for r in few}
+    found = ok.where(F.col("doc_id").eqNullSafe(F.lit(None).cast("long")) | F.col("doc_id").isin([r.doc_id for r in few if r.doc_id is not None])).select("doc_id", "lang", "text").collect() if few else []
+    samples: dict[str, list[str]] = {}
+    for r in sorted((r for r in found if (r.lang, r.doc_id) in place), key=lambda r: (r.lang, place[r.lang, r.doc_id], r.text)):
+        if sum(map(len, samples.setdefault(r.lang, []))) + len(r.text) <= FIT_CHARS:
+            samples[r.lang].append(r.text)
+    return fit(samples)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every document; null text or none with a letter: und, 0."""
+    """doc_id, lang_pred and score of every document; null text or none with a letter: und, 0.
+
+    Rows map to rows: repeated ones repeat, null ids stay, an empty table gives none, and no other column is read. A
+    tie of languages goes to the first by name. Long texts are parsed whole, in segments side by side.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -329,9 +329,11 @@ def pack(scratch: Scratch, pieces: DataFrame, capacity: int = CAPACITY, rounds:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents, packed. An empty table gives no pieces; equal rows give equal pieces, each packed."""
-    scratch = Scratch(spark)
-    return pack(scratch, scratch.save(token_pieces(docs, path or public_tokenizers.path(MODEL), capacity)), capacity)
+    """Pieces of all documents, packed. An empty table gives no pieces; equal rows give equal pieces, each packed; no other column is read."""
+    with Scratch(spark) as scratch:
+        pieces = scratch.save(token_pieces(docs, path or public_tokenizers.path(MODEL), capacity))
+        scratch.kept.add(scratch.paths[id(pieces)])
+        return pack(scratch, pieces, capacity)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memoryloom.llm.shared import held_out, steps
+from memoryloom.llm.shared import held_out, plain, steps
 
 #: Labelled rows that a fit reads at most, least hashes first, and the characters of each: longer texts are no examples.
 FIT_ROWS, FIT_CHARS = 3000, 30_000
@@ -157,7 +157,11 @@ def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mode
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every document; null and empty texts pool to zero and get that vector's score."""
+    """doc_id and score of every document; null and empty texts pool to zero and get that vector's score.
+
+    Rows map to rows: repeated ones repeat, null ids stay, an empty table gives none, and no other column is read.
+    Long texts are pooled whole.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,19 +174,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is least or more, with all their columns."""
+    """The rows of docs whose score is least or more, with all their columns, whatever their names.
+
+    Equal rows get equal scores; null and empty texts get that of the zero vector; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    rows, _, text = plain(docs)
+    if dict(rows.dtypes)[text] != "string":
+        rows = rows.withColumn(text, rows[text].cast("string"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
-        for part, texts in steps(batches):
+        for part, texts in steps(batches, text):
             pooled = np.array([m.pool(s) for s in m.word_ids(texts, known)]).reshape(len(texts), -1)
             yield part.filter(pa.array(m.scores(pooled) >= least))
 
-    if dict(docs.dtypes)["text"] != "string":
-        docs = docs.withColumn("text", docs[docs.columns[at]].cast("string"))
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

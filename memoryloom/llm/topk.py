@@ -329,9 +329,9 @@ def whole_vectors(rows: DataFrame, scale: int = 64) -> DataFrame:
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
     vectors = whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return Index(scratch, vectors).search()
+    with Scratch(spark) as scratch:
+        return scratch.keep(Index(scratch, vectors).search())
 
 
 ORACLE_SQL = """

@@ -571,3 +571,113 @@ def test_top_k_in_rounds_and_of_nothing(spark, monkeypatch):
         assert sorted(map(tuple, index.search(20, 20).collect())) == _brute_top(rows, 20, 20)
         assert topk.Index(scratch, df.where("false")).search().collect() == []
         assert topk.Index(scratch, df.where("vec_id = 20")).search().collect() == []
+
+
+def test_language_parse_is_longest_match():
+    r = random.Random(3)
+    samples = {"xx": ["".join(r.choices("abcd é", k=400)), "".join(r.choices("abx", k=50))], "yy": ["".join(r.choices("abef漢字", k=300))], "zz": ["".join(map(chr, range(0x4E00, 0x4E00 + 300)))]}
+    model = language.fit(samples)
+    texts = ["".join(r.choices("abcdefx é漢字", k=n)) for n in (0, 1, 7, 90, 900)]
+
+    def known(lang, text):
+        """Substrings of the sample over the language's own commonest characters."""
+        code = model.codes[model.languages.index(lang)]
+        return "".join(c if ord(c) < len(code) - 1 and code[ord(c)] else "\0" for c in text)
+
+    for t in texts:
+        for j, lang in enumerate(model.languages):
+            sample, i, n = known(lang, "\n".join(samples[lang])), 0, 0
+            lowered = known(lang, t)
+            while i < len(lowered):
+                k = 0
+                while i + k < len(lowered) and lowered[i + k] != "\0" and lowered[i : i + k + 1] in sample:
+                    k += 1
+                # A character that the language doesn't know ends the phrase before it and belongs to it.
+                n, i = n + 1, i + k + (i + k < len(lowered) and lowered[i + k] == "\0")
+            got = int(model.phrases([t])[0][j])
+            # The lockstep counts a phrase where one ends, so the last open one is not counted.
+            assert got in (n, n - 1)
+
+
+def test_quality_scores_are_pooled_layers():
+    r = random.Random(4)
+    texts = [" ".join(r.choices(["good", "fine", "words", "here"] if i % 2 else ["&&#", "x", "1234", "zz"], k=40)) for i in range(200)]
+    model = quality.fit(texts, [i % 2 for i in range(200)])
+    w1, b1, w2, b2 = model.weights
+    for t in [*texts[:20], "", "unseen tokens", "good good fine"]:
+        vs, last = [], None
+        for w in t.split():
+            vs.append(model.vectors[1 if w == last else model.ids.get(w, model.ids.get(quality.shape(w), 0))])
+            last = w
+        x = np.mean(vs, axis=0) if vs else np.zeros(quality.DIMENSIONS)
+        z = sum(np.tanh(sum((x[d] - model.mean[d]) / model.scale[d] * w1[d, h] for d in range(len(x))) + b1[h]) * w2[h] for h in range(len(b1))) + b2
+        got = model.scores(np.array([model.pool(s) for s in model.word_ids([t], {})]))[0]
+        assert abs(got - 1 / (1 + np.exp(-z / model.temperature))) < 1e-6
+
+
+def test_long_words_merge_as_in_the_libraries(monkeypatch):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    path, r = public_tokenizers.path, random.Random(2)
+    mine, lib = pieces.PieceBpe(path(pieces.MODEL)), sentencepiece.SentencePieceProcessor(model_file=path(pieces.MODEL))
+    words, tok = packing.WordBpe(path(packing.MODEL)), Tokenizer.from_file(path(packing.MODEL))
+    monkeypatch.setattr(bpe, "LONG", 16)
+    for k in range(300):
+        some = r.choice(["abcdefghijklmnopqrstuvwxyz", "ab", "etaoinshr", "aAbB01=-_", "0123456789abcdef", "日本é🙂ab", "=-"])
+        t = "".join(r.choices(some, k=r.randrange(10, 300))) if k % 3 else "".join(r.choices(["the", "ing", "tion", "aaaa", "====", "er", "Q"], k=60))
+        assert mine.encode(t) == lib.encode(t)
+        assert words.encode_words([t.encode()])[0].tolist() == tok.encode(t, add_special_tokens=False).ids
+    t = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    assert mine.encode(t) == lib.encode(t)
+
+
+def test_long_texts_of_secrets_take_time_in_proportion(spark):
+    import time
+
+    t = " ".join(f"password=abc{i}def login: bob{i}" for i in range(30_000))
+    docs = spark.createDataFrame([(1, t, "en", "s", 1)], DOCS)
+    secrets.find(spark, docs.where("false")).collect()
+    began = time.perf_counter()
+    got = secrets.find(spark, docs).collect()[0].spans
+    assert len(got) == 60_000 and time.perf_counter() - began < 30
+    assert [t[x.start : x.end] for x in got[:2]] == ["password=abc0def", "login: bob0"]
+    assert t[got[-1].start : got[-1].end] == "login: bob29999"
+    assert secrets.redact(spark, docs).collect()[0].text == " ".join(["[secret]"] * 60_000)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["a.b", "_hit", "_spans", "_key", "_doc", "_text", "_dropped", "_gone", "spans", "base", "parts", "gone_id", "key", "c9", "`q"]
+    line, token = "a line that is long enough to be found again in another document of this table", "q8Zk2mVb7Xw4Rt9Lp3Nc6Hd1Js5Fg0Ya"
+    rows = [(1, f"{line}\nfirst words", *names), (2, f"login: bob {token} and some more words that stand here alone\n{line}", *names), (None, None, *names), (3, "", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    texts = lambda df: sorted(((x[0], x[1]) for x in df.collect()), key=repr)
+    for out in (lines.without_repeated_lines(spark, docs), simhash.one_per_group(spark, docs), secrets.redact(spark, docs), quality.accepted(docs, quality.fit_sample(docs, labels), 0.0)):
+        assert out.columns == docs.columns and {tuple(x[2:]) for x in out.collect()} == {tuple(names)}
+    assert texts(lines.without_repeated_lines(spark, docs)) == [(1, rows[0][1]), (2, rows[1][1].split("\n")[0]), (3, ""), (None, None)]
+    assert texts(secrets.redact(spark, docs))[1] == (2, "[secret] [secret] and some more words that stand here alone\n" + line)
+    assert texts(simhash.one_per_group(spark, docs)) == texts(docs)
+    for df in (quality.score(docs, quality.fit_sample(docs, labels)), language.predict(docs, language.fit_sample(docs.withColumn("lang", F.lit("en")))), hostrules.verdicts(spark, docs.withColumn("source", F.lit("s"))), licences.scan(docs), packing.pack_documents(spark, docs)):
+        assert df.count() == 4
+
+
+def test_edge_rows_have_their_defined_results(spark, edge, empty):
+    assert sorted((x.doc_id or -1, x.fp == 0) for x in simhash.classes(spark, edge).collect()) == [(-1, False), (1, True), (2, True), (3, False), (3, False)]
+    assert sorted((x.doc_id or -1, x.lang_pred) for x in language.predict(edge, language.fit({"en": ["abc"]})).collect()) == [(-1, "en"), (1, "und"), (2, "und"), (3, "en"), (3, "en")]
+    assert sorted((x.doc_id or -1, x.n_words, x.kept) for x in hostrules.verdicts(spark, edge).collect()) == [(-1, 3, False), (1, 0, False), (2, 0, False), (3, 60_000, False), (3, 60_000, False)]
+    assert sorted((x.doc_id or -1, x.n_tokens) for x in pieces.encode_documents(edge, public_tokenizers.path(pieces.MODEL)).select("doc_id", "n_tokens").collect())[1:3] == [(1, 0), (2, 0)]
+    assert {x.doc_id: x.text for x in lines.without_repeated_lines(spark, edge).collect()} == {x.doc_id: x.text for x in edge.collect()}
+    for df in (simhash.classes(spark, empty), hostrules.verdicts(spark, empty), secrets.find(spark, empty), packing.pack_documents(spark, empty)):
+        assert df.collect() == []
+
+
+@pytest.mark.parametrize("rows", ["edge", "empty"])
+def test_pipeline_over_edge_tables(spark, tmp_path, edge, empty, rows):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = (edge if rows == "edge" else empty).drop("fp", "node")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert (out.count() > 0) == (rows == "edge") or out.count() == 0
