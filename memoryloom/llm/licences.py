@@ -26,6 +26,23 @@ SENTENCES = {
     "cc-by-nc-notice": "licensed under cc by nc 4 0",
     "cc-by-notice": "licensed under cc by 4 0",
     "cc-by-sa-notice": "licensed under cc by sa 4 0",
+    "gnu-gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gnu-lgpl-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "gnu-v2-later": "either version 2 of the license or at your option any later version",
+    "gnu-v2-only": "version 2 of the license",
+    "gnu-v21-later": "either version 2 1 of the license or at your option any later version",
+    "gpl2-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "agpl3-redistribute": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "mpl2-subject": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl2-obtain": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "epl2-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "unlicense-domain": "this is free and unencumbered software released into the public domain",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-notice": "distributed under the boost software license version 1 0",
+    "cc-by-work": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa-work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     "cc0-notice": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
 }
 #: What END leaves of genuine texts where it cuts or words a sentence differently, in normal form, and the
@@ -36,9 +53,11 @@ VARIANTS = {
     "you may obtain a copy of the license at https www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-basis",
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-redistribute",
     "this program is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
+    "this library is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-obtain",
 }
-#: A licence is found where these sentences follow each other, other sentences between them or not.
-#: The first rule of a licence that matches at a place wins over those below it.
+#: A licence is found where these sentences follow each other, other sentences between them or not, none
+#: further than FAR from the one before. Rules of more sentences go first and use theirs up for the others.
 RULES = [
     ("MIT", ["mit-grant", "mit-condition", "as-is"]),
     ("MIT", ["mit-grant", "mit-condition"]),
@@ -52,6 +71,19 @@ RULES = [
     ("GPL-3.0-only", ["gpl3-notice"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("GPL-2.0-or-later", ["gnu-gpl-terms", "gnu-v2-later"]),
+    ("GPL-2.0-or-later", ["gpl2-redistribute"]),
+    ("GPL-2.0-only", ["gnu-gpl-terms", "gnu-v2-only"]),
+    ("LGPL-2.1-or-later", ["gnu-lgpl-terms", "gnu-v21-later"]),
+    ("AGPL-3.0-or-later", ["agpl3-redistribute"]),
+    ("MPL-2.0", ["mpl2-subject", "mpl2-obtain"]),
+    ("EPL-2.0", ["epl2-terms"]),
+    ("Unlicense", ["unlicense-domain"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("BSL-1.0", ["boost-notice"]),
+    ("CC-BY-4.0", ["cc-by-work"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-work"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-work"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-notice"]),
     ("CC-BY-4.0", ["cc-by-notice"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-notice"]),
@@ -60,8 +92,10 @@ RULES = [
 #: A sentence ends at a line's end, or at a full stop, colon or semicolon before white space.
 END = r"[.!?:;]+[ \t\r]+|\n[ \t\r]*\n|\n"
 #: Words that every sentence above has one of; texts and sentences without them need no further look.
-HINT = r"(?i)licen|redistribut|permission|warrant|copyright|endorse"
+HINT = r"(?i)licen|redistribut|permission|warrant|copyright|endorse|mozilla|unencumbered"
 NOISE = r"[^a-z0-9]+"
+#: Code points between the starts of two sentences of one rule at most.
+FAR = 5000
 
 
 def normal(sentence: Column) -> Column:
@@ -69,11 +103,26 @@ def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), NOISE, " "))
 
 
+def _licences(marked: Column) -> Column:
+    """Names, in the order of RULES, of the licences in /-joined identifiers; a part ~ stands where two are far apart.
+
+    A rule's match puts its number in place of the identifiers it uses; what stands between stays for other rules.
+    """
+    for i, (_, ids) in sorted(enumerate(RULES), key=lambda r: -len(r[1][1])):
+        between = "((?:/[^/~]*)*?)/"
+        to = f"/={i}" + "".join(f"$" + f"{k}/={i}" for k in range(1, len(ids)))
+        marked = F.regexp_replace(marked, "/" + between.join(ids) + "(?=/)", to)
+    names = lambda m: F.array(*[F.when(m.contains(f"/={i}/"), F.lit(name)) for i, (name, _) in enumerate(RULES)])
+    # An array of one binds the replaced text, so that it is made once.
+    found = F.transform(F.array(marked), lambda m: F.filter(names(m), lambda x: x.isNotNull()))[0]
+    return F.array_join(F.array_distinct(found), ",")
+
+
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, sentence_ids (in order, / before and after each) and licences (names by rule order, comma-joined).
 
-    A row map of built-in functions: null or empty texts have none, repeated rows repeat. Sentences that wrap over
-    lines are met too: a text is read once by sentences as they stand, and once with single line ends as spaces. What
+    A row map of built-in functions: null or empty texts have none, repeated rows repeat, an empty table gives none and
+    no other column is read. Sentences that wrap over lines are met too: a text is read once by sentences as they stand, and once with single line ends as spaces. What
     either reading finds counts; a sentence that both find begins at the same letter and counts once.
     """
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
@@ -96,12 +145,15 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
         return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
     wrapped = F.regexp_replace(F.col("t"), r"(?<!\n)\n(?!\n)", " ")
-    both = F.transform(F.array_sort(F.array_distinct(F.concat(ids(F.col("t")), ids(wrapped)))), lambda x: x["id"])
-    found = F.when(F.col("t").rlike(HINT), F.concat(F.lit("/"), F.array_join(both, "/"), F.lit("/"))).otherwise(F.lit("//"))
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), t.alias("t")).select("doc_id", found.alias("s"))
-    rules = F.array(*[F.when(F.col("s").rlike("/" + "/(?:.*/)?".join(r) + "/"), F.lit(name)) for name, r in RULES])
-    names = F.array_join(F.array_distinct(F.filter(rules, lambda x: x.isNotNull())), ",")
-    return rows.select("doc_id", F.when(F.col("s") == "//", "").otherwise(F.col("s")).alias("sentence_ids"), names.alias("licences"))
+    both = F.array_sort(F.array_distinct(F.concat(ids(F.col("t")), ids(wrapped))))
+    places = F.when(F.col("t").rlike(HINT), both).otherwise(F.array().cast("array<struct<at: int, id: string>>"))
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), t.alias("t")).select("doc_id", places.alias("p"))
+    shown = F.concat(F.lit("/"), F.array_join(F.transform("p", lambda x: x["id"]), "/"), F.lit("/"))
+    far = lambda x, i: (i > 0) & (x["at"] - F.get(F.col("p"), i - 1)["at"] > FAR)
+    marked = F.array_join(F.transform("p", lambda x, i: F.when(far(x, i), F.concat(F.lit("~/"), x["id"])).otherwise(x["id"])), "/")
+    some = F.size("p") > 0
+    names = F.when(some, _licences(F.concat(F.lit("/"), marked, F.lit("/")))).otherwise("")
+    return rows.select("doc_id", F.when(some, shown).otherwise("").alias("sentence_ids"), names.alias("licences"))
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

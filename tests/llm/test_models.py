@@ -681,3 +681,90 @@ def test_pipeline_over_edge_tables(spark, tmp_path, edge, empty, rows):
     out = pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert (out.count() > 0) == (rows == "edge") or out.count() == 0
+
+
+BSD3 = BSD + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GENUINE = {
+    "BSD-3-Clause": BSD3,
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "GPL-2.0-only": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; version 2 of the License.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "EPL-2.0": """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+}
+
+
+def test_more_genuine_licences(spark):
+    assert [x[1] for x in _licensed(spark, list(GENUINE.values()))] == list(GENUINE)
+    assert [x[1] for x in _licensed(spark, [" ".join(t.split()) for t in GENUINE.values()])] == list(GENUINE)
+
+
+def test_licence_rules_use_their_sentences_up(spark):
+    far = "word " * 2000
+    got = _licensed(spark, [BSD3, BSD3 + "\n\n" + BSD, BSD3 + "\n\n" + GENUINE["Unlicense"], MIT.replace("\n\nThe above", far + "\n\nThe above"), BSD.replace("2. Redis", far + "\n2. Redis")])
+    assert [x[1] for x in got] == ["BSD-3-Clause", "BSD-3-Clause,BSD-2-Clause", "BSD-3-Clause,Unlicense", "", ""]
+
+
+def test_licences_are_those_of_brute_force(spark):
+    r = random.Random(12)
+    ids = sorted({x for _, rule in licences.RULES for x in rule})
+    texts, want = [], []
+    for _ in range(200):
+        some = []
+        while len(some) < 12:
+            some += r.choice(licences.RULES)[1] if r.random() < 0.5 else [r.choice(ids)]
+        if r.random() < 0.5:
+            r.shuffle(some)
+        texts.append("\n\n".join(licences.SENTENCES[x].capitalize() + "." for x in some))
+        left, found = list(some), set()
+        for number, (_, rule) in sorted(enumerate(licences.RULES), key=lambda x: -len(x[1][1])):
+            start = 0
+            while True:
+                places = []
+                for x in rule:
+                    at = next((k for k in range(places[-1] + 1 if places else start, len(left)) if left[k] == x), None)
+                    if at is None:
+                        break
+                    places.append(at)
+                if len(places) < len(rule):
+                    break
+                found.add(number)
+                for k in places:
+                    left[k] = None
+                start = places[-1] + 1
+        want.append((f"/{'/'.join(some)}/", ",".join(dict.fromkeys(licences.RULES[k][0] for k in sorted(found)))))
+    assert _licensed(spark, texts) == want
