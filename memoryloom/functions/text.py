@@ -16,13 +16,11 @@ UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
 def normalized(text: Column) -> Column:
-    """Lower case, white-space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Lower case without the final form of sigma, runs of Unicode white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), "ς", "σ"), r"(?U)\s+", " "))
 
 
-def normalized_strict(text: Column) -> Column:
-    """normalized() over Unicode white space, with no final form of sigma."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(text), "ς", "σ"), r"(?U)\s+", " "))
+normalized_strict = normalized
 
 
 def statement_parts(norm: Column) -> tuple[Column, Column]:

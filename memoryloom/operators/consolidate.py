@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,11 +10,19 @@ from memoryloom.functions.text import normalized, statement_parts
 
 
 def duplicate_rows(memories: DataFrame) -> DataFrame:
-    """id, normalized and the rank by (valid_from, id) of memories whose normalized text repeats: one shuffle, on a digest of the text."""
-    rows = memories.select("id", "valid_from", normalized(F.col("text")).alias("normalized"))
-    group = W.partitionBy("normalized")
-    ranked = rows.withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1")
-    return ranked.select("id", "normalized", F.row_number().over(group.orderBy("valid_from", "id")).alias("rank"))
+    """id, normalized and the rank by (valid_from, id) of memories whose normalized text repeats.
+
+    Copies are counted by a digest of the text and valid_from with partial sums; the counts of earlier days are the
+    base of a rank, so rows are sorted per digest and day only, and a very common text is dealt over its days. Only
+    rows of repeated texts are ranked, and no text is a key.
+    """
+    rows = memories.select("id", "valid_from", normalized(F.col("text")).alias("normalized")).withColumn("digest", F.sha2("normalized", 256))
+    days = rows.groupBy(F.col("digest").alias("d2"), F.col("valid_from").alias("v2")).agg(F.count(F.lit(1)).alias("c"))
+    same = W.partitionBy("d2")
+    days = days.withColumn("n", F.sum("c").over(same)).where("n > 1").withColumn("base", F.sum("c").over(same.orderBy("v2")) - F.col("c"))
+    known = rows.join(days, (F.col("digest") == F.col("d2")) & F.col("valid_from").eqNullSafe(F.col("v2")))
+    within = F.row_number().over(W.partitionBy("digest", "valid_from").orderBy("id"))
+    return known.select("id", "normalized", (F.col("base") + within).alias("rank"))
 
 
 def duplicate_plan(memories: DataFrame) -> DataFrame:
@@ -72,5 +80,10 @@ def joined_label(memories: DataFrame) -> DataFrame:
     return memories.agg(F.max("label").alias("label"))
 
 
+def resulting_version(made: Column, prepared: Column, prior: Column) -> Column:
+    """The digest of what was prepared if anything changed, else the version before."""
+    return F.when(made == "mutated", F.concat(F.lit("sha256:"), F.sha2(prepared.cast("binary"), 256))).otherwise(prior)
+
+
 def effect(n):
     return F.when(n == 0, "no_change").otherwise("mutated")

@@ -21,6 +21,32 @@ def order() -> list[Column]:
     return [F.desc("pinned"), F.desc("score_bp"), F.col("id")]
 
 
+def positions(candidates: DataFrame) -> DataFrame:
+    """id and position of every candidate in order().
+
+    Candidates are counted by pin and score, a few tens of thousands of groups whatever the input, and those before a
+    group are the base of its positions; rows are sorted within their group only.
+    """
+    counts = candidates.groupBy(F.col("pinned").alias("p2"), F.col("score_bp").alias("s2")).agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumn("base", F.sum("c").over(W.orderBy(F.desc("p2"), F.desc("s2"))) - F.col("c"))
+    known = candidates.join(counts, (F.col("pinned") == F.col("p2")) & (F.col("score_bp") == F.col("s2")))
+    within = F.row_number().over(W.partitionBy("pinned", "score_bp").orderBy("id"))
+    return known.select("id", (F.col("base") + within).alias("position"))
+
+
+def out_of_order(plans: DataFrame, plan: str, position: str) -> DataFrame:
+    """plan, its number of items and of those that stand behind one they should precede; a canonical plan has none."""
+    place = F.struct((~F.col("pinned")).alias("a"), (-F.col("score_bp")).alias("b"), F.col("id").alias("c"))
+    before = F.lag(place).over(W.partitionBy(plan).orderBy(position))
+    marked = plans.withColumn("fault", F.coalesce(before >= place, F.lit(False)))
+    return marked.groupBy(plan).agg(F.count(F.lit(1)).alias("items"), F.count_if("fault").alias("faults"))
+
+
+def estimated_tokens(hits: DataFrame, each: int = 4) -> DataFrame:
+    """What the context of scored hits is taken to cost, one row."""
+    return hits.agg((F.count(F.lit(1)) * each).alias("estimated_tokens"))
+
+
 def greedy(candidates: DataFrame, budget: int, plan: str | None = None, most: int | None = None) -> DataFrame:
     """Candidates taken in order() while they fit; one that doesn't is passed over, a pinned one that doesn't is an error.
 

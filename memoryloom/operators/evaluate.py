@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memoryloom.functions.text import ratio_floor
@@ -60,6 +60,12 @@ def index_percentile(samples: DataFrame, value: str, p: int) -> DataFrame:
     return upto.crossJoin(n).where(F.col("upto") > index).agg(F.min(value).alias(f"p{p}"))  # n is one row
 
 
+def speedups(samples: DataFrame, case: str, value: str, fast: Column) -> DataFrame:
+    """Mean value per case of the slow and of the fast samples, and how many times faster the fast ones are (null without one)."""
+    means = samples.groupBy(case).agg(F.avg(F.when(~fast, F.col(value))).alias("slow_mean"), F.avg(F.when(fast, F.col(value))).alias("fast_mean"))
+    return means.withColumn("speedup", F.when(F.col("fast_mean") > 0, F.col("slow_mean") / F.col("fast_mean")))
+
+
 def mismatches(first: DataFrame, second: DataFrame) -> DataFrame:
     """Number of cases whose receipts differ between two runs, joined by case_id."""
     both = first.join(second.withColumnsRenamed({"receipt": "r2"}), "case_id", "full_outer")

@@ -84,9 +84,13 @@ class Ledger:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def log(self) -> DataFrame:
+        """The events of the commits whose marker is there; what a crash left of others is not read."""
         if not self._exists(f"{self.path}/log"):
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(f"{self.path}/log")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/commit-*/_SUCCESS")
+        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p) or []
+        folders = sorted(x.getPath().getParent().toString() for x in found)
+        return self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
 
     def commit(self, key: str, events: DataFrame) -> bool:
         """Whether the events were written: False if key was committed before."""

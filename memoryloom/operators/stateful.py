@@ -24,6 +24,13 @@ def idempotent(requests: DataFrame, keys: list[str], decision: str, order: str =
     return requests.groupBy(*keys).agg(F.min_by(decision, order).alias("decision"), F.count(F.lit(1)).alias("n"))
 
 
+def one_use(requests: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """Every request with its decision: the first of a key is accepted and spends it, by a partial aggregate."""
+    first = first_per(requests, keys, order).select(F.col(order).alias("first_order"))
+    known = requests.join(first, requests[order] == first.first_order, "left")
+    return known.withColumn("decision", F.when(F.col("first_order").isNull(), "spent").otherwise("accepted")).drop("first_order")
+
+
 def quota_step(state: dict[str, Any], at: int, amount: int, limit: int, window: int) -> bool:
     """Whether the request is within the quota. A window opens at the first request after the last one ended."""
     if state.get("start") is not None and at < state["start"]:

@@ -32,6 +32,12 @@ def state_at(transitions: DataFrame, instant: Column, ties: list[str] = TIES) ->
     return transitions.groupBy("assertion_id").agg(F.coalesce(F.max_by("to_state", seen), F.lit("proposed")).alias("state"))
 
 
+def current_at(states: DataFrame, validity: DataFrame, key: str, at: Column) -> DataFrame:
+    """Keys whose state at the instant is current and whose validity (valid_from, valid_to or null) holds then."""
+    holds = (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (at < F.col("valid_to")))
+    return states.where("state = 'current'").join(validity.where(holds), key, "left_semi").select(key)
+
+
 def states_in(states: DataFrame, wanted: list[str]) -> DataFrame:
     if not wanted:
         raise ValueError("the set of states must not be empty")

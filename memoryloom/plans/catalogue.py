@@ -52,7 +52,8 @@ _HAVING = "select id from {n} where normalized in (select normalized from {n} gr
 
 @query(with_views(N_MEM + _HAVING.format(n="n"), "memories"))
 def dedup_having_in(s, d):
-    with ledger.temp_view(documents(s, d).select("id", text.normalized(F.col("text")).alias("normalized"))) as name:
+    # The digest stands for the text, so no whole text is a key.
+    with ledger.temp_view(documents(s, d).select("id", F.sha2(text.normalized(F.col("text")), 256).alias("normalized"))) as name:
         return s.sql(_HAVING.format(n=name))
 
 
@@ -169,7 +170,7 @@ COSINE = ", q as (select embedding as e from vectors where id = 'vec-00000000'),
 def scored(s, d):
     v = view(s, d, "vectors")
     first = v.where("id = 'vec-00000000'").select("embedding").first()
-    return v.where(gate.may_embed(local=False)), [float(x) for x in first.embedding]
+    return v.where(gate.may_embed(local=False)), [float(x) for x in first.embedding] if first else [0.0]
 
 
 @query(with_views(COSINE + "select id, round(s, 9) as score from c where s > 0 order by s desc, id limit 10", "vectors"))

@@ -25,14 +25,17 @@ def metrics(samples: DataFrame, window: str = "1 hour", ts: str = "ts", late: st
 
 
 def quota(samples: DataFrame, limit: int, window_micros: int) -> DataFrame:
-    """event_id, user_id and within of requests (event_id, user_id, at in microseconds), in order within a micro-batch."""
+    """event_id, user_id and within of requests (event_id, user_id, at in microseconds), in order within a micro-batch.
+
+    A key's rows of one micro-batch are put in order together, however many chunks they come in; the trigger's limits
+    on a micro-batch bound them.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {}
-        for f in sorted(frames, key=lambda f: f["at"].min()):
-            f = f.sort_values(["at", "event_id"])
-            f["within"] = [quota_step(held, int(at), 1, limit, window_micros) for at in f["at"]]
-            yield f[["event_id", "user_id", "within"]]
+        f = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        f["within"] = [quota_step(held, int(at), 1, limit, window_micros) for at in f["at"]]
+        yield f[["event_id", "user_id", "within"]]
         state.update((json.dumps(held),))
 
     return samples.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, within boolean", "held string", "append", GroupStateTimeout.NoTimeout)
@@ -43,10 +46,9 @@ def jobs(requests: DataFrame, most: int = 3) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {}
-        for f in sorted(frames, key=lambda f: f["seq"].min()):
-            f = f.sort_values("seq")
-            f["moved"] = [job_step(held, e, most) for e in f["event"]]
-            yield f[["seq", "job", "moved"]]
+        f = pd.concat(list(frames)).sort_values("seq")
+        f["moved"] = [job_step(held, e, most) for e in f["event"]]
+        yield f[["seq", "job", "moved"]]
         state.update((json.dumps(held),))
 
     return requests.groupBy("job").applyInPandasWithState(step, "seq long, job long, moved boolean", "held string", "append", GroupStateTimeout.NoTimeout)
