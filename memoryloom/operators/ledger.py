@@ -92,12 +92,46 @@ class Ledger:
         folders = sorted(x.getPath().getParent().toString() for x in found)
         return self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
 
+    def _digest(self, rows: DataFrame) -> str:
+        """Digest of a commit's events, which a request bounds."""
+        lines = F.array_sort(F.collect_list(F.to_json(F.struct(*[F.col(x.split()[0]) for x in SCHEMA.split(", ")]))))
+        return rows.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("x")).first().x
+
+    def recover(self, key: str, events: DataFrame) -> bool:
+        """Whether key was committed, with these very events; others under the same key are an error."""
+        folder = f"{self.path}/log/commit-{key}"
+        if not self._exists(f"{folder}/_SUCCESS"):
+            return False
+        if self._digest(self.spark.read.schema(SCHEMA).parquet(folder)) != self._digest(self._rows(key, events)):
+            raise ValueError("the key stands for another commit")
+        return True
+
+    def _rows(self, key: str, events: DataFrame) -> DataFrame:
+        kinds = [x.split() for x in SCHEMA.split(", ")]
+        return events.withColumn("commit_id", F.lit(key)).select([F.col(n).cast(t).alias(n) for n, t in kinds])
+
+    def commit_expecting(self, key: str, events: DataFrame, sources: DataFrame) -> bool:
+        """commit() if sources (id, text) still stand as they are given and no id that is put is known; False if it was done before.
+
+        Anything stale is an error and nothing is written. A commit that was done is recovered first, since its own
+        events make its sources stale.
+        """
+        if self.recover(key, events):
+            return False
+        now, ids = current(self.log()), sources.select("id")
+        found = now.join(ids, "id", "left_semi")
+        if not stale(sources.select("id", "text"), found, "id", "text").isEmpty():
+            raise ValueError("a source is stale")
+        if not events.where("op = 'put'").join(self.log().select("id"), "id", "left_semi").isEmpty():
+            raise ValueError("a new record is known already")
+        return self.commit(key, events)
+
     def commit(self, key: str, events: DataFrame) -> bool:
         """Whether the events were written: False if key was committed before."""
         folder = f"{self.path}/log/commit-{key}"
         if self._exists(f"{folder}/_SUCCESS"):
             return False
-        rows = events.withColumn("commit_id", F.lit(key)).select([x.split()[0] for x in SCHEMA.split(", ")])
+        rows = self._rows(key, events)
         rows.write.mode("overwrite").parquet(folder)
         return True
 

@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Size of a text or query that is accepted at most.
+MOST_SIZE = 1024
+
+
 def first_per(requests: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     """The first request of each key: replays go."""
     return requests.groupBy(*keys).agg(F.min(order).alias(order))
@@ -31,6 +35,43 @@ def one_use(requests: DataFrame, keys: list[str], order: str = "seq") -> DataFra
     return known.withColumn("decision", F.when(F.col("first_order").isNull(), "spent").otherwise("accepted")).drop("first_order")
 
 
+def verb_order(requests: DataFrame) -> DataFrame:
+    """seq, did and decision of requests (seq, did, verb, nonce, idempotency_key, can_mutate, size, in_scope, cleared, fresh).
+
+    The nonce is claimed first; verbs that change something need can_mutate; remember then asks for size, scope and
+    clearance, recall for size, improve for a key that was accepted before (whose decision it repeats), a fresh source
+    and clearance, forget for clearance. Three aggregates decide it all, so no actor's history is held in one place.
+    """
+    claims = requests.groupBy("did", "nonce").agg(F.min("seq").alias("first_claim"))
+    rows = requests.join(claims, ["did", "nonce"])
+    writes, replay = F.col("verb").isin("remember", "improve", "forget"), F.col("seq") > F.col("first_claim")
+    rows = rows.withColumn("open", ~replay & (~writes | F.col("can_mutate")))
+    own = (
+        F.when((F.col("verb") == "remember") & (F.col("size") > MOST_SIZE), "oversized-memory")
+        .when((F.col("verb") == "remember") & ~F.col("in_scope"), "scope-denied")
+        .when((F.col("verb") == "remember") & ~F.col("cleared"), "clearance-denied")
+        .when((F.col("verb") == "recall") & (F.col("size") > MOST_SIZE), "oversized-query")
+        .when((F.col("verb") == "improve") & ~F.col("fresh"), "stale-source")
+        .when(F.col("verb").isin("improve", "forget") & ~(F.col("in_scope") & F.col("cleared")), "authorization-denied")
+        .otherwise("accepted")
+    )
+    rows = rows.withColumn("own", own)
+    done = rows.where("open and verb = 'improve' and own = 'accepted'").groupBy(F.col("did").alias("d2"), F.col("idempotency_key").alias("k2")).agg(F.min("seq").alias("accepted_at"))
+    known = (F.col("did") == F.col("d2")) & (F.col("idempotency_key") == F.col("k2")) & (F.col("verb") == "improve")
+    rows = rows.join(done, known, "left")
+    refused = F.when(writes, "replay-or-mutation-denied").otherwise("replay")
+    decision = F.when(~F.col("open"), refused).when(F.col("seq") >= F.col("accepted_at"), "accepted").otherwise(F.col("own"))
+    return rows.select("seq", "did", decision.alias("decision"))
+
+
+def restaged(proposals: DataFrame) -> DataFrame:
+    """Every proposal (job, seq, digest) with its outcome: the first of a job is staged, an equal one found, another collides."""
+    first = proposals.groupBy(F.col("job").alias("j2")).agg(F.min_by("digest", "seq").alias("stored"), F.min("seq").alias("first"))
+    known = proposals.join(first, F.col("job") == F.col("j2"))
+    outcome = F.when(F.col("seq") == F.col("first"), "staged").when(F.col("digest") == F.col("stored"), "ready").otherwise("collision")
+    return known.select("seq", "job", outcome.alias("outcome"))
+
+
 def quota_step(state: dict[str, Any], at: int, amount: int, limit: int, window: int) -> bool:
     """Whether the request is within the quota. A window opens at the first request after the last one ended."""
     if state.get("start") is not None and at < state["start"]:

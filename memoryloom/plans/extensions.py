@@ -66,3 +66,25 @@ def assertion_valid_current_at(s, d):
 @query(with_views(" select seq, case when row_number() over (partition by did, idempotency_key order by seq) = 1 then 'accepted' else 'spent' end as decision from requests", "requests"))
 def authority_one_use(s, d):
     return stateful.one_use(view(s, d, "requests"), ["did", "idempotency_key"]).select("seq", "decision")
+
+
+_VERB = "case verb when 'signup' then 'remember' when 'click' then 'improve' when 'error' then 'forget' else 'recall' end"
+_FACTS = f"select seq, did, nonce, idempotency_key, {_VERB} as verb, did % 3 <> 0 as can_mutate, seq % 1200 as size, tenant % 4 <> 3 as in_scope, idempotency_key % 5 <> 0 as cleared, seq % 7 <> 0 as fresh from requests"
+_OWN = "case when verb = 'remember' and size > 1024 then 'oversized-memory' when verb = 'remember' and not in_scope then 'scope-denied' when verb = 'remember' and not cleared then 'clearance-denied' when verb = 'recall' and size > 1024 then 'oversized-query' when verb = 'improve' and not fresh then 'stale-source' when verb in ('improve', 'forget') and not (in_scope and cleared) then 'authorization-denied' else 'accepted' end"
+
+
+@query(
+    with_views(
+        f", f as ({_FACTS}), o as (select *, row_number() over (partition by did, nonce order by seq) = 1 and (verb = 'recall' or can_mutate) as open, {_OWN} as own from f), "
+        "p as (select *, bool_or(open and verb = 'improve' and own = 'accepted') over (partition by did, idempotency_key, verb order by seq rows unbounded preceding) as known from o) "
+        "select seq, did, case when not open then case when verb = 'recall' then 'replay' else 'replay-or-mutation-denied' end when verb = 'improve' and known then 'accepted' else own end as decision from p",
+        "requests",
+    )
+)
+def verb_order_decisions(s, d):
+    return stateful.verb_order(view(s, d, "requests").selectExpr(*_FACTS.removeprefix("select ").removesuffix(" from requests").split(", ")))
+
+
+@query(with_views(" select seq, idempotency_key as job, case when row_number() over w = 1 then 'staged' when verb = first_value(verb) over w then 'ready' else 'collision' end as outcome from requests window w as (partition by idempotency_key order by seq)", "requests"))
+def proposal_staging(s, d):
+    return stateful.restaged(view(s, d, "requests").selectExpr("idempotency_key as job", "seq", "verb as digest"))

@@ -50,6 +50,47 @@ def staged(spark: SparkSession, batch: pa.Table, most_bytes: int = 16 << 20) ->
     return spark.createDataFrame(batch)
 
 
+def preflight(chunks: list[bytes], schema: pa.Schema, most_chunks: int = 256, most_rows: int = 100_000, most_bytes: int = 16 << 20) -> int:
+    """Rows that Arrow IPC streams hold, by their messages; an error if they are more, or anything but one schema and its batches.
+
+    Bytes are counted before a batch is read. Dictionaries, other schemas, batches ahead of the schema and what follows
+    the end of a stream are errors, as is a stream without a schema.
+    """
+    if len(chunks) > most_chunks or sum(map(len, chunks)) > most_bytes:
+        raise ValueError("the streams are too large")
+    rows = size = 0
+    for chunk in chunks:
+        source = pa.BufferReader(chunk)
+        messages, known = pa.ipc.MessageReader.open_stream(source), None
+        try:
+            for message in messages:
+                if message.type == "schema" and known is None:
+                    known = pa.ipc.read_schema(message)
+                    if known != schema:
+                        raise ValueError("not the schema that was expected")
+                elif message.type == "record batch" and known is not None:
+                    size += message.body.size if message.body else 0
+                    if size > most_bytes:
+                        raise ValueError("the batches are too large")
+                    rows += pa.ipc.read_record_batch(message, known).num_rows
+                    if rows > most_rows:
+                        raise ValueError("too many rows")
+                else:
+                    raise ValueError(f"a message of type {message.type} is out of place")
+        except pa.ArrowInvalid as e:
+            raise ValueError("no Arrow IPC stream") from e
+        if known is None or source.read():
+            raise ValueError("a stream without a schema, or with bytes behind its end")
+    return rows
+
+
+def staged_ipc(spark: SparkSession, chunks: list[bytes], schema: pa.Schema) -> DataFrame:
+    """Arrow IPC streams that pass preflight() as a DataFrame; no streams give no rows."""
+    preflight(chunks, schema)
+    tables = [pa.ipc.open_stream(c).read_all() for c in chunks]
+    return spark.createDataFrame(pa.concat_tables(tables) if tables else schema.empty_table())
+
+
 def pairs(result: DataFrame, most: int = 100_000) -> list[tuple[str, str]]:
     """Rows of a bounded result of two string columns, none null or blank."""
     if [t for _, t in result.dtypes] != ["string", "string"]:

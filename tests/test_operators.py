@@ -258,3 +258,80 @@ def test_links_are_idempotent(spark):
     none = spark.createDataFrame([], "src string, dst string, rel string, record_id string")
     once = graph.linked(none, "a", "r", "b", "m1")
     assert graph.linked(once, "a", "r", "b", "m1").count() == 1 and graph.linked(once, "a", "r", "b", "m2").count() == 2
+
+
+def test_commits_count_by_their_marker_and_expect_their_sources(spark, tmp_path):
+    log, at = ledger.Ledger(spark, str(tmp_path / "store")), datetime(2025, 1, 1)
+    first = log.remember("k1", ledger.Request("space", "one text"), at)
+    second = log.remember("k2", ledger.Request("space", "two texts"), at)
+    (tmp_path / "store" / "log" / "commit-k2" / "_SUCCESS").unlink()
+    assert [x.id for x in ledger.current(log.log()).collect()] == [first]
+    assert log.remember("k2", ledger.Request("space", "two texts"), at) == second and log.log().count() == 2
+    source = lambda text: spark.createDataFrame([(first, text)], "id string, text string")
+    events = log._event("put", [("mem-new", "space", "semantic", 1, "new text", at)])
+    with pytest.raises(ValueError, match="stale"):
+        log.commit_expecting("k3", events, source("another text"))
+    assert log.log().count() == 2
+    assert log.commit_expecting("k3", events, source("one text")) and not log.commit_expecting("k3", events, source("one text"))
+    with pytest.raises(ValueError, match="another commit"):
+        log.commit_expecting("k3", log._event("put", [("mem-new", "space", "semantic", 1, "other", at)]), source("one text"))
+    with pytest.raises(ValueError, match="known already"):
+        log.commit_expecting("k4", events, source("one text"))
+    assert ledger.Ledger(spark, str(tmp_path / "store")).log().count() == 3
+
+
+def test_arrow_streams_are_checked_before_they_are_read(spark):
+    import pyarrow as pa
+
+    from memoryloom.sources import files
+
+    schema = pa.schema([("newer", pa.string()), ("older", pa.string())])
+
+    def stream(rows, kind=schema):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, kind) as w:
+            for r in rows:
+                w.write_batch(pa.record_batch(r, schema=kind))
+        return sink.getvalue().to_pybytes()
+
+    good = [stream([[["a", "b"], ["c", "d"]], [["e"], ["f"]]]), stream([])]
+    assert files.preflight(good, schema) == 3 and files.preflight([], schema) == 0
+    assert sorted(map(tuple, files.staged_ipc(spark, good, schema).collect())) == [("a", "c"), ("b", "d"), ("e", "f")]
+    other = pa.schema([("newer", pa.int64()), ("older", pa.string())])
+    coded = pa.schema([("newer", pa.dictionary(pa.int32(), pa.string())), ("older", pa.string())])
+    for bad in ([b"no stream"], [good[0] + b"more"], [stream([[[1], ["a"]]], other)], [stream([[pa.array(["a"]).dictionary_encode(), ["b"]]], coded)], [b""]):
+        with pytest.raises(ValueError):
+            files.preflight(bad, schema)
+    for limit in ({"most_rows": 2}, {"most_chunks": 1}, {"most_bytes": 100}):
+        with pytest.raises(ValueError):
+            files.preflight(good, schema, **limit)
+
+
+def test_reach_is_breadth_first(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "c"), ("e", "f"), ("d", "g")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = lambda n: {x.node: x.hop for x in graph.reach(df, "a", n).collect()}
+    assert got(0) == {"a": 0} and got(2) == {"a": 0, "b": 1, "c": 1, "d": 2} and got(4) == got(2) | {"g": 3}
+    plan = graph.reach(df, "a", 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 4
+
+
+def test_streamed_quota_is_in_order_across_chunks(spark, tmp_path):
+    from memoryloom.operators.stateful import quota_step
+    from memoryloom.streaming import stateful as streams
+
+    ats = [40, 5, 10, 60, 1, 33, 5, 10]
+    spark.createDataFrame([(i, 1, a) for i, a in enumerate(ats)], "event_id long, user_id long, at long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        stream = spark.readStream.schema("event_id long, user_id long, at long").parquet(str(tmp_path / "in"))
+        q = streams.quota(stream, 2, 1000).writeStream.format("memory").queryName("quota_order").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    held, want = {}, {}
+    for a, i in sorted((a, i) for i, a in enumerate(ats)):
+        want[i] = quota_step(held, a, 1, 2, 1000)
+    assert {x.event_id: x.within for x in spark.table("quota_order").collect()} == want
