@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memoryloom.functions import text
-from memoryloom.operators import consolidate, context, evaluate, rank, stateful, temporal
+from memoryloom.operators import consolidate, context, evaluate, governed, ledger, rank, stateful, temporal
 from memoryloom.plans.catalogue import LEXICAL, N_MEM, ORDER, OVERLAP, SPLIT, STATE, STATES_AT, TOKENS, GREEDY, day, documents, gated, planned, states
 from memoryloom.plans.registry import query
-from memoryloom.sources.views import view, with_views
+from memoryloom.sources import files, scratch
+from memoryloom.sources.views import table, view, with_views
 
 
 @query(with_views(f" select id, row_number() over ({ORDER}) as position from candidates", "candidates"))
@@ -88,3 +89,59 @@ def verb_order_decisions(s, d):
 @query(with_views(" select seq, idempotency_key as job, case when row_number() over w = 1 then 'staged' when verb = first_value(verb) over w then 'ready' else 'collision' end as outcome from requests window w as (partition by idempotency_key order by seq)", "requests"))
 def proposal_staging(s, d):
     return stateful.restaged(view(s, d, "requests").selectExpr("idempotency_key as job", "seq", "verb as digest"))
+
+
+_PRICE = "select concat('ord-', o_orderkey) as observation_id, o_orderstatus as country, 'coffee' as commodity, o_orderpriority as market, case when o_orderkey % 7 <> 0 then cast(o_totalprice as double) end as price_usd_per_kg, cast(o_orderdate as date) as observed_on, 'table' as source, cast(null as string) as note from orders"
+_PRICES = "select observation_id, country, market, price_usd_per_kg, cast(observed_on as string) as observed_on, note from p"
+
+
+def _orders(s, d):
+    with ledger.temp_view(table(s, d, "orders")) as name:
+        return s.sql(_PRICE.replace("from orders", f"from {name}"))
+
+
+@query(f"with p as ({_PRICE}) {_PRICES}")
+def csv_prices(s, d):
+    """All orders as price observations, written as CSV files and scanned."""
+    path = scratch.folder(s, "prices")
+    _orders(s, d).write.option("header", True).csv(path)
+    with ledger.temp_view(files.prices(s, path)) as name:
+        return s.sql(_PRICES.replace("from p", f"from {name}"))
+
+
+@query(f"with p as ({_PRICE}) select observation_id, country, commodity, price_usd_per_kg, observed_on::varchar as observed_on from p where country = 'F'")
+def prices_by_country(s, d):
+    with ledger.temp_view(_orders(s, d)) as name:
+        return files.by_country(s, name, "F").withColumn("observed_on", F.col("observed_on").cast("string"))
+
+
+@query(with_views(" select id as case_id, valid_from::varchar as as_of, 1 as expected, quarantined as abstain from memories", "memories"))
+def jsonl_cases(s, d):
+    """A case for each memory, written as JSON lines and read under the strict rules."""
+    path = scratch.folder(s, "cases")
+    rows = view(s, d, "memories").select(F.col("id").alias("case_id"), F.concat(F.lit("what is "), "id").alias("query"), F.col("valid_from").cast("string").alias("as_of"), F.array("id").alias("expected_ids"), F.col("quarantined").alias("abstain"))
+    rows.write.json(path)
+    return files.cases(s, path).select("case_id", F.col("as_of").cast("string").alias("as_of"), F.size("expected_ids").alias("expected"), "abstain")
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def arrow_staged(s, d):
+    """The nations, a table of fixed size, through an Arrow stream that is checked first."""
+    import pyarrow as pa
+
+    rows = table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return files.staged_ipc(s, [sink.getvalue().to_pybytes()], rows.schema)
+
+
+@query(with_views(" select id, coalesce(octet_length(encode(text)) between 1 and 16384 and trim(text) = text and not regexp_matches(text, '[[:cntrl:]]'), false) as canonical from memories", "memories"))
+def canonical_texts(s, d):
+    return view(s, d, "memories").select("id", F.coalesce(text.canonical(F.col("text"), 16_384), F.lit(False)).alias("canonical"))
+
+
+@query("select doc_id as id, md5(text) as text_md5, n_chars as valid_from from documents")
+def granted_projection(s, d):
+    out = governed.projected(table(s, d, "documents"), {"id": "doc_id", "text": "text", "valid_from": "n_chars"}, ["doc_id", "n_chars", "text"])
+    return out.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "valid_from")
