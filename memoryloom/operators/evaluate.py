@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memoryloom.functions.text import ratio_floor
+from memoryloom.sources.scratch import folder
 
 
 def case_report(cases: DataFrame, plan_items: DataFrame) -> DataFrame:
@@ -50,14 +51,25 @@ def hard_gates(outcomes: DataFrame, gate_of: dict[str, str], gates: list[str]) -
 
 
 def index_percentile(samples: DataFrame, value: str, p: int) -> DataFrame:
-    """The sample at index round-half-even(p / 100 * (n - 1)) of the sorted ones, found by counts, not by one sorted array."""
+    """The sample at index round-half-even(p / 100 * (n - 1)) of the sorted ones, null for none.
+
+    Values are counted and the counts written in ranges; the ranges' sums, one row a partition, tell the range that
+    holds the index, and only its values are put in order.
+    """
     from pyspark.sql import Window as W
 
-    n = samples.agg(F.count(F.lit(1)).alias("n"))
-    counts = samples.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(W.orderBy(value)))
-    index = F.bround(F.lit(p) / 100 * (F.col("n") - 1), 0).cast("long")
-    return upto.crossJoin(n).where(F.col("upto") > index).agg(F.min(value).alias(f"p{p}"))  # n is one row
+    spark, path = samples.sparkSession, folder(samples.sparkSession, "counts")
+    counts = samples.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    counts = spark.read.schema("v " + dict(samples.dtypes)[value] + ", c long, part int").parquet(path)
+    ranges = counts.groupBy("part").agg(F.sum("c").alias("n"), F.min("v").alias("low"))
+    ranges = ranges.withColumns({"upto": F.sum("n").over(W.orderBy("low")), "all": F.sum("n").over(W.partitionBy())})
+    index = F.bround(F.lit(p) / 100 * (F.col("all") - 1), 0).cast("long")
+    held = ranges.where((F.col("upto") > index) & (F.col("upto") - F.col("n") <= index))
+    held = held.select(F.col("part").alias("held"), (index - (F.col("upto") - F.col("n"))).alias("index"))
+    within = counts.join(F.broadcast(held), F.col("part") == F.col("held"))  # one row at most
+    upto = within.withColumn("upto", F.sum("c").over(W.orderBy("v")))
+    return upto.where(F.col("upto") > F.col("index")).agg(F.min("v").alias(f"p{p}"))
 
 
 def speedups(samples: DataFrame, case: str, value: str, fast: Column) -> DataFrame:

@@ -335,3 +335,15 @@ def test_streamed_quota_is_in_order_across_chunks(spark, tmp_path):
     for a, i in sorted((a, i) for i, a in enumerate(ats)):
         want[i] = quota_step(held, a, 1, 2, 1000)
     assert {x.event_id: x.within for x in spark.table("quota_order").collect()} == want
+
+
+def test_percentile_by_index_is_that_of_the_sorted_samples(spark):
+    import random
+
+    r = random.Random(7)
+    for n in (1, 2, 10, 999):
+        xs = [r.randrange(50) if r.random() < 0.5 else r.randrange(10_000) for _ in range(n)]
+        df = spark.createDataFrame([(x,) for x in xs], "v long").repartition(4)
+        for p in (0, 50, 95, 100):
+            assert evaluate.index_percentile(df, "v", p).first()[0] == sorted(xs)[round(p / 100 * (n - 1))]
+    assert evaluate.index_percentile(spark.createDataFrame([], "v long"), "v", 50).first()[0] is None
