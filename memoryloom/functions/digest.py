@@ -46,8 +46,9 @@ def sha256(*parts: Column) -> Column:
 
 
 def joined(items: Column) -> Column:
-    """The byte strings of an array, one after the other."""
-    return F.aggregate(items, F.unhex(F.lit("")), lambda a, x: F.concat(a, x))
+    """The byte strings of an array, one after the other, in one pass over them; null if one is null."""
+    whole = F.unhex(F.array_join(F.transform(items, lambda x: F.hex(x)), ""))
+    return F.when(~F.exists(items, lambda x: x.isNull()), whole)
 
 
 def uuid5(domain: str, name: Column) -> Column:

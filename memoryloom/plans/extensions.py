@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memoryloom.functions import text
-from memoryloom.operators import consolidate, context, evaluate, governed, ledger, rank, stateful, temporal
+from memoryloom.operators import consolidate, context, evaluate, governed, ledger, rank, scheduler, stateful, temporal
 from memoryloom.plans.catalogue import LEXICAL, N_MEM, ORDER, OVERLAP, SPLIT, STATE, STATES_AT, TOKENS, GREEDY, day, documents, gated, planned, states
 from memoryloom.plans.registry import query
 from memoryloom.sources import files, scratch
@@ -145,3 +145,70 @@ def canonical_texts(s, d):
 def granted_projection(s, d):
     out = governed.projected(table(s, d, "documents"), {"id": "doc_id", "text": "text", "valid_from": "n_chars"}, ["doc_id", "n_chars", "text"])
     return out.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "valid_from")
+
+
+# Jobs and leases
+
+_ASKED = [
+    "event_id as seq",
+    "user_id * 3 + event_id % 3 as job",
+    "case event_type when 'signup' then case when event_id % 4 = 0 then 'claim' else 'submit' end when 'view' then 'acquire' when 'error' then 'fail' when 'purchase' then case when event_id % 3 = 0 then 'cancel' else 'complete' end else case event_id % 4 when 0 then 'renew' when 1 then 'progress' else 'propose' end end as op",
+    "event_id * 6000000 - case when event_id % 17 = 0 then 3600000000 else 0 end as at",
+    "case when event_type = 'purchase' then event_id % 6 else user_id % 3 end as owner",
+    "case when event_type = 'signup' then case when event_id % 19 = 0 then 1 else 0 end else event_id % 2 end as digest",
+    "cast(2 + user_id % 2 as bigint) as most",
+    "cast(floor(event_id / 7) as bigint) % 2 as token",
+    "case when event_id % 13 = 0 then 7200000000 else (event_id % 5) * 900000000 end as ttl",
+    "event_id * 6000000 - (event_id % 3) * 1800000000 as progress_at",
+]
+
+
+def _lease_sql() -> str:
+    """The scheduler as one recursion over numbered requests: what became of each, then the state after it."""
+    fresh = "(status is null and op in ('submit', 'claim'))"
+    acquire = "case when ttl <= 0 or ttl > 3600000000 then 'bad_ttl' when status is null and op <> 'claim' then 'missing' when \"at\" < last then 'backdated' when status in ('completed', 'cancelled') then 'terminal' when status = 'proposal_ready' then 'needs_recovery' when until > \"at\" then 'held' when attempts >= max_attempts then 'exhausted' else 'leased' end"
+    lease = "when status in ('completed', 'cancelled') then 'terminal' when status not in ('leased', 'proposal_ready') then 'idle' when until <= \"at\" or held_by <> token then 'stale'"
+    outcome = (
+        "case when op in ('submit', 'claim') and status is not null and (submitter <> owner or terms <> digest or max_attempts <> most) then 'collision' "
+        "when op = 'submit' then case when status is null then 'submitted' else 'known' end "
+        "when op = 'claim' and status = 'proposal_ready' then 'ready' when op = 'claim' and status = 'completed' then 'done' when op = 'claim' and status = 'cancelled' then 'terminal' "
+        f"when op in ('claim', 'acquire') then {acquire} "
+        "when op = 'renew' and (ttl <= 0 or ttl > 3600000000) then 'bad_ttl' when status is null then 'missing' when \"at\" < last then 'backdated' "
+        "when op = 'cancel' then case when submitter <> owner then 'stale' when status in ('completed', 'cancelled') then 'terminal' else 'cancelled' end "
+        "when op = 'complete' then case when status in ('completed', 'cancelled') then 'terminal' when status <> 'proposal_ready' then 'unstaged' when proposal <> digest then 'collision' else 'completed' end "
+        f"{lease} "
+        "when op = 'renew' then case when \"at\" + ttl <= until then 'not_extended' else 'renewed' end "
+        "when op = 'progress' then case when progress_at < progressed then 'regressed' else 'progressed' end "
+        "when op = 'propose' then case when proposal <> digest then 'collision' when status = 'proposal_ready' then 'ready' else 'staged' end "
+        "else case when attempts >= max_attempts then 'given_up' else 'failed' end end"
+    )
+    over = "outcome in ('exhausted', 'given_up', 'failed', 'cancelled', 'completed')"
+    moved = f"({over} or {fresh} or outcome in ('leased', 'renewed', 'progressed', 'staged'))"
+    after = [
+        "job", "n", "seq", "op", "outcome",
+        f"case when outcome = 'leased' then 'leased' when outcome in ('exhausted', 'given_up', 'cancelled') then 'cancelled' when outcome = 'staged' then 'proposal_ready' when outcome in ('failed', 'completed') then outcome when {fresh} then 'pending' else status end",
+        "coalesce(attempts, 0) + case when outcome = 'leased' then 1 else 0 end",
+        f"case when {fresh} then most else max_attempts end",
+        f"case when {fresh} then owner else submitter end",
+        f"case when {fresh} then digest else terms end",
+        f"case when {moved} then \"at\" else last end",
+        f"case when {over} then null when outcome = 'leased' then token else held_by end",
+        f"case when {over} then null when outcome in ('leased', 'renewed') then \"at\" + ttl else until end",
+        "case when outcome = 'staged' then digest else proposal end",
+        f"case when {fresh} then \"at\" when outcome = 'progressed' then progress_at else progressed end",
+    ]
+    none = ", ".join(f"null::{t}" for t in ("bigint", "varchar", "varchar", "varchar", "bigint", "bigint", "bigint", "bigint", "bigint", "bigint", "bigint", "bigint", "bigint"))
+    names = "job, n, seq, op, outcome, status, attempts, max_attempts, submitter, terms, last, held_by, until, proposal, progressed"
+    both = "select f.status, f.attempts, f.max_attempts, f.submitter, f.terms, f.last, f.held_by, f.until, f.proposal, f.progressed, r.* from f join r on r.job = f.job and r.n = f.n + 1"
+    return (
+        f"with recursive q as (select {', '.join(_ASKED)} from events), r as (select *, row_number() over (partition by job order by seq) as n from q), "
+        f"f({names}) as (select distinct job, 0::bigint, {none} from r union all select {', '.join(after)} from (select *, {outcome} as outcome from ({both})))"
+        " select seq, job, op, outcome from f where n > 0"
+    )
+
+
+@query(_lease_sql())
+def job_leases(s, d):
+    """Requests to the scheduler, what became of each."""
+    rows = table(s, d, "events").selectExpr(*_ASKED)
+    return stateful.fold(rows, "job", "seq", scheduler.step, "outcome string").select("seq", "job", "op", "outcome")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from memoryloom.operators import scheduler
 from memoryloom.operators.stateful import job_step, quota_step
 
 
@@ -52,3 +53,19 @@ def jobs(requests: DataFrame, most: int = 3) -> DataFrame:
         state.update((json.dumps(held),))
 
     return requests.groupBy("job").applyInPandasWithState(step, "seq long, job long, moved boolean", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def leases(requests: DataFrame) -> DataFrame:
+    """seq, job and outcome of requests (seq, job and the columns of scheduler), in order within a micro-batch.
+
+    A job that has ended is kept, since a later request must find it so; the state is one small record a job.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {}
+        f = pd.concat(list(frames)).sort_values("seq")
+        f["outcome"] = [scheduler.step(held, r) for r in f.astype(object).to_dict("records")]
+        yield f[["seq", "job", "outcome"]]
+        state.update((json.dumps(held),))
+
+    return requests.groupBy("job").applyInPandasWithState(step, "seq long, job long, outcome string", "held string", "append", GroupStateTimeout.NoTimeout)

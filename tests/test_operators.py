@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memoryloom.functions import text
-from memoryloom.operators import consolidate, context, evaluate, gate, governed, graph, ledger, lifecycle, outbox, rank, semantic, stateful, temporal, vectors
+from memoryloom.operators import consolidate, context, evaluate, gate, governed, graph, ledger, lifecycle, outbox, rank, scheduler, semantic, stateful, temporal, vectors
 from memoryloom.sources import files
 
 MEM = "id string, text string, valid_from int"
@@ -347,3 +347,54 @@ def test_percentile_by_index_is_that_of_the_sorted_samples(spark):
         for p in (0, 50, 95, 100):
             assert evaluate.index_percentile(df, "v", p).first()[0] == sorted(xs)[round(p / 100 * (n - 1))]
     assert evaluate.index_percentile(spark.createDataFrame([], "v long"), "v", 50).first()[0] is None
+
+
+def _asked(op, at, **more):
+    return {"op": op, "at": at, "owner": "o", "digest": "d", "most": 2, "token": "t", "ttl": 10, "progress_at": at} | more
+
+
+def test_scheduler_leases_renewal_and_budget():
+    job = {}
+    run = lambda *a, **k: scheduler.step(job, _asked(*a, **k))
+    assert run("acquire", 0) == "missing" and job == {}
+    assert [run("submit", 1), run("submit", 0), run("submit", 2, owner="x"), run("submit", 2, digest="x")] == ["submitted", "known", "collision", "collision"]
+    assert [run("acquire", 0), run("acquire", 2, ttl=0), run("acquire", 2, ttl=scheduler.MOST_TTL + 1), run("fail", 2)] == ["backdated", "bad_ttl", "bad_ttl", "idle"]
+    assert [run("acquire", 2), run("acquire", 11), run("renew", 5, ttl=7), run("renew", 5, ttl=8)] == ["leased", "held", "not_extended", "renewed"]
+    assert [run("progress", 6, token="x"), run("progress", 6, progress_at=0), run("progress", 6), run("progress", 13)] == ["stale", "regressed", "progressed", "stale"]
+    # The lease ran out: another attempt, which fails for good since the budget is two.
+    assert [run("acquire", 13, token="u"), run("propose", 14), run("fail", 14, token="u"), run("submit", 20), run("claim", 20)] == ["leased", "stale", "given_up", "known", "terminal"]
+    assert (job["status"], job["attempts"], job["until"]) == ("cancelled", 2, None)
+
+
+def test_scheduler_proposals_are_staged_once():
+    job = {}
+    run = lambda *a, **k: scheduler.step(job, _asked(*a, **k))
+    assert [run("claim", 1), run("propose", 2, digest="p"), run("propose", 3, digest="p"), run("propose", 3, digest="q")] == ["leased", "staged", "ready", "collision"]
+    assert [run("acquire", 50), run("claim", 50), run("complete", 50, digest="q"), run("complete", 50, digest="p")] == ["needs_recovery", "ready", "collision", "completed"]
+    assert [run("claim", 60), run("cancel", 60), run("cancel", 60, owner="x"), run("cancel", 40)] == ["done", "terminal", "stale", "backdated"]
+    # A failed attempt keeps the digest, and the next one has to come to the same.
+    job.clear()
+    assert [run("claim", 1), run("propose", 2, digest="p"), run("fail", 3), run("claim", 4), run("propose", 5, digest="q"), run("propose", 5, digest="p")] == ["leased", "staged", "failed", "leased", "collision", "staged"]
+
+
+def test_scheduler_streams_as_it_folds(spark, data, tmp_path):
+    from memoryloom.plans import extensions
+    from memoryloom.streaming import stateful as streams
+
+    rows = spark.read.parquet(f"{data}/events.parquet").selectExpr(*extensions._ASKED)
+    source = str(tmp_path / "in")
+    rows.repartitionByRange(3, "seq").write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    q = streams.leases(stream).writeStream.outputMode("append").format("memory").queryName("leases").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    want = stateful.fold(rows, "job", "seq", scheduler.step, "outcome string").select("seq", "outcome")
+    assert sorted(map(tuple, spark.table("leases").select("seq", "outcome").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_joined_bytes(spark):
+    from memoryloom.functions import digest
+
+    rows = spark.createDataFrame([(["ab", "", "c\0"],), ([],), (["a", None],)], "x array<string>")
+    out = [r.y for r in rows.select(digest.joined(F.transform("x", lambda v: v.cast("binary"))).alias("y")).collect()]
+    assert [out[0] and bytes(out[0]), out[1] is not None and bytes(out[1]), out[2]] == [b"abc\0", b"", None]
