@@ -398,3 +398,36 @@ def test_joined_bytes(spark):
     rows = spark.createDataFrame([(["ab", "", "c\0"],), ([],), (["a", None],)], "x array<string>")
     out = [r.y for r in rows.select(digest.joined(F.transform("x", lambda v: v.cast("binary"))).alias("y")).collect()]
     assert [out[0] and bytes(out[0]), out[1] is not None and bytes(out[1]), out[2]] == [b"abc\0", b"", None]
+
+
+def test_recall_minds_purpose_validity_and_ceiling(spark, tmp_path):
+    log, day = ledger.Ledger(spark, str(tmp_path / "store")), lambda d: datetime(2025, 1, d)
+    ask = lambda purpose="", at=day(5), ceiling=1: {r.id: (r.visibility, r.text) for r in log.recall(ledger.Request("s", "tea", purpose), ceiling, at).collect()}
+    assert ask() == {}
+    a = log.remember("a", ledger.Request("s", "tea for all"), day(1))
+    b = log.remember("b", ledger.Request("s", "tea of research", "research"), day(1))
+    c = log.remember("c", ledger.Request("s", "tea until the third"), day(1), valid_to=day(3))
+    x = log.remember("x", ledger.Request("s", "secret tea"), day(4), label=3)
+    log.remember("y", ledger.Request("other", "tea elsewhere"), day(1))
+    assert ask() == {a: ("visible", "tea for all"), x: ("redacted", None)}
+    assert set(ask("research")) == {a, b, x} and set(ask("audit")) == {a, x}
+    assert set(ask(at=day(2))) == {a, c} and set(ask(at=day(3))) == {a} and ask(ceiling=3)[x] == ("visible", "secret tea")
+
+
+def test_forgotten_texts_leave_the_files(spark, tmp_path):
+    store, at = tmp_path / "store", datetime(2025, 1, 1)
+    log = ledger.Ledger(spark, str(store))
+    both = log._event("put", [("m1", "s", "semantic", 1, "first tea", at), ("m2", "s", "semantic", 1, "second tea", at)])
+    assert log.commit("k1", both) and log.erase() == 0
+    texts = lambda: {r.text for f in store.glob("log/*") if list(f.glob("*.parquet")) for r in spark.read.schema(ledger.SCHEMA).parquet(str(f)).collect()}
+    assert log.forget("k2", ledger.Request("s", ids=("m1",)), datetime(2025, 1, 2)) and texts() == {"second tea", None}
+    assert [r.id for r in log.recall(ledger.Request("s", "tea")).collect()] == ["m2"] and log.log().count() == 3
+    assert not log.commit("k1", both) and log.recover("k1", both)
+    # A crash before the former version went: it is neither read nor kept.
+    both_again = log._rows("k1", both)
+    both_again.write.mode("append").parquet(str(store / "log" / "commit-k1"))
+    assert log.log().count() == 3 and not log.forget("k2", ledger.Request("s", ids=("m1",)), datetime(2025, 1, 2)) and "first tea" not in texts()
+    log.forget("k3", ledger.Request("s", ids=("m2",)), datetime(2025, 1, 3))
+    assert texts() == {None} and log.log().count() == 4 and log.recover("k1", both)
+    with pytest.raises(ValueError, match="another commit"):
+        log.recover("k1", log._event("put", [("m3", "s", "semantic", 1, "x", at)]))
