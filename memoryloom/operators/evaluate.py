@@ -50,6 +50,36 @@ def hard_gates(outcomes: DataFrame, gate_of: dict[str, str], gates: list[str]) -
     return spark.createDataFrame([(g,) for g in gates], "gate string").join(n, "gate", "left").select("gate", F.coalesce("failures", F.lit(0)).cast("long").alias("failures"))
 
 
+def case_gates(outcomes: DataFrame, gate_of: dict[str, str], gate_of_case: dict[str, str], gates: list[str], mismatched: tuple[str, int] = ("", 0)) -> DataFrame:
+    """Failures per gate as hard_gates() gives them, where a case's own gate comes before its category's.
+
+    mismatched: a gate to whose failures a number of receipts that differ between runs is added.
+    """
+    names = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    gate = names(gate_of)[F.col("category")]
+    if gate_of_case:
+        gate = F.coalesce(names(gate_of_case)[F.col("case_id")], gate)
+    n = outcomes.where("not correct").groupBy(gate.alias("gate")).agg(F.count(F.lit(1)).alias("failures"))
+    more = F.when(F.col("gate") == mismatched[0], mismatched[1]).otherwise(0)
+    every = outcomes.sparkSession.createDataFrame([(g,) for g in dict.fromkeys(gates)], "gate string")
+    return every.join(n, "gate", "left").select("gate", (F.coalesce("failures", F.lit(0)) + more).cast("long").alias("failures"))
+
+
+def judged(cases: DataFrame, decisions: DataFrame) -> DataFrame:
+    """case_id and whether the decision on it (case_id, allowed, ids) is right.
+
+    It is if it allows what the case expects, its ids start with the expected ones, are none where the case must be
+    abstained from, and hold no forbidden one. A case without a decision is wrong.
+    """
+    both = cases.join(decisions.select("case_id", "allowed", F.coalesce("ids", F.array().cast("array<string>")).alias("ids")), "case_id", "left")
+    none = F.array().cast("array<string>")
+    want, not_these = F.coalesce("expected_ids", none), F.coalesce("forbidden_ids", none)
+    starts = (F.size(want) == 0) | (F.slice("ids", 1, F.greatest(F.size(want), F.lit(1))) == want)
+    abstains = ~F.coalesce("must_abstain", F.lit(False)) | (F.size("ids") == 0)
+    right = (F.col("allowed") == F.col("expected_allowed")) & starts & abstains & ~F.arrays_overlap("ids", not_these)
+    return both.select("case_id", F.coalesce(right, F.lit(False)).alias("correct"))
+
+
 def index_percentile(samples: DataFrame, value: str, p: int) -> DataFrame:
     """The sample at index round-half-even(p / 100 * (n - 1)) of the sorted ones, null for none.
 

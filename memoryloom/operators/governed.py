@@ -87,3 +87,30 @@ def rotated(boundaries: DataFrame, new_key: Column) -> DataFrame:
     last = F.lit(2**63 - 1)
     revision = F.when(F.col("revision") == last, F.raise_error(F.lit("no revision is left")).cast("long")).otherwise(F.col("revision") + 1)
     return boundaries.select("tenant", new_key.alias("key"), revision.alias("revision"))
+
+
+#: Bytes that a table's warehouse, namespace and name hold together at most, with a byte between parts.
+MOST_IDENTITY_BYTES = 512
+#: What a source is known by, in the order of its digest.
+SOURCE_FIELDS = ("snapshot_digest", "grant_id", "catalog", "namespace", "table", "snapshot_id", "plan_task_digest", "subject", "purpose")
+
+
+def sources_of(proofs: DataFrame, catalog: str, projection: list[str], most_bytes: int = MOST_IDENTITY_BYTES) -> DataFrame:
+    """proofs with a verdict (accepted, catalog_mismatch or invalid) and, where accepted, the source's namespace and digest.
+
+    proofs: catalog, warehouse, namespace (array), table and the other SOURCE_FIELDS. A proof of another catalog, with a
+    field missing or empty, or of too long an identity gives no source.
+    """
+    from memoryloom.functions import digest
+
+    parts = F.concat(F.array("warehouse"), "namespace", F.array("table"))
+    size = F.octet_length(F.array_join(parts, "."))
+    blank = lambda c: F.coalesce(F.length(F.trim(c)) == 0, F.lit(True))
+    texts = ["warehouse", "table"] + [c for c in SOURCE_FIELDS if c not in ("catalog", "namespace", "table", "snapshot_id")]
+    lacking = F.col("snapshot_id").isNull() | F.coalesce(F.size("namespace") == 0, F.lit(True)) | F.exists(parts, lambda x: blank(x))
+    for c in texts:
+        lacking = lacking | blank(F.col(c))
+    verdict = F.when(~F.col("catalog").eqNullSafe(F.lit(catalog)), "catalog_mismatch").when(F.coalesce(lacking | (size > most_bytes), F.lit(True)), "invalid").otherwise("accepted")
+    out = proofs.withColumn("verdict", verdict).withColumn("namespace", F.when(F.col("verdict") == "accepted", F.array_join("namespace", ".")))
+    fields = [digest.framed(F.col(c).cast("string")) for c in SOURCE_FIELDS] + [digest.framed(F.lit(f)) for f in canonical_projection(projection)]
+    return out.withColumn("source_digest", F.when(F.col("verdict") == "accepted", digest.sha256(digest.framed(F.lit("governed-source.v1")), *fields)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memoryloom.functions import text
-from memoryloom.operators import consolidate, context, evaluate, governed, ledger, rank, scheduler, stateful, temporal
+from memoryloom.operators import consolidate, context, evaluate, governed, graph, ledger, rank, scheduler, stateful, temporal
 from memoryloom.plans.catalogue import LEXICAL, N_MEM, ORDER, OVERLAP, SPLIT, STATE, STATES_AT, TOKENS, GREEDY, day, documents, gated, planned, states
 from memoryloom.plans.registry import query
 from memoryloom.sources import files, scratch
@@ -212,3 +212,87 @@ def job_leases(s, d):
     """Requests to the scheduler, what became of each."""
     rows = table(s, d, "events").selectExpr(*_ASKED)
     return stateful.fold(rows, "job", "seq", scheduler.step, "outcome string").select("seq", "job", "op", "outcome")
+
+
+# Tombstones, migration, evaluation, proofs
+
+_RELATIONS = "concat('ord-', lpad(cast(l_orderkey as string), 10, '0')) as fact_id", "concat('part:', l_partkey) as src", "'supplied_by' as rel", "concat('supplier:', l_suppkey) as dst"
+_RELATED = f"l as (select {', '.join(_RELATIONS)} from lineitem)"
+_GONE = "g as (select id from statements where cast(substr(id, 5) as bigint) % 50 = 1)"
+
+
+def _gone(s, d):
+    return view(s, d, "statements").select("id").where("cast(substr(id, 5) as bigint) % 50 = 1")
+
+
+@query(with_views(f", {_RELATED}, {_GONE}, n as (select 'records' as what, count(*) as n from statements where id not in (from g) union all select 'mentions', count(*) from mentions where record_id not in (from g) union all select 'relations', count(*) from l where fact_id not in (from g)) select what, n from n", "statements", "mentions"))
+def tombstone_incident(s, d):
+    """What is left of records, mentions and relations once some records are gone."""
+    relations = table(s, d, "lineitem").selectExpr(*_RELATIONS)
+    left = graph.tombstoned(view(s, d, "statements"), view(s, d, "mentions"), relations, _gone(s, d))
+    counts = [x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(w).alias("what"), "n") for w, x in zip(("records", "mentions", "relations"), left)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query(with_views(f", {_RELATED}, a as (select 'assertion:' || substr(sha256(src || '|' || rel || '|' || dst), 1, 32) as assertion_id, src as subject, rel as predicate, dst as object, min(fact_id) as fact_id from l group by src, rel, dst) select a.*, valid_from::varchar as valid_from from a join statements on id = fact_id where substr(assertion_id, 11, 1) <> '0'", "statements"))
+def legacy_migration_sources(s, d):
+    edges = table(s, d, "lineitem").selectExpr(*_RELATIONS)
+    there = graph.assertions_of(edges).where("substr(assertion_id, 11, 1) = '0'")
+    return graph.migration(edges, view(s, d, "statements"), there).withColumn("valid_from", F.col("valid_from").cast("string"))
+
+
+_OUTCOMES = "concat('case-', doc_id) as case_id", "concat('category-', doc_id % 4) as category", "quality = 1 as correct"
+_GATE_OF, _GATE_OF_CASE = {"category-0": "disclosure", "category-1": "replay", "category-2": "determinism"}, {f"case-{i}": "leakage" for i in range(0, 60, 3)}
+_GATE_SQL = "coalesce(" + ", ".join("case " + " ".join(f"when {c} = '{k}' then '{g}'" for k, g in m.items()) + " end" for c, m in (("case_id", _GATE_OF_CASE), ("category", _GATE_OF))) + ")"
+
+
+@query(f"with o as (select {', '.join(_OUTCOMES)} from labels), f as (select {_GATE_SQL} as gate from o where not correct), g as (select unnest(['leakage', 'disclosure', 'replay', 'determinism', 'residue']) as gate) select g.gate, count(f.gate) + case when g.gate = 'determinism' then 2 else 0 end as failures from g left join f on f.gate = g.gate group by g.gate")
+def hard_gates_by_case(s, d):
+    return evaluate.case_gates(table(s, d, "labels").selectExpr(*_OUTCOMES), _GATE_OF, _GATE_OF_CASE, ["leakage", *_GATE_OF.values(), "residue"], ("determinism", 2))
+
+
+_RIGHT = "allowed = wanted and (len(expected) = 0 or list_slice(ids, 1, len(expected)) = expected) and (not abstain or len(ids) = 0) and not list_has_any(ids, forbidden)"
+
+
+@query(f"with c as (select o_orderkey as case_id, o_orderkey % 4 <> 3 as wanted, case when o_orderkey % 3 = 0 then [] else ['m' || o_custkey % 3] end as expected, ['m' || o_custkey % 5] as forbidden, o_orderkey % 7 = 0 as abstain, o_orderkey % 8 <> 7 as allowed, case when o_orderkey % 5 = 0 then [] else ['m' || o_custkey % 3, 'm' || o_orderkey % 4] end as ids from orders) select 'case-' || case_id as case_id, case_id % 11 <> 0 and {_RIGHT} as correct from c")
+def case_outcomes(s, d):
+    """Decisions held against their cases; some cases have none."""
+    rows = table(s, d, "orders").withColumn("case_id", F.concat(F.lit("case-"), F.col("o_orderkey").cast("string")))
+    none = "cast(array() as array<string>)"
+    cases = rows.selectExpr("case_id", "o_orderkey % 4 <> 3 as expected_allowed", f"if(o_orderkey % 3 = 0, {none}, array(concat('m', o_custkey % 3))) as expected_ids", "array(concat('m', o_custkey % 5)) as forbidden_ids", "o_orderkey % 7 = 0 as must_abstain")
+    decisions = rows.where("o_orderkey % 11 <> 0").selectExpr("case_id", "o_orderkey % 8 <> 7 as allowed", f"if(o_orderkey % 5 = 0, {none}, array(concat('m', o_custkey % 3), concat('m', o_orderkey % 4))) as ids")
+    return evaluate.judged(cases, decisions)
+
+
+_PROOF = {
+    "catalog": "case when c_custkey % 6 = 0 then 'other' else 'main' end",
+    "warehouse": "c_mktsegment",
+    "table": "case when c_custkey % 10 = 0 then repeat('x', 600) else c_name end",
+    "snapshot_id": "c_custkey",
+    "grant_id": "case when c_custkey % 9 = 0 then '' else md5(cast(c_custkey as string)) end",
+    "snapshot_digest": "md5(c_name)",
+    "plan_task_digest": "md5(c_mktsegment)",
+    "subject": "concat('subject-', c_nationkey)",
+    "purpose": "case when c_custkey % 14 <> 0 then 'audit' end",
+}
+_SOURCE = " || ".join(f"{c}::varchar || chr(0)" for c in ("snapshot_digest", "grant_id", "catalog", "space", '"table"', "snapshot_id", "plan_task_digest", "subject", "purpose"))
+
+
+@query(
+    "with p as (select c_custkey, " + ", ".join(f'{v} as "{k}"' for k, v in _PROOF.items()) + ", 'n' || c_nationkey || '.prices' as space from customer), "
+    "v as (select *, case when catalog <> 'main' then 'catalog_mismatch' when grant_id = '' or purpose is null or strlen(warehouse || '.' || space || '.' || \"table\") > 512 then 'invalid' else 'accepted' end as verdict from p) "
+    f"select c_custkey, verdict, case when verdict = 'accepted' then space end as namespace, case when verdict = 'accepted' then 'sha256:' || sha256('governed-source.v1' || chr(0) || {_SOURCE} || 'id' || chr(0) || 'text' || chr(0)) end as source_digest from v"
+)
+def catalog_proofs(s, d):
+    rows = table(s, d, "customer").selectExpr("c_custkey", *[f"{v} as `{k}`" for k, v in _PROOF.items()], "array(concat('n', c_nationkey), 'prices') as namespace")
+    return governed.sources_of(rows, "main", ["id", "text"]).select("c_custkey", "verdict", "namespace", "source_digest")
+
+
+@query(with_views(" select 'cases' as name, 'normalized' as status, count(*) as cases from memories union all select 'broken', 'error', 0 union all select 'absent', 'unavailable', 0", "memories"))
+def corpus_inventory(s, d):
+    """A corpus that can be read, one that can't and one that has no path."""
+    path = scratch.folder(s, "corpus")
+    rows = view(s, d, "memories").select(F.col("id").alias("case_id"), F.lit("what").alias("query"), F.lit("2024-01-01").alias("as_of"), F.array("id").alias("expected_ids"))
+    rows.write.json(path)
+    found = files.inventory(s, {"cases": (path, files.cases), "broken": (f"{path}-missing", files.cases), "absent": (None, files.cases)})
+    return s.createDataFrame([(x["name"], x["status"], x.get("cases", 0)) for x in found], "name string, status string, cases long")

@@ -193,7 +193,10 @@ def schema_registry(s, d):
     return semantic.registered(wanted, registry).select("c_custkey", "schema_digest")
 
 
-@query("select o_orderkey, o_orderkey % 5 <> 0 and o_orderkey % 6 = 2 as exact, o_orderkey % 5 <> 0 and o_orderkey % 6 between 2 and 4 as in_window from orders")
+_BACKUPS = "b as (select o_orderkey, 'backup-v' || case when o_orderkey % 5 = 0 then 0 else 1 end as version, 'db-v' || (o_orderkey % 6) as schema_name from orders)"
+
+
+@query(f"with {_BACKUPS} select o_orderkey, (version, schema_name) = ('backup-v1', 'db-v2') as exact, version = 'backup-v1' and coalesce(try_cast(regexp_extract(schema_name, '^db-v([0-9]+)$', 1) as int) between 2 and 4, false) as in_window from b")
 def backup_restore(s, d):
     version, schema = F.when(F.col("o_orderkey") % 5 == 0, "backup-v0").otherwise("backup-v1"), F.concat(F.lit("db-v"), (F.col("o_orderkey") % 6).cast("string"))
     return table(s, d, "orders").select("o_orderkey", semantic.restorable(version, schema, "backup-v1", "db-v2").alias("exact"), semantic.restorable(version, schema, "backup-v1", family="db", least=2, most=4).alias("in_window"))
@@ -249,14 +252,24 @@ def key_rotation(s, d):
     return governed.rotated(rows, F.lit("key-2")).select((F.col("revision") - 1).alias("c_custkey"), digest.key_boundary(F.col("tenant"), F.col("key"), F.col("revision")).alias("boundary"))
 
 
-@query("select count(*) filter (where o_orderkey % 9 = 0 or o_orderkey % 13 = 0) as mismatches from orders")
+_SECOND_RUN = "b as (select case_id, case when case_id % 9 = 0 then 'other' else receipt end as receipt from a where case_id % 13 <> 0)"
+
+
+@query(f"with a as (select o_orderkey as case_id, md5(o_custkey::varchar) as receipt from orders), {_SECOND_RUN} select count(*) as mismatches from a full join b on a.case_id = b.case_id where a.receipt is distinct from b.receipt")
 def run_mismatches(s, d):
     first = table(s, d, "orders").selectExpr("o_orderkey as case_id", "md5(cast(o_custkey as string)) as receipt")
     second = first.where("case_id % 13 <> 0").withColumn("receipt", F.when(F.col("case_id") % 9 == 0, "other").otherwise(F.col("receipt")))
     return evaluate.mismatches(first, second)
 
 
-@query("select o_orderkey as case_id, case when list_has_any([o_custkey % 7, o_custkey % 5], [o_orderkey % 6]) then 'overlap' when o_custkey % 7 = o_custkey % 5 then 'repeated' when o_orderkey % 9 = 0 then 'bounds' end as fault from orders")
+_CASES = "c as (select o_orderkey as case_id, [o_custkey % 7, o_custkey % 5] as expected, [o_orderkey % 6] as forbidden, o_orderkey % 9 as budget from orders), e as (select case_id, unnest(expected) as id from c), x as (select case_id, unnest(forbidden) as id from c)"
+
+
+@query(
+    f"with {_CASES}, o as (select distinct e.case_id from e join x on x.case_id = e.case_id and x.id = e.id), "
+    "r as (select distinct case_id from (select case_id, id from e group by all having count(*) > 1 union all select case_id, id from x group by all having count(*) > 1)) "
+    "select case_id, case when case_id in (select case_id from o) then 'overlap' when case_id in (select case_id from r) then 'repeated' when len(expected) > 256 or len(forbidden) > 256 or budget < 1 or budget > 64000 then 'bounds' end as fault from c"
+)
 def eval_case_faults(s, d):
     rows = table(s, d, "orders").selectExpr("o_orderkey as case_id", "array(o_custkey % 7, o_custkey % 5) as expected_ids", "array(o_orderkey % 6) as forbidden_ids", "o_orderkey % 9 as token_budget")
     return evaluate.valid_cases(rows, 256, 64_000).select("case_id", "fault")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
@@ -151,6 +152,27 @@ def verified(rows: list[dict], pinned: dict) -> list[dict]:
     return rows
 
 
+def inventory(spark: SparkSession, corpora: dict[str, tuple[str | None, Callable[[SparkSession, str], DataFrame]]]) -> list[dict]:
+    """What there is of each named corpus (path and reader): normalized with cases and file digest, error, or unavailable.
+
+    Files are read and hashed by the executors; only a count, a digest a file and a message come back.
+    """
+    report = []
+    for name, (path, reader) in corpora.items():
+        entry = {"name": name, "status": "unavailable"}
+        if path and path.strip():
+            try:
+                # A message names the fault; what else the JVM says of it doesn't belong in a report.
+                entry |= {"status": "normalized", "cases": reader(spark, path).count()}
+                raw = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("digest")).orderBy("path")
+                found = [r.digest for r in raw.collect()]
+                entry["file_digest"] = "sha256:" + (found[0] if len(found) == 1 else hashlib.sha256("".join(found).encode()).hexdigest())
+            except Exception as e:  # noqa: BLE001 - every fault of a corpus is reported
+                entry = {"name": name, "status": "error", "error": (str(e).splitlines() or [""])[0][:256]}
+        report.append(entry)
+    return report
+
+
 def write_report(report: dict, path: str) -> None:
     """A report as JSON of sorted keys; strings hold at most 256 characters and no newline."""
 

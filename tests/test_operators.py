@@ -431,3 +431,43 @@ def test_forgotten_texts_leave_the_files(spark, tmp_path):
     assert texts() == {None} and log.log().count() == 4 and log.recover("k1", both)
     with pytest.raises(ValueError, match="another commit"):
         log.recover("k1", log._event("put", [("m3", "s", "semantic", 1, "x", at)]))
+
+
+def test_external_adapter_reports_every_case_once(tmp_path):
+    import sys
+
+    from memoryloom.operators import adapter
+
+    cases = [{"case_id": "a"}, {"case_id": "b"}]
+
+    def command(body):
+        (tmp_path / "x.py").write_text("import json, sys\nr = json.load(sys.stdin)\nids = [c['case_id'] for c in r['cases']]\n" + body)
+        return f"{sys.executable} {tmp_path / 'x.py'}"
+
+    row = "{'case_id': i, 'correct': i == 'a', 'allowed': True}"
+    good = adapter.execute("x", command(f"print(json.dumps({{'adapter_version': 'v2', 'cases': [{row} for i in reversed(ids)]}}))"), cases)
+    assert (good.status, good.version, [(o["case_id"], o["correct"], o["supported"], o["returned_ids"]) for o in good.outcomes]) == ("executed", "v2", [("a", True, True, []), ("b", False, True, [])])
+    for bad in (f"print(json.dumps({{'cases': [{row} for i in ids + ids]}}))", "print(json.dumps({'cases': []}))", "sys.exit(3)", "print('no json')"):
+        r = adapter.execute("x", command(bad), cases)
+        assert r.status == "error" and 0 < len(r.error) <= 256 and not r.outcomes
+    assert adapter.execute("x", command("import time; time.sleep(20)"), cases, seconds=0.3).status == "error"
+    assert adapter.execute("x", " ", cases).status == "unavailable" and adapter.execute("x", None, cases).status == "unavailable"
+
+
+def test_migration_needs_every_record_and_runs_once(spark):
+    edges = spark.createDataFrame([("a", "b", "r", "m2"), ("a", "b", "r", "m1"), ("c", "d", "r", "m1")], "src string, dst string, rel string, fact_id string")
+    records = spark.createDataFrame([("m1", 1), ("m2", 2)], "id string, valid_from int")
+    none = spark.createDataFrame([], "assertion_id string")
+    new = graph.migration(edges, records, none)
+    assert sorted((r.subject, r.fact_id, r.valid_from) for r in new.collect()) == [("a", "m1", 1), ("c", "m1", 1)]
+    assert graph.migration(edges, records, new).count() == 0
+    with pytest.raises(Exception, match="no record"):
+        graph.migration(edges, records.where("id = 'm1'").withColumn("id", F.lit("m9")), none).collect()
+
+
+def test_judged_cases(spark):
+    kind = "case_id string, expected_allowed boolean, expected_ids array<string>, forbidden_ids array<string>, must_abstain boolean"
+    cases = spark.createDataFrame([("a", True, ["x", "y"], [], False), ("b", True, [], ["x"], False), ("c", True, None, None, True), ("d", False, [], [], None), ("e", True, [], [], False)], kind)
+    run = lambda rows: {r.case_id: r.correct for r in evaluate.judged(cases, spark.createDataFrame(rows, "case_id string, allowed boolean, ids array<string>")).collect()}
+    assert run([("a", True, ["x", "y", "z"]), ("b", True, ["y"]), ("c", True, None), ("d", False, ["q"])]) == {"a": True, "b": True, "c": True, "d": True, "e": False}
+    assert run([("a", True, ["y", "x"]), ("b", True, ["y", "x"]), ("c", True, ["q"]), ("d", True, []), ("e", None, [])]) == dict.fromkeys("abcde", False)
