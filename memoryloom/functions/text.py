@@ -79,6 +79,26 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def rfc3339(ts: Column) -> Column:
+    """A timestamp without zone, read as UTC, in RFC 3339 with nanoseconds."""
+    return F.date_format(ts.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS'Z'")
+
+
+def uuid_canonical(value: Column) -> Column:
+    """The value if it is a UUID in lower case with hyphens, else null."""
+    return F.when(value.rlike(UUID), value)
+
+
+def encoded(row: list[str]) -> Column:
+    """Columns as a JSON object of sorted keys, nulls left out."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in sorted(row)]))
+
+
+def decoded(text: Column, schema: str) -> Column:
+    """The row that an encoded() text of the schema holds; a malformed one is an error."""
+    return F.from_json(text, schema, {"mode": "FAILFAST"})
+
+
 def uuid5(key: str) -> str:
     """Version-5 UUID in the OID namespace."""
     return str(uuid.uuid5(uuid.NAMESPACE_OID, key))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,26 +82,45 @@ def judged(cases: DataFrame, decisions: DataFrame) -> DataFrame:
     return both.select("case_id", F.coalesce(right, F.lit(False)).alias("correct"))
 
 
-def index_percentile(samples: DataFrame, value: str, p: int) -> DataFrame:
-    """The sample at index round-half-even(p / 100 * (n - 1)) of the sorted ones, null for none.
+def at_ranks(samples: DataFrame, group: Column, value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per group (grp) the values at ranks, from 1, that are functions of the number n of its values; null beyond them.
 
-    Values are counted and the counts written in ranges; the ranges' sums, one row a partition, tell the range that
-    holds the index, and only its values are put in order.
+    Values are counted and the counts written in ranges of (group, value); the ranges' sums, a row for each range and
+    group in it, tell the range that holds a rank, and only the values of such ranges are put in order.
     """
     from pyspark.sql import Window as W
 
     spark, path = samples.sparkSession, folder(samples.sparkSession, "counts")
-    counts = samples.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()).write.parquet(path)
-    counts = spark.read.schema("v " + dict(samples.dtypes)[value] + ", c long, part int").parquet(path)
-    ranges = counts.groupBy("part").agg(F.sum("c").alias("n"), F.min("v").alias("low"))
-    ranges = ranges.withColumns({"upto": F.sum("n").over(W.orderBy("low")), "all": F.sum("n").over(W.partitionBy())})
-    index = F.bround(F.lit(p) / 100 * (F.col("all") - 1), 0).cast("long")
-    held = ranges.where((F.col("upto") > index) & (F.col("upto") - F.col("n") <= index))
-    held = held.select(F.col("part").alias("held"), (index - (F.col("upto") - F.col("n"))).alias("index"))
-    within = counts.join(F.broadcast(held), F.col("part") == F.col("held"))  # one row at most
-    upto = within.withColumn("upto", F.sum("c").over(W.orderBy("v")))
-    return upto.where(F.col("upto") > F.col("index")).agg(F.min("v").alias(f"p{p}"))
+    counts = samples.select(group.alias("grp"), F.col(value).alias("v")).groupBy("grp", "v").agg(F.count("v").alias("c"))
+    kinds = ", ".join(f"{n} {t}" for n, t in counts.dtypes)
+    counts.repartitionByRange("grp", "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    counts = spark.read.schema(kinds + ", part int").parquet(path)
+    ranges = counts.groupBy("grp", "part").agg(F.sum("c").alias("n"))
+    upto = W.partitionBy("grp").orderBy("part")
+    ranges = ranges.withColumns({"before": F.sum("n").over(upto) - F.col("n"), "all": F.sum("n").over(W.partitionBy("grp")), "k": F.row_number().over(upto)})
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), r(F.col("all")).cast("long").alias("rank")) for k, r in ranks.items()])
+    held = F.filter(wanted, lambda w: (w["rank"] > F.col("before")) & (w["rank"] <= F.col("before") + F.col("n")))
+    # A group's first range stays even if it holds no rank, so that every group has a row.
+    held = ranges.withColumn("held", held).where("size(held) > 0 or k = 1").select(F.col("grp").alias("g2"), F.col("part").alias("p2"), "before", "held")
+    some = counts.join(held, F.col("grp").eqNullSafe(F.col("g2")) & (F.col("part") == F.col("p2")))
+    some = some.withColumn("upto", F.col("before") + F.sum("c").over(W.partitionBy("grp", "part").orderBy("v")))
+    here = lambda k: F.exists("held", lambda w: (w["name"] == k) & (w["rank"] <= F.col("upto")) & (w["rank"] > F.col("upto") - F.col("c")))
+    return some.groupBy("grp").agg(*[F.max(F.when(here(k), F.col("v"))).alias(k) for k in ranks])
+
+
+def index_percentiles(samples: DataFrame, value: str, ps: list[int], middle: str | None = None) -> DataFrame:
+    """The samples at index round-half-even(p / 100 * (n - 1)) of the sorted ones, for each p, null for none.
+
+    middle: name of a further column for the middle sample, or the mean of the two in the middle.
+    """
+    ranks = {f"p{p}": lambda n, p=p: F.bround(F.lit(p) / 100 * (n - 1), 0) + 1 for p in ps}
+    ends = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor(n / 2) + 1} if middle else {}
+    found = at_ranks(samples, F.lit(0), value, ranks | ends)
+    return found.agg(*[F.min(k).alias(k) for k in ranks], *([((F.min("low") + F.min("high")) / 2).alias(middle)] if middle else []))
+
+
+def index_percentile(samples: DataFrame, value: str, p: int) -> DataFrame:
+    return index_percentiles(samples, value, [p])
 
 
 def speedups(samples: DataFrame, case: str, value: str, fast: Column) -> DataFrame:

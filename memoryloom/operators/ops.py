@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memoryloom.functions.digest import tagged
 from memoryloom.functions.text import ratio_ceil
+from memoryloom.operators import evaluate
 
 OPERATIONS = ["remember", "recall", "improve", "forget", "context"]
 #: The nodes of an audit record's lineage, in order.
@@ -25,9 +26,10 @@ def cost(samples: DataFrame, counters: dict[str, Column], rates: dict[str, int])
 
 
 def percentiles(samples: DataFrame) -> DataFrame:
-    """Nearest-rank percentiles per operation."""
-    p = lambda x: F.expr(f"cast(percentile_disc({x}) within group (order by latency_micros) as bigint)")
-    return samples.groupBy("operation").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    """Nearest-rank percentiles per operation, null for one without samples; no task holds all values of an operation."""
+    rank = lambda p: lambda n: F.greatest(F.lit(1), F.ceil(p * n / 100))
+    found = evaluate.at_ranks(samples, F.col("operation"), "latency_micros", {f"p{p}": rank(p) for p in (50, 95, 99)})
+    return found.withColumnRenamed("grp", "operation")
 
 
 def service_levels(samples: DataFrame, most_micros: int, most_denials_bp: int) -> DataFrame:

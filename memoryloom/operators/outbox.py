@@ -22,6 +22,15 @@ def claimable(now: Column) -> Column:
     return (F.col("status") != "acked") & (F.col("lease_expiry").isNull() | (F.col("lease_expiry") <= now))
 
 
+def claim_state(now: Column) -> Column:
+    """Whether an entry (status, leased_at, lease_expiry) may be claimed: claimable, acked, leased, or backdated.
+
+    A claim at an instant before the lease was taken is backdated, whether or not the lease has run out by then.
+    """
+    live = F.col("lease_expiry").isNotNull()
+    return F.when(F.col("status") == "acked", "acked").when(live & (now < F.col("leased_at")), "backdated").when(live & (F.col("lease_expiry") > now), "leased").otherwise("claimable")
+
+
 def claim(entries: DataFrame, commit: str, now: Column, limit: int) -> DataFrame:
     """Per commit the first limit claimable entries in manifest order; the rank filter runs before the shuffle too."""
     if not 1 <= limit <= MOST_CLAIMED:

@@ -44,6 +44,13 @@ def states_in(states: DataFrame, wanted: list[str]) -> DataFrame:
     return states.where(F.col("state").isin(wanted))
 
 
+def candidates(states: DataFrame, validity: DataFrame, key: str, wanted: list[str], at: Column | None = None) -> DataFrame:
+    """Keys in one of the wanted states, with valid_from, latest first, then by key; at: only those valid at that instant."""
+    holds = F.lit(True) if at is None else valid_at(at, end="valid_to")
+    found = states_in(states, wanted).join(validity.where(holds).select(F.col(key).alias("valid_key"), "valid_from"), F.col(key) == F.col("valid_key"))
+    return found.select(key, "state", "valid_from").orderBy(F.desc("valid_from"), key)
+
+
 def steps(transitions: DataFrame, ties: list[str] = TIES) -> DataFrame:
     """Transitions with the state and time before each; the first comes from 'proposed'."""
     w = W.partitionBy("assertion_id").orderBy("changed_at", *ties)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memoryloom.functions import text
-from memoryloom.operators import consolidate, context, evaluate, governed, graph, ledger, rank, scheduler, stateful, temporal
+from memoryloom.operators import consolidate, context, evaluate, governed, graph, ledger, outbox, rank, scheduler, stateful, temporal
 from memoryloom.plans.catalogue import LEXICAL, N_MEM, ORDER, OVERLAP, SPLIT, STATE, STATES_AT, TOKENS, GREEDY, day, documents, gated, planned, states
 from memoryloom.plans.registry import query
 from memoryloom.sources import files, scratch
@@ -296,3 +296,52 @@ def corpus_inventory(s, d):
     rows.write.json(path)
     found = files.inventory(s, {"cases": (path, files.cases), "broken": (f"{path}-missing", files.cases), "absent": (None, files.cases)})
     return s.createDataFrame([(x["name"], x["status"], x.get("cases", 0)) for x in found], "name string, status string, cases long")
+
+
+# Scans, candidates, codecs
+
+
+@query(with_views(" select src, dst from rel_edges where rel = 'based_in' and dst = 'nation:3'", "rel_edges"))
+def edge_scan(s, d):
+    return graph.edges_of(view(s, d, "rel_edges"), "based_in", end="nation:3").select("src", "dst")
+
+
+@query(with_views(" select id, valid_from::varchar as valid_from from memories where kind = 'semantic' and space_id = 'space-src3' and label = 1", "memories"))
+def property_scan(s, d):
+    return graph.nodes_of(view(s, d, "memories"), kind="semantic", space_id="space-src3", label=1).select("id", F.col("valid_from").cast("string").alias("valid_from"))
+
+
+@query(with_views(STATE + f", va as (select assertion_id, min(changed_at) as valid_from from transitions group by assertion_id) select assertion_id, state, valid_from::date::varchar as valid_from from st join va using (assertion_id) where state in ('current', 'disputed') and valid_from <= date '{STATES_AT}' and date '{STATES_AT}' < valid_from + interval 3 year", "transitions"))
+def assertion_valid_candidates(s, d):
+    first = view(s, d, "transitions").groupBy("assertion_id").agg(F.min("changed_at").alias("valid_from"))
+    found = temporal.candidates(states(s, d), first.withColumn("valid_to", F.add_months("valid_from", 36)), "assertion_id", ["current", "disputed"], day(STATES_AT))
+    return found.withColumn("valid_from", F.col("valid_from").cast("date").cast("string"))
+
+
+@query(
+    "with e as (select event_id, case when event_id % 4 = 0 then 'acked' else 'pending' end as status, event_id % 3 <> 0 as leased, event_id % 50 as start, event_id % 50 + event_id % 20 as stop from events) "
+    "select event_id, case status when 'acked' then 'acked' else case when leased then case when start > 25 then 'backdated' when stop <= 25 then 'claimable' else 'leased' end else 'claimable' end end as claim from e"
+)
+def outbox_claim_states(s, d):
+    lease = lambda c: F.when(F.col("event_id") % 3 != 0, c)
+    start = F.col("event_id") % 50
+    rows = table(s, d, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, "acked").otherwise("pending").alias("status"), lease(start).alias("leased_at"), lease(start + F.col("event_id") % 20).alias("lease_expiry"))
+    return rows.select("event_id", outbox.claim_state(F.lit(25)).alias("claim"))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' as at, case when event_id % 2 = 0 then u end as uuid from (select *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) as u from (select *, md5(event_id::varchar) as h from events))")
+def canonical_times_and_ids(s, d):
+    h = F.md5(F.col("event_id").cast("string").cast("binary"))
+    u = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    # Every other one lacks its last hyphen.
+    u = F.when(F.col("event_id") % 2 == 0, u).otherwise(F.concat(F.substring(u, 1, 23), F.substring(u, 25, 12)))
+    return table(s, d, "events").select("event_id", text.rfc3339(F.col("ts")).alias("at"), text.uuid_canonical(u).alias("uuid"))
+
+
+@query(with_views(" select id, label, md5('{' || '\"id\":\"' || id || '\",' || '\"invalid_at\":' || '\"' || invalid_at::varchar || '\",' || '\"label\":' || label || ',' || '\"space_id\":\"' || space_id || '\"}') as digest from memories where invalid_at is not null union all select id, label, md5('{' || '\"id\":\"' || id || '\",' || '\"label\":' || label || ',' || '\"space_id\":\"' || space_id || '\"}') from memories where invalid_at is null", "memories"))
+def record_codec(s, d):
+    """Records as JSON of sorted keys and back."""
+    names = ["space_id", "id", "label", "invalid_at"]
+    coded = view(s, d, "memories").select(*names).select(text.encoded(names).alias("json"))
+    back = coded.select("json", text.decoded(F.col("json"), "id string, invalid_at date, label int, space_id string").alias("r"))
+    return back.select("r.id", "r.label", F.md5(F.col("json").cast("binary")).alias("digest"))

@@ -471,3 +471,13 @@ def test_judged_cases(spark):
     run = lambda rows: {r.case_id: r.correct for r in evaluate.judged(cases, spark.createDataFrame(rows, "case_id string, allowed boolean, ids array<string>")).collect()}
     assert run([("a", True, ["x", "y", "z"]), ("b", True, ["y"]), ("c", True, None), ("d", False, ["q"])]) == {"a": True, "b": True, "c": True, "d": True, "e": False}
     assert run([("a", True, ["y", "x"]), ("b", True, ["y", "x"]), ("c", True, ["q"]), ("d", True, []), ("e", None, [])]) == dict.fromkeys("abcde", False)
+
+
+def test_values_at_ranks(spark):
+    rows = [("a", v) for v in [5, 1, 1, 9, 7]] + [(None, 3), (None, None), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(5)
+    out = evaluate.at_ranks(df, F.col("g"), "v", {"first": lambda n: F.lit(1), "last": lambda n: n, "third": lambda n: F.lit(3), "none": lambda n: n + 1})
+    assert {r.grp: (r.first, r.last, r.third, r.none) for r in out.collect()} == {"a": (1, 9, 5, None), None: (3, 3, None, None), "b": (None, None, None, None)}
+    assert evaluate.at_ranks(df.where("false"), F.col("g"), "v", {"x": lambda n: n}).count() == 0
+    medians = lambda vs: evaluate.index_percentiles(spark.createDataFrame([(v,) for v in vs], "v long"), "v", [], "m").first().m
+    assert [medians([4]), medians([1, 4]), medians([9, 1, 4]), medians([])] == [4.0, 2.5, 4.0, None]
