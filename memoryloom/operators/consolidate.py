@@ -9,31 +9,53 @@ from pyspark.sql import functions as F
 from memoryloom.functions.text import normalized, statement_parts
 
 
+#: Words of 64 bits in the filter of repeated digests; a table of that many rows at most is broadcast.
+FILTER_WORDS = 1 << 19
+
+
+def _digested(memories: DataFrame, *columns: str) -> DataFrame:
+    """The columns and a digest of the normalized text; never null, so no filter on it makes the text be read and hashed twice."""
+    return memories.select(*columns, F.coalesce(F.sha2(normalized(F.col("text")), 256), F.lit("")).alias("digest"))
+
+
+def _of_repeated(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows whose digest may be in again (d2), before anything of them is exchanged.
+
+    A bit table of the repeated digests, of a fixed size, is joined in memory. It is a filter alone: what it lets
+    through in error goes in the join that follows.
+    """
+    h = lambda c: F.xxhash64(F.col(c))
+    word = lambda c: F.pmod(F.shiftrightunsigned(h(c), 6), F.lit(FILTER_WORDS)).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), h(c).bitwiseAND(F.lit(63)).cast("int"))
+    filled = again.groupBy(word("d2").alias("word")).agg(F.bit_or(bit("d2")).alias("bits"))
+    return rows.join(F.broadcast(filled), word("digest") == F.col("word")).where(F.col("bits").bitwiseAND(bit("digest")) != 0).drop("word", "bits")
+
+
 def duplicate_rows(memories: DataFrame) -> DataFrame:
     """id, normalized and the rank by (valid_from, id) of memories whose normalized text repeats.
 
     Copies are counted by a digest of the text and valid_from with partial sums; the counts of earlier days are the
     base of a rank, so rows are sorted per digest and day only, and a very common text is dealt over its days. Only
-    rows of repeated texts are ranked, and no text is a key.
+    rows of repeated texts, with their texts, are exchanged and ranked, and no text is a key.
     """
-    rows = memories.select("id", "valid_from", normalized(F.col("text")).alias("normalized")).withColumn("digest", F.sha2("normalized", 256))
-    days = rows.groupBy(F.col("digest").alias("d2"), F.col("valid_from").alias("v2")).agg(F.count(F.lit(1)).alias("c"))
+    days = _digested(memories, "valid_from").groupBy(F.col("digest").alias("d2"), F.col("valid_from").alias("v2")).agg(F.count(F.lit(1)).alias("c"))
     same = W.partitionBy("d2")
     days = days.withColumn("n", F.sum("c").over(same)).where("n > 1").withColumn("base", F.sum("c").over(same.orderBy("v2")) - F.col("c"))
+    rows = _of_repeated(_digested(memories, "id", "valid_from", "text"), days)
     known = rows.join(days, (F.col("digest") == F.col("d2")) & F.col("valid_from").eqNullSafe(F.col("v2")))
     within = F.row_number().over(W.partitionBy("digest", "valid_from").orderBy("id"))
-    return known.select("id", "normalized", (F.col("base") + within).alias("rank"))
+    return known.select("id", normalized(F.col("text")).alias("normalized"), (F.col("base") + within).alias("rank"))
 
 
 def duplicate_plan(memories: DataFrame) -> DataFrame:
     """One row per group of equal normalized text: the first member by (valid_from, id), all members in that order, their number.
 
-    The groups are found on the text's digest with partial counts; texts and member lists are gathered for repeated
+    The groups are found on the text's digest with partial counts; texts and member lists are exchanged for repeated
     ones alone.
     """
-    rows = memories.select("id", "valid_from", F.sha2(normalized(F.col("text")), 256).alias("digest"), "text")
-    again = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    members = rows.join(again, "digest", "left_semi")
+    again = _digested(memories).groupBy(F.col("digest").alias("d2")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = _of_repeated(_digested(memories, "id", "valid_from", "text"), again)
+    members = members.join(again.select("d2"), F.col("digest") == F.col("d2"), "left_semi")
     order = F.struct("valid_from", "id")
     return members.groupBy("digest").agg(
         F.min_by("id", order).alias("canonical_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memoryloom.functions.text import ratio_floor
-from memoryloom.sources.scratch import folder
+from memoryloom.sources.scratch import Scratch
 
 
 def case_report(cases: DataFrame, plan_items: DataFrame) -> DataFrame:
@@ -82,30 +82,70 @@ def judged(cases: DataFrame, decisions: DataFrame) -> DataFrame:
     return both.select("case_id", F.coalesce(right, F.lit(False)).alias("correct"))
 
 
+#: Bits that a pass of the selection decides at most, of those in which values differ.
+DIGIT = 16
+
+
 def at_ranks(samples: DataFrame, group: Column, value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """Per group (grp) the values at ranks, from 1, that are functions of the number n of its values; null beyond them.
+    """Per group (grp) the values (longs) at ranks, from 1, that are functions of the number n of its values; null beyond them.
 
-    Values are counted and the counts written in ranges of (group, value); the ranges' sums, a row for each range and
-    group in it, tell the range that holds a rank, and only the values of such ranges are put in order.
+    Radix selection of all groups at once: a histogram of the leading bits tells the bin that holds a rank, the next
+    pass counts the next bits of such bins' values alone, and after the last bits the bin is the value. How many bits
+    there are is asked first (least and greatest value, one row). A pass is one aggregate with partial sums, of at most
+    2^DIGIT rows a task and bin that is asked for; no value is sorted or exchanged, and the histograms of two sets of
+    samples add up to that of their union.
     """
     from pyspark.sql import Window as W
 
-    spark, path = samples.sparkSession, folder(samples.sparkSession, "counts")
-    counts = samples.select(group.alias("grp"), F.col(value).alias("v")).groupBy("grp", "v").agg(F.count("v").alias("c"))
-    kinds = ", ".join(f"{n} {t}" for n, t in counts.dtypes)
-    counts.repartitionByRange("grp", "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
-    counts = spark.read.schema(kinds + ", part int").parquet(path)
-    ranges = counts.groupBy("grp", "part").agg(F.sum("c").alias("n"))
-    upto = W.partitionBy("grp").orderBy("part")
-    ranges = ranges.withColumns({"before": F.sum("n").over(upto) - F.col("n"), "all": F.sum("n").over(W.partitionBy("grp")), "k": F.row_number().over(upto)})
-    wanted = F.array(*[F.struct(F.lit(k).alias("name"), r(F.col("all")).cast("long").alias("rank")) for k, r in ranks.items()])
-    held = F.filter(wanted, lambda w: (w["rank"] > F.col("before")) & (w["rank"] <= F.col("before") + F.col("n")))
-    # A group's first range stays even if it holds no rank, so that every group has a row.
-    held = ranges.withColumn("held", held).where("size(held) > 0 or k = 1").select(F.col("grp").alias("g2"), F.col("part").alias("p2"), "before", "held")
-    some = counts.join(held, F.col("grp").eqNullSafe(F.col("g2")) & (F.col("part") == F.col("p2")))
-    some = some.withColumn("upto", F.col("before") + F.sum("c").over(W.partitionBy("grp", "part").orderBy("v")))
-    here = lambda k: F.exists("held", lambda w: (w["name"] == k) & (w["rank"] <= F.col("upto")) & (w["rank"] > F.col("upto") - F.col("c")))
-    return some.groupBy("grp").agg(*[F.max(F.when(here(k), F.col("v"))).alias(k) for k in ranks])
+    rows = samples.select(group.alias("grp"), F.col(value).cast("long").alias("v"))
+    low, high = rows.agg(F.min("v"), F.max("v")).first()
+    bits = (int(high) - int(low)).bit_length() if low is not None else 0
+    passes = max(1, -(-bits // DIGIT))
+    digit = -(-bits // passes)
+    # Differences that need all 64 bits are told by the signed values themselves, whose shifts keep their order.
+    base = int(low or 0) if bits < 64 else 0
+    here = rows.where("v is not null").select("grp", (F.col("v") - base).alias("v"))
+    upto = lambda k: F.shiftright("v", max(0, bits - digit * (k + 1)))
+    names = F.array(*[F.struct(F.lit(name).alias("name"), r(F.col("n")).cast("long").alias("rank")) for name, r in ranks.items()])
+    every = rows.groupBy("grp").agg(F.count("v").alias("n"))
+    asked = every.select(F.col("grp").alias("g2"), F.explode(names).alias("w")).select("g2", "w.name", "w.rank")
+    holds = F.col("rank").between(F.col("upto") - F.col("c") + 1, F.col("upto"))
+    for k in range(passes):
+        # As many rows as groups times ranks are joined in memory where that is little; else Spark chooses.
+        if not k:
+            counts = here.groupBy("grp", upto(0).alias("bin")).agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(W.partitionBy("grp").orderBy("bin")))
+            held = counts.join(asked, F.col("grp").eqNullSafe(F.col("g2")) & holds)
+        else:
+            some = here.join(asked, F.col("grp").eqNullSafe(F.col("g2")) & (upto(k - 1) == F.col("b2")))
+            counts = some.groupBy("grp", "name", "rank", upto(k).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+            held = counts.withColumn("upto", F.sum("c").over(W.partitionBy("grp", "name", "rank").orderBy("bin"))).where(holds)
+        asked = held.select(F.col("grp").alias("g2"), F.col("bin").alias("b2"), "name", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
+    found = asked.groupBy(F.col("g2").alias("g3")).agg(*[F.max(F.when(F.col("name") == k, F.col("b2") + base)).alias(k) for k in ranks])
+    return every.join(found, F.col("grp").eqNullSafe(F.col("g3")), "left").select("grp", *ranks)
+
+
+def positioned(scratch: Scratch, rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with their position, from 0, in an order that tells all rows apart (repeated rows apart from each other).
+
+    The sorted rows are written with their partition and place in it; partitions are counted, and what comes before a
+    partition is a prefix sum over as many rows as there are partitions. No task sees more than its partition.
+    """
+    from pyspark.sql import Window as W
+
+    placed = rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    placed = scratch.save(placed)
+    parts = placed.groupBy(F.col("_part").alias("_p2")).agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.select("_p2", (F.sum("_n").over(W.orderBy("_p2")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(parts), F.col("_part") == F.col("_p2")).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_before") + F.col("_place")).alias("position"))
+
+
+def zipped(scratch: Scratch, first: DataFrame, first_order: list[str], second: DataFrame, second_order: list[str]) -> DataFrame:
+    """position, and the rows of both (structs a and b) that stand at it in their orders; a row without a partner is an error."""
+    sides = [positioned(scratch, x, *order) for x, order in ((first, first_order), (second, second_order))]
+    rows = [x.select(F.col("position").alias(f"p{k}"), F.struct(*[F.col(f"`{c}`") for c in y.columns]).alias("ab"[k])) for k, (x, y) in enumerate(zip(sides, (first, second)))]
+    both = rows[0].join(rows[1], F.col("p0") == F.col("p1"), "full_outer")
+    apart = F.col("p0").isNull() | F.col("p1").isNull()
+    return both.select(F.when(apart, F.raise_error(F.lit("the lengths differ")).cast("long")).otherwise(F.col("p0")).alias("position"), "a", "b")
 
 
 def index_percentiles(samples: DataFrame, value: str, ps: list[int], middle: str | None = None) -> DataFrame:

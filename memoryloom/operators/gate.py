@@ -35,3 +35,49 @@ def split(memories: DataFrame, instant: Column, ceiling: int, purpose: str | Non
 def may_embed(local: bool) -> Column:
     """Rows that may reach the embedder: all if it is local, else those up to internal."""
     return F.lit(True) if local else F.col("label") <= INTERNAL
+
+
+#: Levels of the time bins: bins of 1, 2, 4 ... days, the last of which holds all days that count.
+LEVELS = 18
+#: Days before the epoch that still count.
+EARLIEST = -(1 << 16)
+
+
+def _day(date: Column) -> Column:
+    """A day as a number from 0 to 2^LEVELS - 1."""
+    return F.greatest(F.lit(0), F.least(F.unix_date(date) - EARLIEST, F.lit((1 << LEVELS) - 1)))
+
+
+def time_bins(start: Column, end: Column) -> Column:
+    """Bins (level, bin) that make up the days from start to the day before end (null: for ever): two a level at most, none overlap."""
+    first, last = _day(start), F.when(end.isNull(), F.lit(1 << LEVELS)).otherwise(_day(end))
+
+    def level(k: Column) -> Column:
+        lo, hi = F.call_function("shiftright", first + F.call_function("shiftleft", F.lit(1), k) - 1, k), F.call_function("shiftright", last, k)
+        piece = lambda here, bin_: F.when((lo < hi) & here, F.struct(k.alias("level"), bin_.alias("bin")))
+        return F.array(piece(lo % 2 == 1, lo), piece(hi % 2 == 1, hi - 1))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), level)), lambda x: x.isNotNull())
+
+
+def for_requests(memories: DataFrame, requests: DataFrame, keys: tuple[str, ...] = ("purpose",), redacted: bool = True) -> DataFrame:
+    """request_id, id and visibility of what each request may know of: split() for a table of requests, in one plan.
+
+    requests: request_id, as_of (a day), ceiling, keys. A record's validity is made up of time bins of doubling width,
+    two a level at most, and a request's day lies in one bin a level, so the inequalities become an equi-join in which
+    each pair meets once and nothing is left to check. Without redacted rows a record's label is expanded to the
+    ceilings that see it, so what a request doesn't see isn't joined. Null ids, days, ceilings or keys meet nothing.
+    """
+    rows = memories.where(~F.col("quarantined") & F.col("valid_from").isNotNull())
+    rows = rows.select("id", "label", *keys, F.explode(time_bins(F.col("valid_from"), F.col("invalid_at"))).alias("b"))
+    asked = requests.where("request_id is not null and ceiling is not null and as_of is not null").withColumn("day", _day(F.col("as_of")))
+    at = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col("day"), k).alias("bin")))
+    asked = asked.select("request_id", F.col("ceiling").cast("int").alias("ceiling"), *[F.col(k).alias(f"asked_{k}") for k in keys], F.explode(at).alias("a"))
+    meets = (F.col("a.level") == F.col("b.level")) & (F.col("a.bin") == F.col("b.bin"))
+    for k in keys:
+        meets = meets & (F.col(k) == F.col(f"asked_{k}"))
+    if not redacted:
+        rows = rows.select("*", F.explode(F.sequence(F.col("label").cast("int"), F.lit(SECRET))).alias("seen_by"))
+        meets = meets & (F.col("seen_by") == F.least(F.col("ceiling"), F.lit(SECRET)))
+    seen = F.when(F.col("label") <= F.col("ceiling"), "visible").otherwise("redacted")
+    return rows.join(asked, meets).select("request_id", "id", seen.alias("visibility"))

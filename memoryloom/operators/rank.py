@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memoryloom.functions.text import tokens
@@ -30,6 +31,15 @@ def lexical(rows: DataFrame, query: str) -> DataFrame:
     return rows.withColumn("overlap", overlap(F.col("text"), query)).where("overlap > 0")
 
 
+def positions(hits: DataFrame, score: str) -> DataFrame:
+    """hits with their position by score, highest first, then id: counts of the scores are the base, so rows are sorted within a score only."""
+    n = hits.groupBy(F.col(score).alias("score2")).agg(F.count(F.lit(1)).alias("n"))
+    base = n.withColumn("base", F.sum("n").over(W.orderBy(F.desc("score2"))) - F.col("n"))  # a row for each score, as many as a query has tokens
+    within = F.row_number().over(W.partitionBy(score).orderBy("id"))
+    found = hits.join(base, F.col(score) == F.col("score2")).withColumn("position", (F.col("base") + within).cast("long"))
+    return found.drop("score2", "n", "base")
+
+
 def postings(rows: DataFrame) -> DataFrame:
     """The inverted index: token, id; to be kept clustered by token."""
     return rows.select(F.explode(tokens(F.col("text"))).alias("token"), "id")

@@ -32,6 +32,35 @@ def state_at(transitions: DataFrame, instant: Column, ties: list[str] = TIES) ->
     return transitions.groupBy("assertion_id").agg(F.coalesce(F.max_by("to_state", seen), F.lit("proposed")).alias("state"))
 
 
+def as_of(facts: DataFrame, probes: DataFrame, key: str, at: str, ties: list[str], ranges: int = 16) -> DataFrame:
+    """Every probe (key, at and any columns) with fact (a struct of the fact's other columns), the last of its key at or before its instant, or null.
+
+    facts: key, at, ties (which decide among facts of one instant) and what they hold. Facts and probes are sorted
+    together per key and range of time, and the last fact is carried forward; ranges are cut at quantiles of the facts'
+    instants, so the rows of a very common key are dealt over that many tasks. What a range starts with is carried over
+    from the ranges before it, of which there is a row for each key and range. An unknown key or instant gives null,
+    repeated probes repeat, and no pairs are made.
+    """
+    bounds = facts.agg(F.percentile_approx(at, [k / ranges for k in range(1, ranges)])).first()[0] or []
+    own = [c for c in facts.columns if c not in (key, at)]
+    fact, probe = F.struct(F.col(at).alias(at), *own), F.struct(*probes.columns)
+    known = facts.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(0).alias("_kind"), fact.alias("fact"))
+    asked = probes.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), probe.alias("_probe"))
+    both = known.unionByName(asked, allowMissingColumns=True)
+    part = F.array_size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("_at"))) if bounds else F.lit(0)
+    both = both.withColumn("_part", F.coalesce(part, F.lit(0)))
+    order = [F.col(f"fact.{c}") for c in ties]
+    within = W.partitionBy("_key", "_part").orderBy("_at", "_kind", *order).rowsBetween(W.unboundedPreceding, 0)
+    rows = both.withColumn("fact", F.when(F.col("_at").isNotNull(), F.last("fact", ignorenulls=True).over(within))).where("_kind = 1")
+    last = F.max_by("fact", F.when((F.col("_kind") == 0) & F.col("_at").isNotNull(), F.struct("_at", *order)))
+    ends = both.groupBy(F.col("_key").alias("_k2"), F.col("_part").alias("_p2")).agg(last.alias("_last"))
+    before = W.partitionBy("_k2").orderBy("_p2").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.last("_last", ignorenulls=True).over(before)).where("_before is not null").drop("_last")
+    found = rows.join(ends, (F.col("_key") == F.col("_k2")) & (F.col("_part") == F.col("_p2")), "left")
+    carried = F.when(F.col("_at").isNotNull(), F.coalesce("fact", "_before"))
+    return found.select("_probe.*", carried.alias("fact"))
+
+
 def current_at(states: DataFrame, validity: DataFrame, key: str, at: Column) -> DataFrame:
     """Keys whose state at the instant is current and whose validity (valid_from, valid_to or null) holds then."""
     holds = (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (at < F.col("valid_to")))

@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memoryloom.functions import digest
@@ -122,3 +125,54 @@ def proposed(memories: DataFrame, engine: Engine, columns: list[str]) -> DataFra
     if plan.columns != columns:
         raise ValueError("the engine's plan has other columns")
     return plan
+
+
+#: Queries of a group, and rows of a tile, that are multiplied at a time.
+QUERIES, TILE = 1024, 1024
+
+
+def top_for(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, id and score: for each query (query_id, embedding) its k rows (id, embedding) of highest positive cosine.
+
+    Rows and queries are packed into tiles, row tiles are dealt over the cells of every group of QUERIES queries, and
+    a cell is one matrix product that leaves k rows a query, so what is exchanged after it is k rows a query and tile
+    at most, cut once more by tasks before they meet. Scores count to nine places, ties go to the smaller id. A null
+    vector takes no part, a missing component is 0, a shorter vector is filled with zeros, and one of length 0 scores 0.
+    """
+    spark = rows.sparkSession
+    n = queries.where("embedding is not null").count()
+    groups, salts = max(1, -(-n // QUERIES)), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, TILE) for b in batches for i in range(0, b.num_rows, TILE)):
+            vectors = b.column(1).to_pylist()
+            m = np.zeros((len(vectors), max(map(len, vectors), default=0)))
+            for i, v in enumerate(vectors):
+                m[i, : len(v)] = [x or 0.0 for x in v]
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+            ids = b.column(0).to_pylist()
+            order = sorted(range(len(ids)), key=ids.__getitem__)
+            yield pa.RecordBatch.from_arrays([pa.array([[ids[i] for i in order]], pa.list_(pa.string())), pa.array([m[order].tobytes()], pa.binary())], ["ids", "m"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, m, asked, q in zip(*(c.to_pylist() for c in b.columns)):
+                m, q = np.frombuffer(m).reshape(len(ids), -1), np.frombuffer(q).reshape(len(asked), -1)
+                width = min(m.shape[1], q.shape[1])
+                s = q[:, :width] @ m[:, :width].T
+                best = np.argsort(-np.rint(s * 1e9), axis=1, kind="stable")[:, :k]
+                s = np.take_along_axis(s, best, 1)
+                at = np.nonzero(s > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([asked[i] for i in at[0]], pa.string()), pa.array([ids[i] for i in best[at]], pa.string()), pa.array(s[at])], ["query_id", "id", "score"])
+
+    tiles = lambda df, key: df.where("embedding is not null").select(F.col(key).cast("string"), F.col("embedding").cast("array<double>")).mapInArrow(pack, "ids array<string>, m binary")
+    # Every cell has some of the row tiles, by a random salt, and all queries of its group.
+    mine = tiles(rows, "id").withColumn("salt", F.floor(F.rand(3) * salts).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = queries.where("embedding is not null").repartition(groups, F.xxhash64("query_id"))
+    asked = tiles(asked, "query_id").withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    asked = asked.select(F.col("group").alias("g2"), F.col("ids").alias("asked"), F.col("m").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s2"))
+    met = mine.join(asked, (F.col("group") == F.col("g2")) & (F.col("salt") == F.col("s2"))).select("ids", "m", "asked", "q")
+    hits = met.mapInArrow(cells, "query_id string, id string, score double")
+    order = W.partitionBy("query_id").orderBy(F.desc(F.rint(F.col("score") * 1e9)), "id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", F.round("score", 9).alias("score"))

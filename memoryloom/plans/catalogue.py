@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memoryloom.functions import digest, text
@@ -148,10 +147,10 @@ def lexical_rank(s, d):
     return rank.lexical(view(s, d, "memories"), LEXICAL).select("id", "overlap")
 
 
-@query(with_views(f", r as (select id, {OVERLAP} as overlap from g where visibility = 'visible')" .replace(", r", SPLIT + ", r", 1) + " select * from r where overlap > 0 order by overlap desc, id limit 20", "memories"))
+@query(with_views(f", r as (select id, {OVERLAP} as overlap from g where visibility = 'visible')" .replace(", r", SPLIT + ", r", 1) + " select id, overlap, row_number() over (order by overlap desc, id) as position from r where overlap > 0", "memories"))
 def lexical_gated_rank(s, d):
-    rows = gated(s, d).where("visibility = 'visible'")
-    return rank.lexical(rows, LEXICAL).select("id", "overlap").orderBy(F.desc("overlap"), "id").limit(20)
+    hits = rank.lexical(gated(s, d).where("visibility = 'visible'"), LEXICAL).select("id", "overlap")
+    return rank.positions(hits, "overlap")
 
 
 @query(with_views(f", r as (select unnest({TOKENS}) as token, id from memories) select id, count(*) as overlap from r where token in ('than', 'the', 'with') group by id", "memories"))
@@ -256,10 +255,10 @@ def planned(s, d):
     return context.greedy(view(s, d, "candidates"), BUDGET)
 
 
-@query(with_views(f" select id, row_number() over ({ORDER}) as position from candidates {ORDER} limit 200", "candidates"))
+@query(with_views(f" select id, pinned, score_bp, row_number() over ({ORDER}) as position from candidates", "candidates"))
 def context_order(s, d):
-    top = view(s, d, "candidates").orderBy(*context.order()).limit(200)
-    return top.select("id", F.row_number().over(W.orderBy(*context.order())).cast("long").alias("position"))
+    rows = view(s, d, "candidates")
+    return rows.select("id", "pinned", "score_bp").join(context.positions(rows), "id")
 
 
 @query(with_views(GREEDY + "select id, score_bp, tokens, pinned from p", "candidates", recursive=True))

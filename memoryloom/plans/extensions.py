@@ -147,6 +147,19 @@ def granted_projection(s, d):
     return out.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "valid_from")
 
 
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+_ZIP_SQL = f"a as (select *, row_number() over (order by {', '.join(_LINE)}) - 1 as position from lineitem), b as (select *, row_number() over (order by l_quantity, {', '.join(_LINE)}) - 1 as position from lineitem)"
+
+
+@query(f"with {_ZIP_SQL} select a.position, a.l_orderkey as first_key, b.l_orderkey as second_key, a.l_quantity = b.l_quantity as equal from a join b on a.position = b.position")
+def positional_zip(s, d):
+    """The lines in two orders, side by side."""
+    rows = table(s, d, "lineitem").select(*_LINE)
+    with scratch.Scratch(s) as tables:
+        both = evaluate.zipped(tables, rows, _LINE, rows, ["l_quantity", *_LINE])
+        return tables.keep(both.select("position", F.col("a.l_orderkey").alias("first_key"), F.col("b.l_orderkey").alias("second_key"), (F.col("a.l_quantity") == F.col("b.l_quantity")).alias("equal")))
+
+
 # Jobs and leases
 
 _ASKED = [
