@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memoryloom.llm.shared import steps
+
 #: Sentences of public licence texts and notices in normal form, by identifier.
 SENTENCES = {
     "mit-notice": "released under the mit license",
@@ -43,6 +49,12 @@ SENTENCES = {
     "cc-by-work": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc-by-sa-work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     "cc-by-nc-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "lgpl3-redistribute": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "cddl-subject": "the contents of this file are subject to the terms of the common development and distribution license the license",
+    "eupl12-notice": "licensed under the eupl version 1 2",
+    "wtfpl-terms": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "artistic2-terms": "you can redistribute it and or modify it under the terms of the artistic license version 2 0",
+    "psf-grant": "this license agreement is between the python software foundation psf and the individual or organization licensee accessing and otherwise using this software python in source or binary form and its associated documentation",
     "cc0-notice": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
 }
 #: What END leaves of genuine texts where it cuts or words a sentence differently, in normal form, and the
@@ -88,7 +100,18 @@ RULES = [
     ("CC-BY-4.0", ["cc-by-notice"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-notice"]),
     ("CC0-1.0", ["cc0-notice"]),
+    ("LGPL-3.0-or-later", ["lgpl3-redistribute"]),
+    ("CDDL-1.0", ["cddl-subject"]),
+    ("EUPL-1.2", ["eupl12-notice"]),
+    ("WTFPL", ["wtfpl-terms"]),
+    ("Artistic-2.0", ["artistic2-terms"]),
+    ("PSF-2.0", ["psf-grant"]),
 ]
+#: Names that count in a line of SPDX-License-Identifier, in which they stand alone or in an expression.
+SPDX = [
+    *dict.fromkeys(name for name, _ in RULES), "Apache-1.1", "BSD-4-Clause", "0BSD", "GPL-1.0-or-later", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only",
+    "AGPL-3.0-only", "MPL-1.1", "EPL-1.0", "CDDL-1.1", "CC-BY-3.0", "CC-BY-SA-3.0", "Artistic-1.0", "OFL-1.1", "MIT-0", "MS-PL", "PostgreSQL", "Python-2.0",
+]
 #: A sentence ends at a line's end, or at a full stop, colon or semicolon before white space.
 END = r"[.!?:;]+[ \t\r]+|\n[ \t\r]*\n|\n"
 #: Words that every sentence above has one of; texts and sentences without them need no further look.
@@ -98,62 +121,88 @@ NOISE = r"[^a-z0-9]+"
 FAR = 5000
 
 
-def normal(sentence: Column) -> Column:
+_ENDS, _HINT, _NOISE = re.compile(END), re.compile(HINT, re.A), re.compile(NOISE)
+_WRAP, _ALNUM = re.compile(r"(?<!\n)\n(?!\n)"), re.compile(r"[A-Za-z0-9]")
+_TAG, _NAME = re.compile(r"SPDX-License-Identifier:[ \t]*([^\n]*)"), re.compile(r"[A-Za-z0-9.+-]+")
+_KNOWN = {v: k for k, v in SENTENCES.items()} | VARIANTS
+#: Older names of the same licences.
+_SPDX = {x.lower(): f"spdx-{x}" for x in SPDX} | {f"{x[:-9].lower()}+": f"spdx-{x}" for x in SPDX if x.endswith("-or-later")} | {x[:-5].lower(): f"spdx-{x}" for x in SPDX if x.endswith("-only")}
+_ORDER = {f"spdx-{x}": i for i, x in enumerate(SPDX)}
+_BY_LENGTH = sorted(enumerate(RULES), key=lambda r: -len(r[1][1]))
+
+
+def normal(sentence: str) -> str:
     """ASCII lower case, every other run one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(sentence), NOISE, " "))
+    return _NOISE.sub(" ", sentence.lower()).strip(" ")
+
 
+def _sentences(text: str) -> Iterator[tuple[int, str]]:
+    """Place of the first letter or digit, and identifier, of the known sentences of one reading."""
+    start = 0
+    for end in (*_ENDS.finditer(text), None):
+        part = text[start : end.start() if end else len(text)]
+        if _HINT.search(part) and (name := _KNOWN.get(normal(part))):
+            yield start + _ALNUM.search(part).start(), name
+        start = end.end() if end else 0
 
-def _licences(marked: Column) -> Column:
-    """Names, in the order of RULES, of the licences in /-joined identifiers; a part ~ stands where two are far apart.
 
-    A rule's match puts its number in place of the identifiers it uses; what stands between stays for other rules.
+def sentences(text: str) -> list[tuple[int, str]]:
+    """Places and identifiers, in order, of the known sentences of both readings and of SPDX names; each once."""
+    if not text or not _HINT.search(text):
+        return []
+    # An SPDX line ends a sentence, wherever it stands.
+    found = {*_sentences(text), *_sentences(_WRAP.sub(" ", _TAG.sub(lambda m: "." * len(m[0]), text)))}
+    for tag in _TAG.finditer(text):
+        found |= {(tag.start(1) + x.start(), name) for x in _NAME.finditer(tag[1]) if (name := _SPDX.get(x[0].lower()))}
+    return sorted(found)
+
+
+def recognised(found: list[tuple[int, str]]) -> list[str]:
+    """Licences, by rule order, that the sentences make.
+
+    Rules of more sentences go first. A rule takes the first of its sentences that is still free, then the first of
+    the next one after it and so on; what stands between is left for other rules. It starts anew where two known
+    sentences lie over FAR apart. An earlier start finds whatever a later one does, so one pass a rule suffices, and
+    only rules all of whose sentences occur are passed.
     """
-    for i, (_, ids) in sorted(enumerate(RULES), key=lambda r: -len(r[1][1])):
-        between = "((?:/[^/~]*)*?)/"
-        to = f"/={i}" + "".join(f"$" + f"{k}/={i}" for k in range(1, len(ids)))
-        marked = F.regexp_replace(marked, "/" + between.join(ids) + "(?=/)", to)
-    names = lambda m: F.array(*[F.when(m.contains(f"/={i}/"), F.lit(name)) for i, (name, _) in enumerate(RULES)])
-    # An array of one binds the replaced text, so that it is made once.
-    found = F.transform(F.array(marked), lambda m: F.filter(names(m), lambda x: x.isNotNull()))[0]
-    return F.array_join(F.array_distinct(found), ",")
+    free: list[str | None] = [name for _, name in found]
+    there, rules = set(free), set()
+    cut = [i > 0 and found[i][0] - found[i - 1][0] > FAR for i in range(len(found))]
+    for number, (_, rule) in _BY_LENGTH:
+        if not there.issuperset(rule):
+            continue
+        taken: list[int] = []
+        for i, name in enumerate(free):
+            if cut[i]:
+                taken = []
+            if name == rule[len(taken)]:
+                taken.append(i)
+                if len(taken) == len(rule):
+                    rules.add(number)
+                    for k in taken:
+                        free[k] = None
+                    taken = []
+    tags = sorted((name for name in there if name in _ORDER), key=_ORDER.get)
+    return list(dict.fromkeys([*(RULES[k][0] for k in sorted(rules)), *(x.removeprefix("spdx-") for x in tags)]))
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, sentence_ids (in order, / before and after each) and licences (names by rule order, comma-joined).
+    """doc_id, sentence_ids (in order, / before and after each) and licences (names by rule order, then by SPDX lines, comma-joined).
 
-    A row map of built-in functions: null or empty texts have none, repeated rows repeat, an empty table gives none and
-    no other column is read. Sentences that wrap over lines are met too: a text is read once by sentences as they stand, and once with single line ends as spaces. What
-    either reading finds counts; a sentence that both find begins at the same letter and counts once.
+    Null or empty texts have none, repeated rows repeat, an empty table gives none and no other column is read. A text
+    is read by sentences as they stand, and once more with single line ends as spaces, since sentences wrap; a
+    sentence that both find begins at the same letter and counts once. Only texts that hold a word of some known
+    sentence leave the JVM. Time and memory grow with a text's length, however many sentences it holds.
     """
-    t = F.coalesce(docs[text].cast("string"), F.lit(""))
-    table = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)], *[F.lit(x) for kv in VARIANTS.items() for x in kv])
-
-    def ids(whole: Column) -> Column:
-        """Sentences found: the place of their first letter or digit, and the identifier."""
-
-        def sized(part: Column, end: Column) -> Column:
-            lead = F.length(part) - F.length(F.regexp_replace(part, "^[^A-Za-z0-9]+", ""))
-            name = F.when(part.rlike(HINT), F.try_element_at(table, normal(part)))
-            return F.struct(lead.alias("lead"), (F.length(part) + F.coalesce(F.length(end), F.lit(0))).alias("size"), name.alias("id"))
-
-        def step(acc: Column, x: Column) -> Column:
-            row = F.struct((acc["at"] + x["lead"]).alias("at"), x["id"].alias("id"))
-            return F.struct((acc["at"] + x["size"]).alias("at"), F.when(x["id"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(row))).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at: int, id: string>>").alias("out"))
-        parts = F.zip_with(F.split(whole, END), F.regexp_extract_all(whole, F.lit(END), F.lit(0)), sized)
-        return F.aggregate(parts, zero, step, lambda acc: acc["out"])
-
-    wrapped = F.regexp_replace(F.col("t"), r"(?<!\n)\n(?!\n)", " ")
-    both = F.array_sort(F.array_distinct(F.concat(ids(F.col("t")), ids(wrapped))))
-    places = F.when(F.col("t").rlike(HINT), both).otherwise(F.array().cast("array<struct<at: int, id: string>>"))
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), t.alias("t")).select("doc_id", places.alias("p"))
-    shown = F.concat(F.lit("/"), F.array_join(F.transform("p", lambda x: x["id"]), "/"), F.lit("/"))
-    far = lambda x, i: (i > 0) & (x["at"] - F.get(F.col("p"), i - 1)["at"] > FAR)
-    marked = F.array_join(F.transform("p", lambda x, i: F.when(far(x, i), F.concat(F.lit("~/"), x["id"])).otherwise(x["id"])), "/")
-    some = F.size("p") > 0
-    names = F.when(some, _licences(F.concat(F.lit("/"), marked, F.lit("/")))).otherwise("")
-    return rows.select("doc_id", F.when(some, shown).otherwise("").alias("sentence_ids"), names.alias("licences"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in steps(batches):
+            found = [sentences(t) for t in texts]
+            ids = ["/" + "".join(f"{name}/" for _, name in x) if x else "" for x in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.string()), pa.array([",".join(recognised(x)) for x in found], pa.string())], ["doc_id", "sentence_ids", "licences"])
+
+    t = docs[text].cast("string")
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.when(t.rlike(HINT), t).alias("text")).mapInArrow(run, "doc_id long, sentence_ids string, licences string")
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
