@@ -145,15 +145,26 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fits on at most rows labelled documents of at most FIT_CHARS characters that are not held out."""
-    marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    """Fits on at most rows labelled texts of 1 to FIT_CHARS characters that are not held out.
+
+    Every text counts once, however many rows or documents hold it: its label is that of its least doc_id (the least
+    label, if that has several), and a doc_id with several texts has several examples. Texts are told apart by a hash of 64 bits;
+    those of the least (hash of doc_id, doc_id, hash of text) make the sample, so it doesn't depend on the order of
+    rows. Rows without an id have no label. Rows and characters that reach the driver are bounded by the parameters.
+    """
+    marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     some = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    ids = some.where(~held_out("doc_id") & (F.length("text") <= FIT_CHARS)).select("doc_id").join(marks, "doc_id")
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    want = {r.doc_id: int(r.quality) for r in ids}
-    texts = {r.doc_id: r.text for r in some.where(F.col("doc_id").isin(list(want))).collect() if r.text and len(r.text) <= FIT_CHARS} if want else {}
-    order = sorted(texts)
-    return fit([texts[i] for i in order], [want[i] for i in order])
+    some = some.where(~held_out("doc_id") & F.length("text").between(1, FIT_CHARS)).withColumn("h", F.xxhash64("text"))
+    once = some.select("doc_id", "h").join(marks, "doc_id").groupBy("h").agg(F.min(F.struct("doc_id", "quality")).alias("x"))
+    picked = once.select("h", "x.*").orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(rows).collect()
+    if not picked:
+        return fit([], [])
+    want = docs.sparkSession.createDataFrame([(r.h, r.doc_id) for r in picked], "h long, doc_id long")
+    # The sample's rows, as many as the parameter says, are broadcast; copies of a row are one again before they are collected.
+    texts = some.join(F.broadcast(want), ["h", "doc_id"]).groupBy("h").agg(F.min("text").alias("text")).limit(rows)
+    found = {r.h: r.text for r in texts.collect()}
+    order = sorted(picked, key=lambda r: (r.doc_id, r.h))
+    return fit([found[r.h] for r in order], [r.quality for r in order])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
