@@ -53,11 +53,12 @@ class Scratch:
     def save(self, df: DataFrame, *drop: DataFrame | None, small: bool = False) -> DataFrame:
         """df written and reread; the tables in drop, which only df needed, are deleted.
 
-        small: the rows are a small share of the input, so an eighth of the shuffle partitions, 8 at least, write files.
+        small: the rows are a small share of the input, so they are dealt to an eighth of the shuffle partitions, 8 at
+        least, which write files. Only the rows are dealt; what makes them runs in as many tasks as before.
         """
         path = f"{self.folder}/{uuid.uuid4().hex}"
         if small:
-            df = df.coalesce(max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+            df = df.repartition(max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path

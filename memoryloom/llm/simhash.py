@@ -117,7 +117,7 @@ def jaccard_links(scratch: Scratch, docs: DataFrame, found: DataFrame, shingle:
     """
     sets = lambda texts: [np.unique(shingle_hashes(t.encode().lower().split(), shingle)).view(np.int64) for t in texts]
     texts = docs.select(docs["text"].cast("string").alias("line")).where("line is not null")
-    links = similar_links(scratch, texts, found, least, lambda: sets, BLOCK)
+    links = similar_links(scratch, texts, found, least, lambda: sets, BLOCK, sets)
     of = found.select("line_id", "fp").distinct()
     both = links.join(of.toDF("a2", "fa"), F.col("a") == F.col("a2")).join(of.toDF("b2", "fb"), F.col("b") == F.col("b2"))
     return both.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).where("a <> b").distinct()
