@@ -41,17 +41,20 @@ def as_of(facts: DataFrame, probes: DataFrame, key: str, at: str, ties: list[str
     from the ranges before it, of which there is a row for each key and range. An unknown key or instant gives null,
     repeated probes repeat, and no pairs are made.
     """
-    bounds = facts.agg(F.percentile_approx(at, [k / ranges for k in range(1, ranges)])).first()[0] or []
+    bounds = facts.agg(F.percentile_approx(at, [k / ranges for k in range(1, max(ranges, 2))])).first()[0] or []
     own = [c for c in facts.columns if c not in (key, at)]
-    fact, probe = F.struct(F.col(at).alias(at), *own), F.struct(*probes.columns)
+    fact, probe = F.struct(at, *own), F.struct(*probes.columns)
+    if not bounds:  # no fact has an instant
+        return probes.select("*", F.lit(None).cast(facts.select(fact.alias("fact")).schema["fact"].dataType).alias("fact"))
     known = facts.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(0).alias("_kind"), fact.alias("fact"))
     asked = probes.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), probe.alias("_probe"))
     both = known.unionByName(asked, allowMissingColumns=True)
-    part = F.array_size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("_at"))) if bounds else F.lit(0)
+    part = sum(((F.lit(b) < F.col("_at")).cast("int") for b in bounds), F.lit(0))
     both = both.withColumn("_part", F.coalesce(part, F.lit(0)))
     order = [F.col(f"fact.{c}") for c in ties]
-    within = W.partitionBy("_key", "_part").orderBy("_at", "_kind", *order).rowsBetween(W.unboundedPreceding, 0)
-    rows = both.withColumn("fact", F.when(F.col("_at").isNotNull(), F.last("fact", ignorenulls=True).over(within))).where("_kind = 1")
+    # Facts without an instant come last, where only probes without one, which have none, could see them.
+    within = W.partitionBy("_key", "_part").orderBy(F.asc_nulls_last("_at"), "_kind", *order).rowsBetween(W.unboundedPreceding, 0)
+    rows = both.withColumn("fact", F.when(F.col("_at").isNotNull() & F.col("_key").isNotNull(), F.last("fact", ignorenulls=True).over(within))).where("_kind = 1")
     last = F.max_by("fact", F.when((F.col("_kind") == 0) & F.col("_at").isNotNull(), F.struct("_at", *order)))
     ends = both.groupBy(F.col("_key").alias("_k2"), F.col("_part").alias("_p2")).agg(last.alias("_last"))
     before = W.partitionBy("_k2").orderBy("_p2").rowsBetween(W.unboundedPreceding, -1)

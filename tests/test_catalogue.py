@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from memoryloom.plans import catalogue, extensions, governance, requests  # noqa: F401
+from memoryloom.plans import catalogue, extensions, governance, requests, streams  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
