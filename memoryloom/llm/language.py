@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,18 @@ from memoryloom.llm.shared import held_out, steps
 
 #: The fit's sample: documents a language at most, least hashes first; the characters of each; and of all, which are whole documents.
 FIT_ROWS, FIT_DOC_CHARS, FIT_CHARS = 60, 20_000, 40_000
-#: Characters that a language tells apart: its own commonest in the sample. It doesn't know the others, which end a phrase.
+#: Characters, commonest first, whose transitions stand in a table; those of the others of a language are searched for.
 ALPHABET = 96
 #: Whole texts are parsed in segments of so many characters, each from the start of a phrase.
 SEGMENT = 1000
 
 
-def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
-    """Transitions [state, code] of the automaton of all substrings without code 0; state 0 is the start, and 0 also means none."""
+def suffix_automaton(codes: list[int], alphabet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The automaton of all substrings without code 0; state 0 is the start, and 0 also means none.
+
+    Transitions [state, code] of codes under alphabet, and those of the others as sorted keys (state << 32 | code) with
+    the states that they lead to.
+    """
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
 
@@ -59,11 +64,21 @@ def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
             q = nxt[p][c]
             link[cur] = q if length[p] + 1 == length[q] else split(p, c)
         last = cur
-    table = np.zeros((len(nxt), alphabet), np.int32)
+    table, rare = np.zeros((len(nxt), alphabet), np.int32), []
     for s, row in enumerate(nxt):
         for c, t in row.items():
-            table[s, c] = t
-    return table
+            if c < alphabet:
+                table[s, c] = t
+            else:
+                rare.append((s << 32 | c, t))
+    rare.sort()
+    return table, np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int64)
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(x).isalpha() for x in range(0x110000)), bool, 0x110000)
 
 
 @dataclass
@@ -71,12 +86,29 @@ class Model:
     languages: list[str]
     codes: list[np.ndarray]
     tables: list[np.ndarray]
+    rare: list[tuple[np.ndarray, np.ndarray]]
+
+    def _moved(self, j: int, state: np.ndarray | None, code: np.ndarray) -> np.ndarray:
+        """Where codes lead to from states (none: the start) in the automaton of language j."""
+        table, (keys, to) = self.tables[j], self.rare[j]
+        if not len(keys):
+            return table.ravel()[code if state is None else state * table.shape[1] + code]
+        code = code.astype(np.int64)
+        state = np.zeros(len(code), np.int64) if state is None else state
+        width = table.shape[1]
+        out = table.ravel()[state * width + np.where(code < width, code, 0)].astype(np.int64)
+        far = np.flatnonzero(code >= width)
+        if len(far):
+            key = state[far] << 32 | code[far]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            out[far] = np.where(keys[at] == key, to[at], 0)
+        return out
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases [text, language]: each phrase is the longest match from where the last one ended.
 
         All segments of all texts advance together, a character a step; a lane whose automaton has no transition
-        starts a phrase at that character.
+        starts a phrase at that character. A letter that the language doesn't know is a phrase of its own.
         """
         lowered = [t.lower() for t in texts]
         size = np.fromiter(map(len, lowered), np.int64, len(texts))
@@ -92,20 +124,22 @@ class Model:
         start, length, text = start[order], length[order], text[order]
         live = np.searchsorted(-length, -np.arange(SEGMENT), "left")
         counts = np.zeros((len(start), len(self.tables)), np.int32)
-        width = [t.shape[1] for t in self.tables]
-        flat = [t.ravel() for t in self.tables]
-        state = [np.zeros(len(start), np.int64) for _ in flat]
+        state = [np.zeros(len(start), np.int64) for _ in self.tables]
         for step in range(int(length.max()) if len(length) else 0):
             n = live[step]
             at = start[:n] + step
-            for j, (table, s) in enumerate(zip(flat, state)):
+            for j, s in enumerate(state):
                 c = codes[j][at]
-                to = table[s[:n] * width[j] + c]
+                to = self._moved(j, s[:n], c)
                 miss = to == 0
                 counts[:n, j] += miss
-                s[:n] = np.where(miss, table[c], to)
-        out = np.zeros((len(texts), len(flat)), np.int64)
+                s[:n] = np.where(miss, self._moved(j, None, c), to)
+        out = np.zeros((len(texts), len(self.tables)), np.int64)
         np.add.at(out, text, counts)
+        ends, letter = np.cumsum(size), _letters()[points]
+        for j, c in enumerate(codes):
+            new = np.flatnonzero(letter & (c == 0))
+            out[:, j] += np.bincount(np.searchsorted(ends, new, "right"), minlength=len(texts))
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -123,40 +157,43 @@ class Model:
 
 
 def fit(samples: dict[str, list[str]]) -> Model:
-    """An automaton of each language's texts, over its own ALPHABET."""
-    languages, codes, tables = sorted(samples), [], []
+    """An automaton of each language's texts, over all of their letters and the space; other characters end a phrase in every language alike."""
+    languages, codes, tables, rare = sorted(samples), [], [], []
     for x in languages:
         joined = "\n".join(samples[x]).lower()
-        common = [c for c, _ in sorted(Counter(joined).items(), key=lambda p: (-p[1], p[0]))[: ALPHABET - 1]]
-        known = np.zeros(max(map(ord, common), default=0) + 2, np.uint8)
+        common = [c for c, _ in sorted(Counter(joined).items(), key=lambda p: (-p[1], p[0])) if c.isalpha() or c == " "]
+        known = np.zeros(max(map(ord, common), default=0) + 2, np.uint8 if len(common) < 255 else np.int32)
         for i, c in enumerate(common, 1):
             known[ord(c)] = i
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         codes.append(known)
-        tables.append(suffix_automaton(known[np.minimum(points, len(known) - 1)].tolist(), len(common) + 1))
-    return Model(languages, codes, tables)
+        table, *others = suffix_automaton(known[np.minimum(points, len(known) - 1)].tolist(), min(ALPHABET, len(common) + 1))
+        tables.append(table)
+        rare.append(tuple(others))
+    return Model(languages, codes, tables, rare)
 
 
 def fit_sample(docs: DataFrame) -> Model:
-    """Fits on at most FIT_ROWS documents a language, of texts up to FIT_DOC_CHARS characters, none held out.
+    """Fits on at most FIT_ROWS texts a language, of up to FIT_DOC_CHARS characters, none held out.
 
-    Languages are counted with partial sums, one row each, as many as the model has automata. Rows whose hash lies
-    under what leaves a few times FIT_ROWS a language are then ranked, and the texts of the first, whole, make up
-    to FIT_CHARS characters. A table without such rows gives a model without languages.
+    A text counts once a language, however many rows hold it (told by a hash of 64 bits), whether they have an id or
+    not. Distinct texts are estimated by sketches, one row a language, as many as the model has automata; those whose
+    hash lies under what leaves a few times FIT_ROWS of them are ranked by it, and the first, whole, make up to
+    FIT_CHARS characters. So neither repeats nor the order of rows change the sample, and what reaches the driver is
+    bounded by the parameters. A table without such rows gives a model without languages.
     """
     some = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
-    ok = some.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.length("text").between(1, FIT_DOC_CHARS))
-    least = F.xxhash64("doc_id") / F.lit(2.0**63)
-    counts = {r.lang: r.n for r in ok.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ok = some.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.length("text").between(1, FIT_DOC_CHARS)).withColumn("h", F.xxhash64("text"))
+    counts = {r.lang: r.n for r in ok.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
         return fit({})
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, (4.0 * FIT_ROWS + 40) / n)])
-    few = ok.select("doc_id", "lang", least.alias("h")).where((F.col("h") + 1) / 2 <= share[F.col("lang")])
-    few = few.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= FIT_ROWS).select("doc_id", "lang", "k").collect()
-    place = {(r.lang, r.doc_id): r.k for r in few}
-    found = ok.where(F.col("doc_id").eqNullSafe(F.lit(None).cast("long")) | F.col("doc_id").isin([r.doc_id for r in few if r.doc_id is not None])).select("doc_id", "lang", "text").collect() if few else []
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, (4.0 * FIT_ROWS + 40) / max(n, 1))])
+    few = ok.select("lang", "h").where((F.col("h") / F.lit(2.0**63) + 1) / 2 <= share[F.col("lang")]).distinct()
+    few = few.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= FIT_ROWS).collect()
+    want = docs.sparkSession.createDataFrame([(r.lang, r.h, r.k) for r in few], "lang string, h long, k int")
+    texts = ok.select("lang", "h", "text").join(F.broadcast(want), ["lang", "h"]).groupBy("lang", "h", "k").agg(F.min("text").alias("text")).limit(max(1, len(few)))
     samples: dict[str, list[str]] = {}
-    for r in sorted((r for r in found if (r.lang, r.doc_id) in place), key=lambda r: (r.lang, place[r.lang, r.doc_id], r.text)):
+    for r in sorted(texts.collect(), key=lambda r: (r.lang, r.k)):
         if sum(map(len, samples.setdefault(r.lang, []))) + len(r.text) <= FIT_CHARS:
             samples[r.lang].append(r.text)
     return fit(samples)

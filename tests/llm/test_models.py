@@ -156,7 +156,11 @@ def test_quality_and_language_on_held_out_rows(spark):
 
 def test_suffix_automaton_knows_all_substrings():
     codes = [1, 2, 1, 1, 3, 2, 1]
-    table = language.suffix_automaton(codes, 4)
+    table, keys, _ = language.suffix_automaton(codes, 4)
+    assert not len(keys)
+    dense, keys, to = language.suffix_automaton(codes, 2)  # transitions of codes 2 and 3 are searched for
+    full = dict(zip(keys.tolist(), to.tolist()))
+    assert all(table[s, c] == (dense[s, c] if c < 2 else full.get(s << 32 | c, 0)) for s in range(len(table)) for c in range(4))
     for a in range(1, 4):
         for b in range(1, 4):
             for c in range(1, 4):
@@ -203,7 +207,42 @@ def test_repeated_lines_keep_the_first(spark):
     long = "a line that is long enough to take part in the comparison of all lines"
     docs = spark.createDataFrame([(5, f"{long}\nOf.", 1), (2, f"own words stand here and nobody else has them in this table\n{long}!", 1), (9, "Of.", 1), (7, long, 1)], "doc_id long, text string, other int")
     out = {r.doc_id: r.text for r in lines.without_repeated_lines(spark, docs).collect()}
-    assert out == {2: f"own words stand here and nobody else has them in this table\n{long}!", 9: "Of."}
+    assert out == {2: f"own words stand here and nobody else has them in this table\n{long}!"}
+    short = spark.createDataFrame([(1, "a few words that stand alone here\nOf.\n \n{\nof."), (2, "other words that nobody else has\nOf.\n \n\n{\n}")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in lines.without_repeated_lines(spark, short).collect()}
+    # Equal short lines are one, blank ones separate paragraphs and stay.
+    assert out == {1: "a few words that stand alone here\nOf.\n \n{\nof.", 2: "other words that nobody else has\n \n\n}"}
+
+
+def test_lines_of_templates_meet_by_rare_shingles(spark):
+    """Lines of one template share bins without being similar; those that are similar among them are still found."""
+    r = random.Random(8)
+    pool = [f"entry {k} of the list with its own words {r.randrange(10**6)}" for k in range(700)]
+    pool += [f"{r.randrange(10**9)} zzz yyy {r.randrange(10**9)} request answered by the usual server" for k in range(500)]
+    pool += [x[:-1] + "!" for x in pool[::40]]
+    sets = lines.Shingler().sets(pool)
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(both := set(sets[i].tolist()) & set(sets[j].tolist())) >= 4 * (len(sets[i]) + len(sets[j]) - len(both))}
+
+    def classes(pairs):
+        parent = list(range(len(pool)))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(x) for x in range(len(pool))]
+
+    assert classes(lines.linked(sets)) == classes(want)
+    assert lines._rare_pairs(sets, [np.unique(np.concatenate(sets), return_inverse=True)[1][a:b] for a, b in zip(np.cumsum([0, *map(len, sets[:-1])]), np.cumsum(list(map(len, sets))))], np.bincount(np.unique(np.concatenate(sets), return_inverse=True)[1]), np.arange(len(sets)), 0.8) is not None
+    scratch = Scratch(spark)
+    rows = spark.createDataFrame([(x,) for x in pool], "line string").withColumn("line_id", F.xxhash64("line"))
+    met = rows.select(F.lit(1).cast("long").alias("key"), "line_id")
+    links = lines._links(scratch, rows.select("line"), met, 0.8, lambda: lines.Shingler().sets, 64)
+    ids = {x.line_id: k for k, x in enumerate(rows.collect())}
+    assert classes((ids[x.a], ids[x.b]) for x in links.collect()) == classes(want)
 
 
 def test_secret_parts_need_each_other(spark):
@@ -382,7 +421,30 @@ def test_licences_of_genuine_headers(spark):
     assert _licensed(spark, texts) == want
     assert _licensed(spark, [" ".join(t.split()) for t in texts]) == want
     lesser = GPL.replace("GNU General", "GNU Lesser General")
-    assert _licensed(spark, [lesser])[0][1] == ""
+    assert _licensed(spark, [lesser])[0][1] == "LGPL-3.0-or-later"
+    older = lesser.replace("either version 3", "either version 2")
+    assert _licensed(spark, [older])[0][1] == ""
+
+
+def test_licences_of_spdx_lines(spark):
+    texts = ["// SPDX-License-Identifier: MIT\nint main();", "# SPDX-License-Identifier: (Apache-2.0 OR GPL-2.0+) AND Nobody-1.0\n" + MIT, "SPDX-License-Identifier: gpl-3.0", "SPDX-License-Identifier:", "the MIT of SPDX"]
+    want = [("/spdx-MIT/", "MIT"), ("/spdx-Apache-2.0/spdx-GPL-2.0-or-later/mit-grant/mit-condition/as-is/", "MIT,Apache-2.0,GPL-2.0-or-later"), ("/spdx-GPL-3.0-only/", "GPL-3.0-only"), ("", ""), ("", "")]
+    assert _licensed(spark, texts) == want
+
+
+def test_licences_of_very_long_texts(spark):
+    """40,000 sentences between two of one licence, and a text of one endless sentence: time in proportion."""
+    import time
+
+    grant, condition = MIT.split("\n\n")[:2]
+    one = "Licensed under CC BY 4.0.\n"
+    near = grant + "\n\n" + one * 40_000 + condition
+    far = grant + "\n\n" + one * 100 + "licence " * 1000 + "\n\n" + condition
+    began = time.time()
+    got = _licensed(spark, [near, far, "licence " * 400_000])
+    assert time.time() - began < 20
+    assert [x[1] for x in got] == ["MIT,CC-BY-4.0", "CC-BY-4.0", ""]
+    assert got[0][0].count("/") == 40_003
 
 
 def test_licences_of_both_readings(spark):
@@ -594,11 +656,53 @@ def test_language_parse_is_longest_match():
                     k += 1
                 # A character that the language doesn't know ends the phrase before it and belongs to it.
                 n, i = n + 1, i + k + (i + k < len(lowered) and lowered[i + k] == "\0")
+            n += sum(c == "\0" and x.isalpha() for c, x in zip(lowered, t.lower()))
             got = int(model.phrases([t])[0][j])
             # The lockstep counts a phrase where one ends, so the last open one is not counted.
             assert got in (n, n - 1)
 
 
+def test_languages_of_thousands_of_characters():
+    """Languages that share their commonest characters and differ in thousands of rarer ones."""
+    r = random.Random(9)
+    shared = [chr(0x4E00 + k) for k in range(150)]
+    own = {"aa": [chr(0x5000 + k) for k in range(3000)], "bb": [chr(0x6000 + k) for k in range(3000)]}
+    text = lambda lang, n: "".join(r.choice(shared) if r.random() < 0.6 else r.choice(own[lang][:1500]) for _ in range(n))
+    model = language.fit({x: [text(x, 8000) for _ in range(4)] for x in own})
+    texts = [(x, text(x, 300)) for x in own for _ in range(40)]
+    got, _ = model.predict([t for _, t in texts])
+    assert sum(a == b for a, (b, _) in zip(got, texts)) >= 79
+
+
+def test_fits_count_every_text_once(spark, monkeypatch):
+    """Repeats, rows without an id and ids of several texts: neither the sample nor what reaches the driver follows them."""
+    monkeypatch.setattr(language, "FIT_ROWS", 20)
+    sent = []
+    fitted = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda texts, labels, seed=7: sent.append((texts, labels)) or fitted(texts, labels, seed))
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"text of its own number {i} with {'good' if i % 2 else 'bad'} words", "en" if i % 3 else "fr") for i in free]
+    again = [(free[3], rows[3][1], "en")] * 3000 + [(None, "a text without an id", "en")] * 2000 + [(None, f"one more without {k}", "de") for k in range(30)]
+    other = [(free[4], "another text of the same id", "en")]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(rows + again + other, schema).repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in free] + [(free[5], 0), (free[6], None), (None, 1)], "doc_id long, quality int")
+    quality.fit_sample(docs, labels, 50)
+    quality.fit_sample(docs.repartition(3), labels, 50)
+    texts, marks = sent[0]
+    assert sent[0] == sent[1] and len(texts) == len(set(texts)) == 50
+    assert all(("good" in t) == bool(m) or t == other[0][1] for t, m in zip(texts, marks))
+    quality.fit_sample(docs, labels)
+    assert sorted(sent[2][0]) == sorted({t for _, t, _ in rows + other} - {None})
+    kept = []
+    whole = language.fit
+    monkeypatch.setattr(language, "fit", lambda samples: kept.append(samples) or whole(samples))
+    language.fit_sample(docs)
+    language.fit_sample(docs.repartition(2))
+    assert kept[0] == kept[1] and set(kept[0]) == {"de", "en", "fr"}
+    assert all(len(x) == len(set(x)) == 20 for x in kept[0].values())
+
+
 def test_quality_scores_are_pooled_layers():
     r = random.Random(4)
     texts = [" ".join(r.choices(["good", "fine", "words", "here"] if i % 2 else ["&&#", "x", "1234", "zz"], k=40)) for i in range(200)]
@@ -715,6 +819,9 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "EPL-2.0": """This program and the accompanying materials are made
 available under the terms of the Eclipse Public License 2.0
 which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "CDDL-1.0": "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\").",
+    "EUPL-1.2": "Licensed under the EUPL, Version 1.2.",
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Zlib": """This software is provided 'as-is', without any express or implied
 warranty. In no event will the authors be held liable for any damages
