@@ -50,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
-    for _, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), docs)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over documents. Tables of the stages are deleted, after a failure too; that of the result stays until its folder is cleared."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with Scratch(spark) as scratch:
+        for _, stage in STAGES[:-1]:
+            docs = scratch.save(stage(spark, docs, sf_dir), docs)
+        return scratch.keep(STAGES[-1][1](spark, docs, sf_dir), small=False)
