@@ -136,14 +136,21 @@ def first_uses(requests: DataFrame, keys: list[str], ttl_ms: int) -> DataFrame:
     return requests.groupBy(*keys).transformWithStateInPandas(FirstUse(ttl_ms), requests.schema, "Append", "ProcessingTime")
 
 
-def run(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Takes in all that there is of a stream, into Parquet files; the state store is RocksDB for this run."""
-    key, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set(key, ROCKS)
+def run(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str, timers: bool = True) -> None:
+    """Takes in all that there is of a stream, into Parquet files; the state store is RocksDB for this run.
+
+    timers: batches without data follow, in which event-time timers fire. State in processing time asks for ever more
+    of them, so a run to the end of its data has to do without.
+    """
+    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": str(timers).lower()}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def replayed(spark: SparkSession, rows: DataFrame, flow: Callable[[DataFrame], DataFrame], late: str = "1 hour", files: int = 1) -> DataFrame:

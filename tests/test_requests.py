@@ -187,6 +187,6 @@ def test_first_uses_pass_once(spark, tmp_path):
     rows = [(k % 7, f"x{k}") for k in range(60)]
     spark.createDataFrame(rows, "key long, value string").repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key long, value string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    processors.run(spark, processors.first_uses(stream, ["key"], 3_600_000), str(tmp_path / "out"), str(tmp_path / "check"))
+    processors.run(spark, processors.first_uses(stream, ["key"], 3_600_000), str(tmp_path / "out"), str(tmp_path / "check"), timers=False)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(x.key for x in got) == list(range(7))
