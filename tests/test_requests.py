@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from memoryloom.operators import consolidate, evaluate, gate, graph, rank, temporal, vectors
+from memoryloom.operators import consolidate, evaluate, gate, graph, merkle, rank, temporal, vectors
 from memoryloom.sources.scratch import Scratch
 from memoryloom.streaming import processors
 
@@ -121,6 +121,25 @@ def test_radix_selection_finds_every_rank(spark, values):
     assert got == {"g": want(sorted(values)), "h": want(sorted(values[:2])), None: (7, 7, 7, None), "empty": (None,) * 4}
 
 
+def test_merkle_trees_tell_what_changed(spark):
+    rows = {f"id{k}": f"d{k}" for k in range(600)}
+    new = {**rows, "id7": "other", "more": "x"}
+    del new["id300"]
+    df = lambda x: spark.createDataFrame([*x.items(), (None, "no id")], "id string, digest string")
+    with Scratch(spark) as scratch:
+        old, now = merkle.tree(scratch, df(rows), 2), merkle.tree(scratch, df(new), 2)
+        leaves = merkle.different_leaves(scratch, old, now, 2)
+        assert 1 <= leaves.count() <= 3
+        got = sorted(map(tuple, merkle.different_rows(scratch, df(rows), df(new), 2).collect()))
+        assert got == [("id300", "d300", None), ("id7", "d7", "other"), ("more", None, "x")]
+        changed = spark.createDataFrame([("id7",), ("id300",), ("more",)], "id string")
+        grown = merkle.updated(scratch, old, df(new), changed, 2)
+        assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, now.collect()))
+        assert now.where("depth = 0").first().n == 600
+        assert merkle.different_leaves(scratch, old, old, 2).count() == 0 and merkle.tree(scratch, df({}), 1).count() == 0
+    assert [merkle.depth_for(n) for n in (0, 256, 257, 4096, 4097)] == [0, 0, 1, 1, 2]
+
+
 def test_positions_of_hits(spark):
     rows = [(f"id{k:02}", k * 7 % 4) for k in range(30)]
     got = {x.id: x.position for x in rank.positions(spark.createDataFrame(rows, "id string, overlap int"), "overlap").collect()}
