@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -127,52 +128,72 @@ def proposed(memories: DataFrame, engine: Engine, columns: list[str]) -> DataFra
     return plan
 
 
-#: Queries of a group, and rows of a tile, that are multiplied at a time.
-QUERIES, TILE = 1024, 1024
+#: Queries, and rows, that are multiplied at a time; a cell has so many blocks of either at most.
+QUERIES, TILE, BLOCKS = 1024, 1024, 8
+#: Scores count in these parts; places of rows stay below SPAN, so a score and a place are one exact double.
+PARTS, SPAN = 1e9, 1 << 22
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors as rows; missing components are 0, shorter vectors are filled with zeros, and zeros stay zeros."""
+    lists = vectors.combine_chunks()
+    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    m = np.zeros((len(n), n.max(initial=0)))
+    m[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = pc.fill_null(lists.flatten().cast(pa.float64()), 0.0).to_numpy()
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _best(q: np.ndarray, m: np.ndarray, k: int) -> np.ndarray:
+    """Of each query the k highest of rounded score * SPAN - place, in descending order, 0 where there are no more; only positive scores count."""
+    best, start, step = np.zeros((len(q), k)), 0, max(1, TILE // 8)
+    while start < len(m):
+        s = q @ m[start : start + step].T
+        # An equal score at a later place doesn't count, so the next higher one is asked for.
+        i, j = np.nonzero(s > (np.ceil(best[:, -1:] / SPAN) + 0.4) / PARTS)
+        found = np.concatenate([best.ravel(), np.rint(s[i, j] * PARTS) * SPAN - (start + j)])
+        i = np.concatenate([np.repeat(np.arange(len(q)), k), i])
+        order = np.lexsort((-found, i))
+        i, found = i[order], found[order]
+        best = found[np.arange(len(i)) - np.searchsorted(i, i) < k].reshape(-1, k)
+        start, step = start + step, TILE
+    return best
 
 
 def top_for(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """query_id, rank, id and score: for each query (query_id, embedding) its k rows (id, embedding) of highest positive cosine.
 
-    Rows and queries are packed into tiles, row tiles are dealt over the cells of every group of QUERIES queries, and
-    a cell is one matrix product that leaves k rows a query, so what is exchanged after it is k rows a query and tile
-    at most, cut once more by tasks before they meet. Scores count to nine places, ties go to the smaller id. A null
-    vector takes no part, a missing component is 0, a shorter vector is filled with zeros, and one of length 0 scores 0.
+    Queries and rows are dealt by hashes over a grid of cells, rows over its columns and queries over its lines; a row goes to
+    each line and a query to each column, by a shuffle, never by a broadcast. A cell holds BLOCKS blocks of either or about
+    so, multiplies them a block at a time and leaves k rows a query, cut once more by tasks before they meet. Scores
+    count to nine places, ties go to the smaller id. A null vector takes no part, a missing component is 0, a shorter
+    vector is filled with zeros, and one of length 0 scores 0.
     """
-    spark = rows.sparkSession
-    n = queries.where("embedding is not null").count()
-    groups, salts = max(1, -(-n // QUERIES)), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(i, TILE) for b in batches for i in range(0, b.num_rows, TILE)):
-            vectors = b.column(1).to_pylist()
-            m = np.zeros((len(vectors), max(map(len, vectors), default=0)))
-            for i, v in enumerate(vectors):
-                m[i, : len(v)] = [x or 0.0 for x in v]
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-            ids = b.column(0).to_pylist()
-            order = sorted(range(len(ids)), key=ids.__getitem__)
-            yield pa.RecordBatch.from_arrays([pa.array([[ids[i] for i in order]], pa.list_(pa.string())), pa.array([m[order].tobytes()], pa.binary())], ["ids", "m"])
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, m, asked, q in zip(*(c.to_pylist() for c in b.columns)):
-                m, q = np.frombuffer(m).reshape(len(ids), -1), np.frombuffer(q).reshape(len(asked), -1)
-                width = min(m.shape[1], q.shape[1])
-                s = q[:, :width] @ m[:, :width].T
-                best = np.argsort(-np.rint(s * 1e9), axis=1, kind="stable")[:, :k]
-                s = np.take_along_axis(s, best, 1)
-                at = np.nonzero(s > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([asked[i] for i in at[0]], pa.string()), pa.array([ids[i] for i in best[at]], pa.string()), pa.array(s[at])], ["query_id", "id", "score"])
-
-    tiles = lambda df, key: df.where("embedding is not null").select(F.col(key).cast("string"), F.col("embedding").cast("array<double>")).mapInArrow(pack, "ids array<string>, m binary")
-    # Every cell has some of the row tiles, by a random salt, and all queries of its group.
-    mine = tiles(rows, "id").withColumn("salt", F.floor(F.rand(3) * salts).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = queries.where("embedding is not null").repartition(groups, F.xxhash64("query_id"))
-    asked = tiles(asked, "query_id").withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    asked = asked.select(F.col("group").alias("g2"), F.col("ids").alias("asked"), F.col("m").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s2"))
-    met = mine.join(asked, (F.col("group") == F.col("g2")) & (F.col("salt") == F.col("s2"))).select("ids", "m", "asked", "q")
-    hits = met.mapInArrow(cells, "query_id string, id string, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc(F.rint(F.col("score") * 1e9)), "id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", F.round("score", 9).alias("score"))
+    spark, most = rows.sparkSession, max(1, k)
+    n, of = max(1, queries.count()), max(1, rows.count())
+    cells = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # What is exchanged is least where lines * rows is columns * queries; k hits of a third of a vector each go with a query.
+    between = lambda x, have, block: max(-(-have // (block * BLOCKS)), min(math.ceil(x), -(-have // block)))
+    columns = between(math.sqrt(cells * of / (n * (1 + most / 3))), of, TILE)
+    lines = between(cells / columns, n, QUERIES)
+
+    def cell(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        mine = mine.sort_by("id")
+        ids, m, q = mine["id"].combine_chunks(), _matrix(mine["e"]), _matrix(asked["e"])
+        width = min(m.shape[1], q.shape[1])
+        m = np.ascontiguousarray(m[:, :width])
+        best = np.concatenate([np.zeros((0, most)), *[_best(q[i : i + QUERIES, :width], m, most) for i in range(0, len(q), QUERIES)]])
+        at, _ = np.nonzero(best > 0)
+        best = best[best > 0]
+        score = np.ceil(best / SPAN)
+        return pa.table({"query_id": asked["query_id"].take(pa.array(at)), "id": ids.take(pa.array((score * SPAN - best).astype(np.int64))), "score": score / PARTS})
+
+    def dealt(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+        e = F.col("embedding") if dict(df.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
+        df = df.where("embedding is not null").select(F.col(key).cast("string").alias(key), e.alias("e"))
+        return df.withColumn(own, F.pmod(F.xxhash64(key, "e"), F.lit(own_n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))).groupBy("line", "column")
+
+    met = dealt(rows, "id", "column", columns, "line", lines).cogroup(dealt(queries, "query_id", "line", lines, "column", columns))
+    hits = met.applyInArrow(cell, "query_id string, id string, score double")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

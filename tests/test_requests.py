@@ -144,6 +144,36 @@ def test_topk_for_many_vectors(spark, monkeypatch):
         assert sorted(got.get(q, [])) == [(i, k) for i, (_, k) in enumerate(best, 1)]
 
 
+def test_topk_for_many_vectors_broadcasts_nothing(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERIES", 8)
+    monkeypatch.setattr(vectors, "TILE", 32)
+    monkeypatch.setattr(vectors, "BLOCKS", 2)
+    r = random.Random(13)
+    few = [[float(r.randrange(-2, 3)) for _ in range(5)] for _ in range(40)]  # many rows are equal or have equal scores
+    rows = [(f"v{k:04}", few[r.randrange(40)] if k % 3 else [r.gauss(0, 1) for _ in range(5)]) for k in range(700)] + [("tiny", [1e-10, 1.0, 0.0, 0.0, 0.0]), ("empty", []), ("nan", [float("nan")] * 5)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(5)
+    queries = df.where("id < 'v0070' or id = 'v0100'").withColumnRenamed("id", "query_id").union(spark.createDataFrame([("first", [1.0]), ("void", [])], "query_id string, embedding array<double>"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        out = vectors.top_for(queries, df, 9)
+        found = out.collect()
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (norm(a) * norm(b)), 9) if norm(a) * norm(b) > 0 else 0.0
+    want = []
+    for q, v in queries.collect():
+        best = sorted((-s, k) for k, e in rows if k != "nan" and (s := cos(v, e)) > 0)[:9]
+        want += [(q, i, k, -s) for i, (s, k) in enumerate(best, 1)]
+    assert sorted(map(tuple, found)) == sorted(want)
+    assert not [x for x in found if x.id == "tiny" and x.query_id == "first"]
+    few_rows = df.where("id in ('tiny', 'v0001', 'v0002')")
+    assert {x.id for x in vectors.top_for(queries.where("query_id = 'first'"), few_rows, 9).collect()} <= {"v0001", "v0002"}  # 1e-10 is 0 to nine places
+    assert vectors.top_for(queries.limit(0), df, 3).count() == vectors.top_for(queries, df.limit(0), 3).count() == 0
+
+
 def test_positions_and_zip(spark):
     rows = spark.createDataFrame([(k * 7 % 101, k % 5) for k in range(101)] + [(3, 1)], "a int, b int").repartition(6)
     with Scratch(spark) as scratch:
